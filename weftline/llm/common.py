@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,11 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; a user's own setting stays."""
+    """Keep Arrow batches small enough for long texts (a user's own setting stays), and let Python workers find this package."""
+    here = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, here) if x)
     for key, value, default in (
         ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20), "67108864b"),
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000", "10000"),
