@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, packing, secret_scan, suffix_dedup, toxicity
+from . import decontaminate, fingerprint, html_wrapper, jaccard_join, license_scan, lm_score, packing, secret_scan, suffix_dedup, toxicity
 from .common import table
 
 #: The tokenizer file of the packing query; a path that every executor can read.
@@ -41,6 +41,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "toxicity.score", "toxicity.predicted")
 
 
+def op4_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrapper.add_text(pages).select("page_id", "url", "main.text", "main.n_chars")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,20 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    f = F.col("licenses.found")
+    return license_scan.find_licenses(docs).select(
+        "doc_id", "licenses.n_blocks", F.size(f).cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(f, lambda x: x["license"]))), ",").alias("found"),
+        F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), F.size(x["differences"]).cast("string"))), ",").alias("spans"),
+    )
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -68,9 +87,12 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
+    "op4_html_wrapper": op4_html_wrapper,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pack": op6_pack,
     "op7_fingerprint": op7_fingerprint,
+    "op8_license_scan": op8_license_scan,
+    "op9_lm_score": op9_lm_score,
     "op10_secret_scan": op10_secret_scan,
 }
 
