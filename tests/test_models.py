@@ -1,0 +1,72 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.operators import crossval, features, models, profile
+
+
+def test_published_regressions(spark):
+    one = spark.createDataFrame([(2600, 550000), (3000, 565000), (3200, 610000), (3600, 680000), (4000, 725000)], "area int, price int")
+    m = models.ols(one, ["area"], "price")
+    assert m.coefficients[0] == pytest.approx(135.78767123) and m.intercept == pytest.approx(180616.43835616)
+
+
+def table(spark, n=200, seed=0):
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(n, 3))
+    y = x @ [2.0, -1.0, 0.0] + 0.5 + rnd.normal(scale=0.1, size=n)
+    return x, y, spark.createDataFrame([(i, *map(float, r), float(v), float(v > 0.5)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double, z double")
+
+
+def test_linear_models(spark):
+    x, y, df = table(spark)
+    design = np.c_[np.ones(len(x)), x]
+    want = np.linalg.lstsq(design, y, rcond=None)[0]
+    m = models.ols(df, ["a", "b", "c"], "y")
+    assert np.allclose([m.intercept, *m.coefficients], want)
+    metrics = models.regression_metrics(df.withColumn("p", m.predict()), "y", "p").first()
+    assert metrics.r2 == pytest.approx(m.r2) and metrics.rmse**2 == pytest.approx(metrics.mse)
+    centred = x - x.mean(0)
+    w, b = models.ridge(df, ["a", "b", "c"], "y", 10.0)
+    assert np.allclose(w, np.linalg.solve(centred.T @ centred + 10 * np.eye(3), centred.T @ (y - y.mean())))
+    assert models.lasso(df, ["a", "b", "c"], "y", 0.2).coefficients[2] == 0
+    v = models.vif(df, ["a", "b"])
+    r2 = (x[:, 0] @ x[:, 1]) ** 2 / (x[:, 0] @ x[:, 0]) / (x[:, 1] @ x[:, 1])
+    assert v["a"] == pytest.approx(1 / (1 - r2))
+
+
+def test_classifiers(spark):
+    x, _, df = table(spark)
+    z = np.array([r.z for r in df.orderBy("id").collect()])
+    m = models.logistic(df, ["a", "b"], "z")
+    scored = models.probability(m.transform(models.assemble(df, ["a", "b"])))
+    auc = models.roc_auc(scored, "z", "p").first().auc
+    p = np.array([r.p for r in scored.orderBy("id").collect()])
+    brute = np.mean([(a > b) + (a == b) / 2 for a in p[z == 1] for b in p[z == 0]])
+    assert auc == pytest.approx(brute)
+    nb = models.gaussian_nb(df, ["a", "b"], "z")
+    assert np.allclose(nb.theta.toArray()[1], x[z == 1][:, :2].mean(0))
+    folded = features.stratified_folds(df, "z", "id", 3)
+
+    def fit(train):
+        model = models.tree(train, ["a", "b"], "z")
+        return lambda test: crossval.accuracy(model.transform(models.assemble(test, ["a", "b"])), "z")
+
+    assert crossval.cross_validate(folded, 3, fit)["mean"] > 0.85
+    sweep = models.threshold_sweep(scored, "z", "p").collect()
+    assert len(sweep) == 3 and all(r.tp + r.fp + r.fn + r.tn == 200 for r in sweep)
+
+
+def test_features(spark):
+    df = spark.createDataFrame([(1, None, "b"), (2, 2.0, "a"), (3, 4.0, "a"), (4, 9.0, "b"), (5, 5.0, None)], "id long, x double, c string")
+    assert features.fill(df, {"x": "median", "c": "mode"}).where("id = 1 or id = 5").orderBy("id").select("x", "c").collect() == [(4.5, "b"), (5.0, "a")]
+    assert features.one_hot(df, ["c"], drop="binary").columns == ["id", "x", "c_b"]
+    scaled = features.min_max(df.where("x is not null").withColumn("k", F.lit(3)), ["x", "k"])
+    assert {(r.x, r.k) for r in scaled.where("id in (2, 4)").collect()} == {(0.0, 0.0), (1.0, 0.0)}
+    assert features.drop_nulls(df).count() == 3
+    d = profile.describe(df, ["x"]).first()
+    assert (d["count"], d["mean"], d["q50"]) == (4, 5.0, 4.5)
+    counts = features.word_counts(spark.createDataFrame([(1, "aa bb aa x"), (2, "bb")], "d long, t string"), "d", "t")
+    got = {(r.d, r.word): r.tfidf for r in features.tf_idf(counts, "d", 2).collect()}
+    a, b = 2 * (np.log(3 / 2) + 1), 1.0
+    assert got[(1, "aa")] == pytest.approx(a / np.hypot(a, b)) and got[(2, "bb")] == pytest.approx(1.0)
