@@ -14,9 +14,10 @@ falls short under one hash is signed under further ones as well. A pair is found
 as soon as one of the two suffices, hence no link is lost.
 
 Signatures travel as packed 64-bit numbers. Groups of sets that share one are
-joined in two rounds: first each set with the least of its groups, then, between
-the components so found, all pairs that still share a signature. Likeness is
-always computed from whole texts.
+joined in two rounds: first each set with the best-connected member of its groups,
+then, between the components so found, all pairs that still share a signature and
+whose elements that occur anywhere else would be enough. Likeness is always
+computed from whole texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, checkpointed, shards_for, slices, text_bytes, utf8
@@ -89,11 +90,16 @@ def bands(most: int, num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, 64-bit signature) of all sets; empty sets have none."""
+def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(2 * set number + step, 64-bit signature) of all sets, and per set and step how many must be shared.
+
+    step is 0 for the own band and 1 for the next. A set that signs its parts of
+    two or more elements shares at least their number less k with any set like it.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
+    need = np.ones(2 * len(sets), np.int64)
     if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), need
     table = bands(int(sizes.max()), num, den)
     lows = np.array([b[0] for b in table])
     band = np.searchsorted(lows, sizes, side="right") - 1
@@ -111,14 +117,14 @@ def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[
         for seed in range(SEEDS):
             if not len(todo):
                 break
-            todo = _sign(sets, todo, parts, k, target, seed, who, what)
+            todo = _sign(sets, todo, parts, k, target, seed, step, who, what, need)
         for i in todo.tolist():  # no seed sufficed: two like sets share an element at least
-            who.append(np.full(len(sets[i]), i))
+            who.append(np.full(len(sets[i]), 2 * i + step))
             what.append(_mix(sets[i] * _A + np.uint64(target[i] * 131 + 977)))
-    return np.concatenate(who), np.concatenate(what)
+    return np.concatenate(who), np.concatenate(what), need
 
 
-def _sign(sets, todo, parts, k, target, seed, who, what) -> np.ndarray:
+def _sign(sets, todo, parts, k, target, seed, step, who, what, need) -> np.ndarray:
     """Sign the sets in `todo` under one seed; returns those it doesn't suffice for."""
     lens = np.array([len(sets[i]) for i in todo.tolist()])
     e = np.concatenate([sets[i] for i in todo.tolist()])
@@ -133,12 +139,15 @@ def _sign(sets, todo, parts, k, target, seed, who, what) -> np.ndarray:
     total = np.add.reduceat(_mix(e * _B + np.uint64(7)), cut)
     owner = of[cut]
     place = (part[cut] - base[owner]).astype(np.uint64)
-    strong = np.bincount(owner[count >= 2], minlength=len(todo)) > k[todo]
+    pairs = np.bincount(owner[count >= 2], minlength=len(todo))
+    strong = pairs > k[todo]
+    if seed == 0:
+        need[2 * todo + step] = np.where(strong, pairs - k[todo], 1)
     enough = strong | (np.bincount(owner, minlength=len(todo)) > k[todo])
     kept = (count >= 2) | ~strong[owner]
     owner, total, place = owner[kept], total[kept], place[kept]
     tag = (target[todo][owner].astype(np.uint64) * np.uint64(SEEDS + 1) + np.uint64(seed)) * _C
-    who.append(todo[owner])
+    who.append(2 * todo[owner] + step)
     what.append(_mix(total + _mix(place * _A + tag)))
     return todo[~enough]
 
@@ -166,27 +175,33 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 
 def shared_groups(docs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(members): distinct groups of ids, two or more, whose (different) sets share a signature."""
+    """(members): distinct groups of ids, two or more, whose (different) sets share a signature that counts.
+
+    Prefix filter: where a set must share m signatures with any set like it, the
+    m - 1 last of its signatures in an order common to all sets (rarest first) can
+    be left out, and all of them if fewer than m are shared with anyone. So common
+    passages don't make groups of texts that have nothing else in common.
+    """
 
     def sign(batches):
         make = Shingler().hashes
         seen: set[bytes] = set()
-        held, ids, digests, size = [], [], [], 0
+        held, ids, digests, needs, size = [], [], [], [], 0
 
         def flush():
             who, sig = (np.concatenate(x) for x in zip(*held))
-            bucket = ((sig >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) if buckets < 1 << 16 else (_mix(sig) % np.uint64(buckets)).astype(np.int64)
+            bucket = (_mix(sig) % np.uint64(buckets)).astype(np.int64)
             packed = (_mix(sig ^ _B) & ~_IDX) | who.astype(np.uint64)
             order = np.lexsort((packed, bucket))
             packed, bucket = packed[order], bucket[order]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
-            all_ids, all_digests = np.array(ids, np.int64), np.array(digests, np.uint64)
+            all_ids, all_digests, all_needs = np.array(ids, np.int64), np.array(digests, np.uint64), np.concatenate(needs).astype(np.int32)
             rows = []
             for a, z in zip(cut, [*cut[1:], len(packed)]):
                 p = packed[a:z]
                 used, new = np.unique((p & _IDX).astype(np.int64), return_inverse=True)
-                rows.append((int(bucket[a]), ((p & ~_IDX) | new.astype(np.uint64)).tobytes(), all_ids[used].tobytes(), all_digests[used].tobytes()))
-            return _rows(["bucket", "packed", "ids", "digests"], [pa.int32()] + [pa.binary()] * 3, rows).to_batches()
+                rows.append((int(bucket[a]), ((p & ~_IDX) | new.astype(np.uint64)).tobytes(), (used & 1).astype(np.int8).tobytes(), all_ids[used >> 1].tobytes(), all_digests[used >> 1].tobytes(), all_needs[used].tobytes()))
+            return _rows(["bucket", "packed", "steps", "ids", "digests", "needs"], [pa.int32()] + [pa.binary()] * 5, rows).to_batches()
 
         for batch in batches:
             for part in slices(batch, 1, SLICE):
@@ -204,43 +219,46 @@ def shared_groups(docs: DataFrame, buckets: int, num: int, den: int) -> DataFram
                     ids.append(doc_id)
                     digests.append(int.from_bytes(d[:8], "little"))
                     sets.append(s)
-                who, sig = signatures(sets, num, den)
-                held.append((who + start, sig))
+                who, sig, need = signatures(sets, num, den)
+                held.append((who + 2 * start, sig))
+                needs.append(need)
                 size += len(sig)
                 if size > 2_000_000:
                     yield from flush()
-                    held, ids, digests, size = [], [], [], 0
+                    held, ids, digests, needs, size = [], [], [], [], 0
         if size:
             yield from flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        sigs, docs_, digests = [], [], []
-        for p, i, d in zip(*(t.column(c).to_pylist() for c in ("packed", "ids", "digests"))):
+        got = []
+        for p, k, i, d, n in zip(*(t.column(c).to_pylist() for c in ("packed", "steps", "ids", "digests", "needs"))):
             p = np.frombuffer(p, np.uint64)
             at = (p & _IDX).astype(np.int64)
-            sigs.append(p & ~_IDX)
-            docs_.append(np.frombuffer(i, np.int64)[at])
-            digests.append(np.frombuffer(d, np.uint64)[at])
-        sig, doc, dig = np.concatenate(sigs), np.concatenate(docs_), np.concatenate(digests)
-        order = np.argsort(sig, kind="stable")
-        sig, doc, dig = sig[order], doc[order], dig[order]
+            got.append((p & ~_IDX, *(np.frombuffer(x, kind)[at] for x, kind in ((k, np.int8), (i, np.int64), (d, np.uint64), (n, np.int32)))))
+        cols = [np.concatenate(x) for x in zip(*got)]
+        order = np.argsort(cols[0], kind="stable")
+        sig = cols[0][order]
         twice = np.zeros(len(sig), bool)
         twice[1:] = sig[1:] == sig[:-1]
         twice[:-1] |= twice[1:]
-        sig, doc, dig = sig[twice], doc[twice], dig[twice]
+        sig, step, doc, dig, need = (c[order[twice]] for c in cols)
         order = np.lexsort((doc, dig, sig))
-        sig, doc, dig = sig[order], doc[order], dig[order]
-        first = np.ones(len(sig), bool)  # of an equal set: its least id only
-        first[1:] = (sig[1:] != sig[:-1]) | (dig[1:] != dig[:-1])
-        sig, doc = sig[first], doc[first]
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])).tolist() if len(sig) else []
-        found = {doc[a:z].tobytes() for a, z in zip(cut, [*cut[1:], len(sig)]) if z - a > 1}
-        return _rows(["members"], [pa.list_(pa.int64())], [(np.frombuffer(x, np.int64).tolist(),) for x in found])
-
-    packed = docs.mapInArrow(sign, "bucket int, packed binary, ids binary, digests binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "members array<long>").distinct()
+        first = np.ones(len(order), bool)  # of an equal set: its least id only
+        first[1:] = (sig[order[1:]] != sig[order[:-1]]) | (dig[order[1:]] != dig[order[:-1]])
+        sig, step, doc, need = (c[order[first]] for c in (sig, step, doc, need))
+        cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        size = np.repeat(np.diff(np.append(cut, len(sig))), np.diff(np.append(cut, len(sig))))
+        many = size > 1
+        sig = (sig | np.uint64(t.column("bucket")[0].as_py() & int(_IDX)))[many]
+        return pa.table([pa.array(sig.view(np.int64)), pa.array(doc[many]), pa.array(step[many].astype(np.int32)), pa.array(need[many].astype(np.int32)), pa.array(size[many].astype(np.int32))], names=["sig", "id", "step", "need", "size"])
+
+    packed = docs.mapInArrow(sign, "bucket int, packed binary, steps binary, ids binary, digests binary, needs binary")
+    met = packed.groupBy("bucket").applyInArrow(meet, "sig long, id long, step int, need int, size int")
+    own = Window.partitionBy("id", "step")
+    ranked = met.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "sig")))
+    kept = ranked.where(F.col("rank") <= F.col("m") - F.col("need") + 1)
+    groups = kept.groupBy("sig").agg(F.array_sort(F.collect_set("id")).alias("members")).where(F.size("members") > 1)
+    return groups.select("members").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -270,6 +288,36 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return full.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shared_elements(texts: DataFrame, buckets: int) -> DataFrame:
+    """(id, c): how many elements of each set of (id, text) are in another row's set as well: a bound on any intersection."""
+
+    def elements(batches):
+        make = Shingler().hashes
+        for batch in batches:
+            for part in slices(batch, 1, SLICE):
+                ids = np.array(part.column(0).to_pylist(), np.int64)
+                sets = [make(t) for t in utf8(part.column(1))]
+                e, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                bucket = (_mix(e) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((who, bucket))
+                cut = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+                rows = [(int(bucket[order[a]]), e[order[a:z]].tobytes(), who[order[a:z]].astype(np.int32).tobytes(), ids.tobytes()) for a, z in zip(cut, [*cut[1:], len(order)])]
+                yield from _rows(["bucket", "e", "who", "ids"], [pa.int32()] + [pa.binary()] * 3, rows).to_batches()
+
+    def count(t: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("e").to_pylist()])
+        doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(w, np.int32)] for i, w in zip(t.column("ids").to_pylist(), t.column("who").to_pylist())])
+        order = np.argsort(e, kind="stable")
+        s = e[order]
+        twice = np.zeros(len(s), bool)
+        twice[1:] = s[1:] == s[:-1]
+        twice[:-1] |= twice[1:]
+        ids, n = np.unique(doc[order[twice]], return_counts=True)
+        return pa.table([pa.array(ids), pa.array(n)], names=["id", "c"])
+
+    return texts.mapInArrow(elements, "bucket int, e binary, who binary, ids binary").groupBy("bucket").applyInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+
+
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -286,21 +334,31 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = checkpointed(shared_groups(base, buckets, num, den))
     wanted = groups.select(F.explode("members").alias("id")).distinct()
     texts = checkpointed(base.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    # first round: each set with the least of its groups
-    starred = groups.select(F.element_at("members", 1).alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"))
-    first = checkpointed(starred.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    at = checkpointed(groups.select(F.xxhash64("members").alias("g"), F.size("members").alias("n_g"), F.explode("members").alias("id")))
+    # first round: each set with the best-connected member of its groups, where a group of copies meets its original
+    score = at.groupBy("id").agg(F.sum(F.col("n_g") - 1).alias("score"))
+    rated = at.join(score, "id").withColumn("rate", F.struct("score", (-F.col("id")).alias("minus")))
+    heads = rated.groupBy("g").agg(F.max("rate").alias("head"))
+    best = rated.join(heads, "g").where(-F.col("head.minus") != F.col("id")).groupBy("id").agg(F.max("head").alias("head"))
+    first = checkpointed(best.select(F.least("id", -F.col("head.minus")).alias("a"), F.greatest("id", -F.col("head.minus")).alias("b")).distinct())
     links = checkpointed(verified(first, texts, num, den))
     labels = components(links)
     # second round: sets that share a signature and are not yet one component
-    at = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("id"))
     known = at.join(labels, "id", "left").select("g", "id", F.coalesce("component", "id").alias("label"))
-    mixed = known.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    open_ = known.join(mixed, "g", "left_semi").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
-    left, right = (open_.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n")]) for s in "xy")
-    met = left.join(right, "g").where((F.col("id_x") < F.col("id_y")) & (F.col("label_x") != F.col("label_y")))
-    near = met.where((den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")))
-    pairs = near.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(checkpointed(pairs), texts, num, den)
+    by_label = known.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+    mixed = known.join(by_label.where("labels > 1"), "g").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
+    mixed = checkpointed(mixed.select("g", "main", "id", "label", "n"))
+    common = shared_elements(texts.join(mixed.select("id").distinct(), "id", "left_semi"), buckets)
+    open_ = mixed.join(common, "id").where(F.col("c") * den >= F.col("n") * num)
+    left, right = (open_.select("g", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n", "c")]) for s in "xy")
+    total = F.col("n_x") + F.col("n_y")
+    # of two sets in different components one is outside the main component of their group
+    met = left.where("label_x <> main").drop("main").join(
+        right.drop("main"),
+        (left["g"] == right["g"]) & (F.col("label_x") != F.col("label_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")) & ((num + den) * F.least("c_x", "c_y") >= num * total),
+    )
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = checkpointed(verified(checkpointed(pairs), texts, num, den))
     # equal sets, whatever their texts: each with the least id of its digest
     classes = sizes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"))
     member = sizes.join(classes, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("least"))
