@@ -457,7 +457,7 @@ def ols_two_features(spark, sf):
     return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.coefficients[1]), 5), round(m.intercept, 3))], "p_size double, p_partkey double, intercept double")
 
 
-@query(_TWO + "SELECT p.p_partkey, round(p_retailprice - (i + a * p_size + b * p_partkey), 3) AS residual FROM part p, f")
+@query(_TWO + "SELECT p.p_partkey, round(p_retailprice - (i + a * p_size + b * p_partkey), 3) + 0.0 AS residual FROM part p, f")
 def residuals(spark, sf):
     p = read(spark, sf, "part")
     m = models.ols(p, ["p_size", "p_partkey"], "p_retailprice")
