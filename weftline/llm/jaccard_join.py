@@ -348,7 +348,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     by_label = known.groupBy("g", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
     mixed = known.join(by_label.where("labels > 1"), "g").join(sizes.groupBy("id").agg(F.max("n").alias("n")), "id")
     mixed = checkpointed(mixed.select("g", "main", "id", "label", "n"))
-    common = shared_elements(texts.join(mixed.select("id").distinct(), "id", "left_semi"), buckets)
+    n_elements = mixed.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0
+    common = shared_elements(texts.join(mixed.select("id").distinct(), "id", "left_semi"), shards_for(8 * n_elements, 4 * BUCKET_BYTES))
     open_ = mixed.join(common, "id").where(F.col("c") * den >= F.col("n") * num)
     left, right = (open_.select("g", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n", "c")]) for s in "xy")
     total = F.col("n_x") + F.col("n_y")
