@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +117,18 @@ def _as(blob, kind):
     return np.frombuffer(blob, kind)
 
 
+def _short(g: np.ndarray) -> bytes:
+    """The upper 48 bits of hashes: a clash costs a useless entry, never a wrong result."""
+    return np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def _long(column) -> np.ndarray:
+    raw = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x, np.uint8) for x in column.to_pylist())]).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 2:] = raw
+    return out.view(np.uint64).ravel()
+
+
 def _all(column, kind):
     return np.concatenate([np.zeros(0, kind), *(_as(x, kind) for x in column.to_pylist())])
 
@@ -233,7 +246,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             third = np.zeros(len(g), bool)  # two of a shard are enough to tell
             third[2:] = (g[2:] == g[1:-1]) & (g[1:-1] == g[:-2]) & (s[2:] == s[1:-1]) & (s[1:-1] == s[:-2])
             g, s = g[~third], s[~third]
-            rows = [(b, g[x].tobytes(), s[x].tobytes()) for b, x in _grouped(_bucket(g, buckets))]
+            rows = [(b, _short(g[x]), s[x].tobytes()) for b, x in _grouped(_bucket(g, buckets))]
             return _rows(["bucket", "gram", "shard"], [pa.int32(), pa.binary(), pa.binary()], rows).to_batches()
 
         for batch in batches:
@@ -253,7 +266,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield from flush()
 
     def repeated(t: pa.Table) -> pa.Table:
-        g, s = _all(t.column("gram"), np.uint64), _all(t.column("shard"), np.int32)
+        g, s = _long(t.column("gram")), _all(t.column("shard"), np.int32)
         order = np.argsort(g, kind="stable")
         g, s = g[order], s[order]
         twice = np.zeros(len(g), bool)
@@ -262,7 +275,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         g, s = g[twice], s[twice]
         order = np.lexsort((g, s))
         g, s = g[order], s[order]
-        rows = [(b, np.unique(g[x]).tobytes()) for b, x in _grouped(s)]
+        rows = [(b, _short(np.unique(g[x]))) for b, x in _grouped(s)]
         return _rows(["shard", "gram"], [pa.int32(), pa.binary()], rows)
 
     marks = dealt.mapInArrow(triggers, "bucket int, gram binary, shard binary").groupBy("bucket").applyInArrow(repeated, "shard int, gram binary")
@@ -275,13 +288,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield part, np.array(ids, np.int64), texts, Parse(texts, length)
 
     def entries(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.unique(_all(right.column("gram"), np.uint64))
-        got = []
+        known = np.unique(_long(right.column("gram")))
+        got, pack = [], zstandard.ZstdCompressor(level=3).compress
         shard = left.column("shard")[0].as_py() if left.num_rows else 0
         if len(known) and left.num_rows:
             for _, ids, _, parse in parts(left):
-                at = np.minimum(np.searchsorted(known, parse.gram), len(known) - 1)
-                i = np.flatnonzero(known[at] == parse.gram)
+                short = parse.gram & ~np.uint64(0xFFFF)
+                at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+                i = np.flatnonzero(known[at] == short)
                 if not len(i):
                     continue
                 d = ids[parse.doc[i]]
@@ -300,7 +314,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             order = np.argsort(bucket, kind="stable")
             for b, x in _grouped(bucket[order]):
                 o = order[x]
-                rows.append((b, shard, g[o].tobytes(), key[o].tobytes(), n[o].tobytes(), low[o].tobytes(), high[o].tobytes(), b"".join(text[j] for j in o.tolist())))
+                rows.append((b, shard, g[o].tobytes(), key[o].tobytes(), n[o].tobytes(), low[o].tobytes(), high[o].tobytes(), pack(b"".join(text[j] for j in o.tolist()))))
         return _rows(["bucket", "shard", "gram", "key", "n", "low", "high", "text"], [pa.int32(), pa.int32()] + [pa.binary()] * 6, rows)
 
     docs_by = dealt.groupBy("shard")
@@ -312,8 +326,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         g, key, n = _all(t.column("gram"), np.uint64), _all(t.column("key"), np.uint64), _all(t.column("n"), np.int32).astype(np.int64)
         low, high = _all(t.column("low"), np.int64), _all(t.column("high"), np.int64)
         texts, k = [], 0
-        for blob in t.column("text").to_pylist():
-            at = 0
+        for packed in t.column("text").to_pylist():
+            blob, at = zstandard.decompress(packed), 0
             while at < len(blob):
                 z = at + int(n[k]) + length - 1
                 texts.append(blob[at:z])
