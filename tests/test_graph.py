@@ -18,7 +18,7 @@ def test_split_pages():
 def test_chunks_and_files(spark, tmp_path):
     docs = spark.createDataFrame([(1, "page one\fpage two"), (2, None), (3, "")], "doc_id long, text string")
     got = pages.chunk_documents(docs, name_col="doc_id").collect()
-    assert [(r.index, r.page_start, r.page_end, r.text) for r in got] == [(0, 1, 2, "page one\n\npage two")]
+    assert [(r["index"], r.page_start, r.page_end, r.text) for r in got] == [(0, 1, 2, "page one\n\npage two")]
     (tmp_path / "a.txt").write_bytes(b"hello\fworld")
     r = pages.load_files(spark, str(tmp_path), lambda raw: raw.decode().split("\f")).collect()
     assert [(x.filename, x.pages, x.text) for x in r] == [("a.txt", 2, "hello\n\nworld")] and len(r[0].doc_hash) == 64
@@ -41,7 +41,7 @@ def test_merge(spark):
 
 
 def test_store(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Alpha meets Beta. Alpha likes Beta here."), (2, "Alpha again. Gamma and Gamma with Alpha.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Alpha meets Beta. Alpha likes Beta here."), (2, "Alpha again. Gamma here with Alpha. Gamma there.")], "doc_id long, text string")
     store = graph_store.GraphStore(spark, str(tmp_path / "s"))
     one, two = (pages.chunk_documents(docs.where(f"doc_id = {i}"), name_col="doc_id") for i in (1, 2))
     assert store.ingest(one, run_id="r1", at="2024-01-01 00:00:00")["chunks_processed"] == 1
@@ -94,7 +94,7 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Alpha meets Beta. Alpha likes Beta.")], "doc_id long, text string").write.parquet(src)
     args = (spark, src, "doc_id long, text string", str(tmp_path / "store"), str(tmp_path / "cp"))
     ingest_stream(*args).awaitTermination(120)
-    spark.createDataFrame([(2, "Alpha meets Beta. Alpha likes Beta."), (3, "Delta and Delta.")], "doc_id long, text string").write.mode("append").parquet(src)
+    spark.createDataFrame([(2, "Alpha meets Beta. Alpha likes Beta."), (3, "Delta here. Delta there.")], "doc_id long, text string").write.mode("append").parquet(src)
     ingest_stream(*args).awaitTermination(120)
     got = graph_store.GraphStore(spark, str(tmp_path / "store")).tables()["entities"]
     assert {r.id: r.mentions for r in got.collect()} == {"alpha": 1, "beta": 1, "delta": 1}
