@@ -131,6 +131,25 @@ def test_jaccard_join_copies_of_an_original(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_join_tiles(docs, rows, monkeypatch):
+    want = {tuple(r) for r in jaccard_join.similar_components(docs).collect()}
+    for few, block in ((10**9, 1024), (0, 1024), (0, 2)):
+        monkeypatch.setattr(jaccard_join, "FEW", few)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+        assert {tuple(r) for r in jaccard_join.similar_components(docs).collect()} == want
+
+
+def test_common_counts(monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 300, n).astype(np.uint64)) for n in (5, 60, 200, 9, 70, 150, 1)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[3:]] for x in sets[:3]]
+    for cells in (8 << 20, 1):
+        monkeypatch.setattr(jaccard_join, "PRODUCT", cells)
+        assert jaccard_join.common_counts(sets[:3], sets[3:]).tolist() == want
+
+
 def test_jaccard_representatives(docs, empty):
     kept = jaccard_join.representatives(docs)
     assert kept.columns == docs.columns

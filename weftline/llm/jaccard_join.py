@@ -15,9 +15,9 @@ as soon as one of the two suffices, hence no link is lost.
 
 Signatures travel as packed 64-bit numbers. Groups of sets that share one are
 joined in two rounds: first each set with the best-connected member of its groups,
-then, between the components so found, all pairs that still share a signature and
-whose elements that occur anywhere else would be enough. Likeness is always
-computed from whole texts.
+then, between the components so found, those that still share a signature and whose
+elements that occur anywhere else would be enough: pair by pair where few sets of a
+group are outside its main component, else by blocks. Likeness is always computed from whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,12 @@ SHINGLE = 5
 BUCKET_BYTES = 8 << 20
 SLICE = 1 << 20
 SEEDS = 64
+#: Groups with at most this many sets outside their main component are compared as rows of pairs, others in tiles.
+FEW = 64
+#: A side of a tile: about this many sets, and about this many elements.
+BLOCK_SETS, BLOCK_ELEMENTS = 1024, 400_000
+#: Cells of the matrices that a tile multiplies at a time.
+PRODUCT = 8 << 20
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -318,6 +324,89 @@ def shared_elements(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(elements, "bucket int, e binary, who binary, ids binary").groupBy("bucket").applyInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
 
 
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of `xs` shares with each of `ys`."""
+    e = np.concatenate([*xs, *ys])
+    of = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in xs + ys])
+    _, column = np.unique(e, return_inverse=True)
+    in_x = of < len(xs)
+    width = int(column.max()) + 1
+    both = (np.bincount(column[in_x], minlength=width) > 0) & (np.bincount(column[~in_x], minlength=width) > 0)
+    kept = both[column]
+    column, of = (np.cumsum(both) - 1)[column[kept]], of[kept]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    out = np.zeros((len(xs), len(ys)), np.float32)  # exact up to 2^24 elements
+    step = max(1, PRODUCT // (len(xs) + len(ys)))
+    for start in range(0, int(both.sum()), step):
+        a, z = np.searchsorted(column, [start, start + step])
+        m = np.zeros((len(xs) + len(ys), step), np.float32)
+        m[of[a:z], column[a:z] - start] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out.astype(np.int64)
+
+
+def paired(members: DataFrame, known: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) in groups with at most FEW members outside their main component, hence at most FEW rows a member; those in `known` are left out."""
+    left, right = (members.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n", "c", "out")]) for s in "xy")
+    total = F.col("n_x") + F.col("n_y")
+    # of two sets in different components one is outside the main component of their group
+    met = left.where("out_x = 1").join(
+        right,
+        (left["g"] == right["g"]) & (F.col("label_x") != F.col("label_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")) & ((num + den) * F.least("c_x", "c_y") >= num * total),
+    )
+    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    return verified(checkpointed(pairs), texts, num, den)
+
+
+def tiled(members: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) in larger groups, enough of them to connect what all links of a tile connect.
+
+    The members outside the main component are cut into blocks, and so are all
+    members; each block of the former meets each of the latter in one task, which
+    counts common elements as a matrix product. No pair leaves the task unless it
+    links, and a tile holds two blocks, whatever the size of the group.
+    """
+
+    def blocks(n, elements):
+        return F.ceil(F.greatest(F.col(n) / BLOCK_SETS, F.col(elements) / BLOCK_ELEMENTS)).cast("int")
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, label, out = (t.column(c).to_numpy() for c in ("id", "label", "x"))
+        x, y = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+        make = Shingler().hashes
+        sets = [make(b) for b in utf8(t.column("text").combine_chunks())]
+        links: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            n = np.array([len(s) for s in sets], np.int64)
+            same = common_counts([sets[i] for i in x.tolist()], [sets[i] for i in y.tolist()])
+            like = (den + num) * same >= num * (n[x][:, None] + n[y][None, :])
+            i, j = np.nonzero(like & (label[x][:, None] != label[y][None, :]))
+            i, j = x[i], y[j]
+            ends = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1)
+            _, where = np.unique(ends, axis=0, return_index=True)
+            root: dict[int, int] = {}
+
+            def find(v):
+                while root.get(v, v) != v:
+                    root[v] = root.get(root[v], root[v])
+                    v = root[v]
+                return v
+
+            for k in where.tolist():
+                p, q = find(int(ends[k, 0])), find(int(ends[k, 1]))
+                if p != q:
+                    root[p] = q
+                    links.append((int(min(ids[i[k]], ids[j[k]])), int(max(ids[i[k]], ids[j[k]]))))
+        return _rows(["a", "b"], [pa.int64()] * 2, links)
+
+    cut = members.withColumn("kx", blocks("n_out", "e_out")).withColumn("ky", blocks("n_all", "e_all"))
+    tiles_x = cut.where("out = 1").select("g", F.pmod(F.xxhash64("id"), "kx").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("j"), "id", "label", F.lit(1).alias("x"))
+    tiles_y = cut.select("g", F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("i"), F.pmod(F.xxhash64("id"), "ky").alias("j"), "id", "label", F.lit(0).alias("x"))
+    tiles = tiles_x.select("g", F.col("i").cast("int").alias("i"), "j", "id", "label", "x").unionByName(tiles_y.select("g", "i", F.col("j").cast("int").alias("j"), "id", "label", "x"))
+    return tiles.join(texts, "id").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (smallest id reachable by links, itself included).
 
@@ -351,15 +440,10 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n_elements = mixed.select("id", "n").distinct().agg(F.sum("n")).first()[0] or 0
     common = shared_elements(texts.join(mixed.select("id").distinct(), "id", "left_semi"), shards_for(8 * n_elements, 4 * BUCKET_BYTES))
     open_ = mixed.join(common, "id").where(F.col("c") * den >= F.col("n") * num)
-    left, right = (open_.select("g", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "label", "n", "c")]) for s in "xy")
-    total = F.col("n_x") + F.col("n_y")
-    # of two sets in different components one is outside the main component of their group
-    met = left.where("label_x <> main").drop("main").join(
-        right.drop("main"),
-        (left["g"] == right["g"]) & (F.col("label_x") != F.col("label_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")) & ((num + den) * F.least("c_x", "c_y") >= num * total),
-    )
-    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = checkpointed(verified(checkpointed(pairs), texts, num, den))
+    open_ = open_.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
+    counts = open_.groupBy("g").agg(F.count(F.lit(1)).alias("n_all"), F.sum("n").alias("e_all"), F.sum("out").alias("n_out"), F.sum(F.col("out") * F.col("n")).alias("e_out"))
+    open_ = checkpointed(open_.join(counts.where("n_out > 0 and n_all > 1"), "g"))
+    more = checkpointed(paired(open_.where(F.col("n_out") <= FEW), first, texts, num, den)).unionByName(checkpointed(tiled(open_.where(F.col("n_out") > FEW), texts, num, den)))
     # equal sets, whatever their texts: each with the least id of its digest
     classes = sizes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"))
     member = sizes.join(classes, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("least"))
