@@ -1,12 +1,18 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class). The most frequent words
+The model of classes gives P(class | history) P(token | class). The most frequent words
 are classes of their own, all others fall into classes by their endings; the end of
 a text is a class too. P(class | history) is a softmax over hashed features of the
 classes before: the last, the last two, and (skipping one) the one before. P(token
 | class) is the token's share of its class. A token that training has never seen is
 one outcome more, with the share that words seen once have in training.
 
+Evidence of words on words is put on top, level by level: the word before the last
+(a skip), the last, and both. A level with n training tokens after its history gives
+P = (n(history, token) + b P') / (n + b), with P' of the level below. b is so chosen that P'
+gets over all of training what Good and Turing's estimate takes from seen counts. The counts are of all training rows, by hashes
+of history and token whose space grows with the input: 2**32 for each bucket.
+
 Everything is learned from all training rows: word counts by a shuffle of packed
 counts, and the class-trigram counts that decide the likelihood. Training is full
 gradient descent: each step sends the weights to the partitions of those counts
@@ -23,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +48,15 @@ SHARD_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 SLICE = 1 << 20
 END_KEY = 0
+#: Stands for what is before the text in the hashes of words.
+START_KEY = 0x2545F4914F6CDD1D
+#: Words on words: hashes held in a task before they are counted and sent.
+HELD = 6 << 20
+#: New words expected after n tokens grow as n ** HEAPS (Heaps' law), by a factor fitted for each level.
+HEAPS = 0.75
+BINS = 48
+#: Numbers of events that occur 1, 2, ... times are kept below this, for Good and Turing's estimate.
+OFTEN = 10
 
 
 def words(text: bytes) -> list[bytes]:
@@ -118,7 +134,144 @@ def _runs(values):
 
 
 def _cat(column, kind):
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist() if x)])
+
+
+def pack(a: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers (or their steps, where they rise) by byte planes, compressed."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if rising else a
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes())
+
+
+def unpack(blob: bytes, kind, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(a, dtype=kind) if rising else a
+
+
+class Keys(dict):
+    """Hashes of words, by a cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = got = word_key(word)
+        return got
+
+
+def _mixed(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> np.ndarray:
+    h = a * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))
+    for x in (b,) if c is None else (b, c):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + x
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(31))) & np.uint64(0xFFFFFFFFFFFFFFFC)) | np.uint64(kind)  # the kind stays readable
+
+
+def feature_keys(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of skip, pair and triple at each token; `keys` of tokens of texts in a row (ends included), `place` of each in its text.
+
+    There is no skip at the first two tokens and no triple at the first: their lines are not to be used.
+    """
+    one = np.where(place >= 1, np.roll(keys, 1), np.uint64(START_KEY))
+    two = np.where(place >= 2, np.roll(keys, 2), np.uint64(START_KEY))
+    return _mixed(1, two, keys), _mixed(2, one, keys), _mixed(3, two, one, keys)
+
+
+def _bins(n: np.ndarray) -> np.ndarray:
+    """Tokens by the binary logarithm of their counts."""
+    return np.bincount(np.log2(np.maximum(n, 1)).astype(np.int64), weights=n, minlength=BINS).astype(np.int64)
+
+
+def left_share(times: np.ndarray, tokens: int) -> float:
+    """Of the tokens, what the level below gets; times[r]: events that occur r times (r < OFTEN).
+
+    That is what new events need and, for counts that mostly tell of chance, what the
+    slope of r* = (r + 1) times[r + 1] / times[r] over r lacks to 1.
+    """
+    new = (times[1] + 1) / (tokens + 2)
+    r = np.flatnonzero(times[:-1] * (np.arange(len(times) - 1) > 0))
+    if len(r) < 2:
+        return new
+    weight = r * times[r]
+    star = (r + 1) * times[r + 1] / times[r]
+    mean = lambda x: (weight * x).sum() / weight.sum()
+    slope = mean((r - mean(r)) * (star - mean(star))) / mean((r - mean(r)) ** 2)
+    return min(0.999, new + (1 - new) * min(1, weight.sum() / max(1, tokens)) * (1 - min(1, max(0, slope))))
+
+
+def fit_spread(bins: np.ndarray, times: np.ndarray) -> float:
+    """The factor of n ** HEAPS that leaves the level below its share of the tokens, by counts of their histories."""
+    n = 2.0 ** np.arange(BINS) * np.where(np.arange(BINS) > 0, 1.4, 1)
+    share = left_share(times, int(bins.sum()))
+    low, high = -12.0, 12.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        b = np.exp(mid) * n**HEAPS
+        low, high = (mid, high) if (bins * b / (n + b)).sum() < share * bins.sum() else (low, mid)
+    return float(np.exp(high))
+
+
+def _placed(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket, then 32 bits of the hash."""
+    return (((keys >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
+
+
+def feature_totals(docs: DataFrame, buckets: int) -> DataFrame:
+    """One row per bucket: sorted hashes of skips, pairs and triples of all rows of (text), and their counts."""
+
+    def count(batches):
+        cache, held, size = Keys(), [], 0
+
+        def flush():
+            key, n = np.unique(_placed(np.concatenate(held), buckets), return_counts=True)
+            rows = [(b, pack(key[s].astype(np.uint32), True), pack(n[s].astype(np.int64))) for b, s in _runs((key >> np.uint64(32)).astype(np.int64))]
+            held.clear()
+            return _rows(["bucket", "fkey", "fn"], [pa.int32(), pa.binary(), pa.binary()], rows).to_batches()
+
+        for batch in batches:
+            for part in slices(batch, 0, SLICE):
+                texts = [words(t) for t in utf8(part.column(0))]
+                if not texts:
+                    continue
+                keys = np.array([k for ws in texts for k in (*map(cache.__getitem__, ws), END_KEY)], np.uint64)
+                place = _places(texts)
+                skip, pair, triple = feature_keys(keys, place)
+                # a text's last word has its end as skip too, so that a word has as many skips as tokens
+                ends = np.flatnonzero((keys == END_KEY) & (place >= 1))
+                held += [skip[place >= 2], pair, triple[place >= 1], _mixed(1, keys[ends - 1], keys[ends])]
+                size += 3 * len(keys)
+                if size > HELD:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def total(t: pa.Table) -> pa.Table:
+        key = np.concatenate([unpack(x, np.uint32, True) for x in t.column("fkey").to_pylist()])
+        n = np.concatenate([unpack(x, np.int64) for x in t.column("fn").to_pylist()])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[cut], np.add.reduceat(n, cut)
+        kind = key & np.uint32(3)
+        few = n < OFTEN
+        times = np.bincount(kind[few] * OFTEN + n[few], minlength=4 * OFTEN).tolist()
+        row = (t.column("bucket")[0].as_py(), pack(key, True), pack(n), times, _bins(n[kind == 2]).tolist())
+        return _rows(["bucket", "fkey", "fn", "ftimes", "fbins"], [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], [row])
+
+    kinds = "bucket int, fkey binary, fn binary"
+    return docs.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(total, f"{kinds}, ftimes array<long>, fbins array<long>")
+
+
+def spreads(totals: DataFrame, features: DataFrame) -> tuple[float, float, float]:
+    """Of skip, pair and triple. Histories of the first two are words (or starts, as many as ends), of the last pairs."""
+
+    def summed(table, column, n):
+        got = {r["i"]: r["x"] for r in table.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()}
+        return np.array([got.get(i, 0) for i in range(n)], np.int64)
+
+    by_word, by_pair, times = summed(totals, "bins", BINS), summed(features, "fbins", BINS), summed(features, "ftimes", 4 * OFTEN).reshape(4, OFTEN)
+    return fit_spread(by_word, times[1]), fit_spread(by_word, times[2]), fit_spread(by_pair, times[3])
 
 
 def word_totals(docs: DataFrame, buckets: int) -> DataFrame:
@@ -159,12 +312,12 @@ def word_totals(docs: DataFrame, buckets: int) -> DataFrame:
         np.add.at(mass, tail[word], n[word])
         best = np.lexsort((key[word], -n[word]))[:TOP]
         top = [{"key": int(k) - (1 << 63), "n": int(c), "tail": int(z)} for k, c, z in zip(key[word][best], n[word][best], tail[word][best])]
-        row = (t.column("bucket")[0].as_py(), key.tobytes(), n.tobytes(), int(n.sum()), len(key), int((n == 1).sum()), mass.tolist(), top)
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("tail", pa.int32())]))]
-        return _rows(["bucket", "key", "n", "tokens", "known", "once", "mass", "top"], kinds, [row])
+        row = (t.column("bucket")[0].as_py(), key.tobytes(), n.tobytes(), int(n.sum()), len(key), int((n == 1).sum()), mass.tolist(), top, _bins(n).tolist())
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("tail", pa.int32())])), pa.list_(pa.int64())]
+        return _rows(["bucket", "key", "n", "tokens", "known", "once", "mass", "top", "bins"], kinds, [row])
 
     packed = docs.select("text").mapInArrow(count, "bucket int, key binary, tail binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(total, "bucket int, key binary, n binary, tokens long, known long, once long, mass array<long>, top array<struct<key:long,n:long,tail:int>>")
+    return packed.groupBy("bucket").applyInArrow(total, "bucket int, key binary, n binary, tokens long, known long, once long, mass array<long>, top array<struct<key:long,n:long,tail:int>>, bins array<long>")
 
 
 class Classes:
@@ -243,13 +396,16 @@ def fit(counts: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
                     total = grad if total is None else total + grad
                     ll, seen = ll + value, seen + int(n.sum())
             if total is not None:
-                yield from _rows(["grad", "ll", "seen"], [pa.binary(), pa.float64(), pa.int64()], [(total.tobytes(), ll, seen)]).to_batches()
+                rows = np.flatnonzero(total.any(1))  # most of a task's rows are 0: they need no way to the driver
+                yield from _rows(["at", "grad", "ll", "seen"], [pa.binary(), pa.binary(), pa.float64(), pa.int64()], [(rows.tobytes(), total[rows].tobytes(), ll, seen)]).to_batches()
 
-        # PARTS rows of the weights' fixed size, whatever the input
-        got = dealt.mapInArrow(step, "grad binary, ll double, seen long").collect()
+        # PARTS rows of at most the weights' fixed size, whatever the input
+        got = dealt.mapInArrow(step, "at binary, grad binary, ll double, seen long").collect()
         if not got:
             break
-        grad = sum(np.frombuffer(r["grad"], np.float32).reshape(weights.shape).astype(np.float64) for r in got)
+        grad = np.zeros(weights.shape)
+        for r in got:
+            grad[np.frombuffer(r["at"], np.int64)] += np.frombuffer(r["grad"], np.float32).reshape(-1, CLASSES)
         grad[1:] -= PRIOR * weights[1:]  # rare histories stay with the class shares
         grad /= max(1, sum(r["seen"] for r in got))
         squares += (grad * grad).astype(np.float32)
@@ -276,6 +432,16 @@ def train(docs: DataFrame, totals: DataFrame, steps: int = STEPS) -> Model:
     return Model(sums["tokens"], sums["known"], unseen, top, mass, weights)
 
 
+def stacked(p: np.ndarray, n: np.ndarray, of_history: np.ndarray, factor: float) -> np.ndarray:
+    """`p` with a level's evidence: n tokens of of_history were seen. A level without its history changes nothing."""
+    spread = factor * np.maximum(of_history, 1) ** HEAPS
+    return np.where(of_history > 0, (np.minimum(n, of_history) + spread * p) / (of_history + spread), p)
+
+
+def _places(texts: list[list[bytes]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(len(ws) + 1) for ws in texts)])
+
+
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
     T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -298,29 +464,42 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     shards, buckets = shards_for(size, SHARD_BYTES, 4), shards_for(size, BUCKET_BYTES, 4)
     training = base.where(~F.col("held"))
     totals = checkpointed(word_totals(training, buckets))
+    features = checkpointed(feature_totals(training, buckets))
+    spread = spreads(totals, features)
     model = spark.sparkContext.broadcast(train(training, totals, steps))
     dealt = base.withColumn("shard", F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")).select("shard", "id", "text", "held").groupBy("shard")
 
     def ask(t: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for batch in t.to_batches():
-            for text in utf8(batch.column(2)):
-                seen.update(words(text))
-        keys = np.unique(np.array([word_key(w) for w in seen] + [END_KEY], np.uint64))
+        texts = [words(text) for batch in t.to_batches() for text in utf8(batch.column(2))]
+        of = {w: word_key(w) for w in {w for ws in texts for w in ws}}
+        keys = np.unique(np.array([*of.values(), END_KEY], np.uint64))
         keys = keys[np.argsort(_bucket(keys, buckets), kind="stable")]
+        found = np.sort(asked_features(np.array([k for ws in texts for k in (*map(of.__getitem__, ws), END_KEY)], np.uint64), _places(texts)))
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])]  # np.unique is slower without an inverse
         shard = t.column("shard")[0].as_py()
-        return _rows(["bucket", "shard", "key"], [pa.int32(), pa.int32(), pa.binary()], [(b, shard, keys[s].tobytes()) for b, s in _runs(_bucket(keys, buckets))])
+        rows = [(b, shard, keys[s].tobytes(), None) for b, s in _runs(_bucket(keys, buckets))]
+        rows += [(b, shard, None, pack(found[s].astype(np.uint32), True)) for b, s in _runs((found >> np.uint64(32)).astype(np.int64))]
+        return _rows(["bucket", "shard", "key", "fkey"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()], rows)
+
+    def asked_features(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return _placed(np.concatenate(feature_keys(keys, place)), buckets)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         key, n = _cat(right.column("key"), np.uint64), _cat(right.column("n"), np.int64)
+        blobs = [(x, y) for x, y in zip(right.column("fkey").to_pylist(), right.column("fn").to_pylist()) if x]
+        fkey, fn = (unpack(blobs[0][0], np.uint32, True), unpack(blobs[0][1], np.int64)) if blobs else (np.zeros(1, np.uint32), np.zeros(1, np.int64))
         rows = []
-        if len(key):
-            for shard, blob in zip(left.column("shard").to_pylist(), left.column("key").to_pylist()):
+        for bucket, shard, blob, fblob in zip(*(left.column(c).to_pylist() for c in ("bucket", "shard", "key", "fkey"))):
+            if fblob:  # a count for each hash in the order asked, 0 where there is none
+                asked = unpack(fblob, np.uint32, True)
+                at = np.minimum(np.searchsorted(fkey, asked), len(fkey) - 1)
+                rows.append((shard, None, None, bucket, pack(np.where(fkey[at] == asked, fn[at], 0))))
+            elif len(key):
                 asked = np.frombuffer(blob, np.uint64)
                 at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
                 hit = key[at] == asked
-                rows.append((shard, asked[hit].tobytes(), n[at[hit]].tobytes()))
-        return _rows(["shard", "key", "n"], [pa.int32(), pa.binary(), pa.binary()], rows)
+                rows.append((shard, asked[hit].tobytes(), n[at[hit]].tobytes(), bucket, None))
+        return _rows(["shard", "key", "n", "bucket", "fn"], [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()], rows)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         m = model.value
@@ -341,12 +520,25 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
         base_term = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.known + 1)))
         seen = c > 0
         own = np.where(seen, np.log10(np.maximum(c, 1) / np.maximum(m.mass[classes], 1)) + np.log10(1 - m.unseen), np.log10(m.unseen))
-        for doc_id, out_, w in docs_:
-            cls = classes[w]
-            of_class = table[_histories(cls), cls]
-            out.append((doc_id, out_, len(w), int(seen[w].sum()), m.tokens, float(base_term[w].sum()), float(own[w].sum() + of_class[seen[w]].sum())))
+        all_w = np.concatenate([w for _, _, w in docs_]) if docs_ else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(w)) for _, _, w in docs_]) if docs_ else all_w
+        _, where = np.unique(asked_features(keys[all_w], place), return_inverse=True)
+        told = sorted((b, x) for b, x in zip(right.column("bucket").to_pylist(), right.column("fn").to_pylist()) if x)
+        skip, pair, triple = np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.int64) for _, x in told)])[where].reshape(3, -1)
+        before = c[np.where(place >= 1, np.roll(all_w, 1), -1)]
+        levels = ((skip, np.where(place >= 2, c[np.roll(all_w, 2)], 0)), (pair, before), (triple, np.where(place >= 1, np.roll(pair, 1), 0)))
+        cls = classes[all_w]
+        history = np.where(place >= 2, np.roll(cls, 2), START) * (CLASSES + 1) + np.where(place >= 1, np.roll(cls, 1), START)
+        p = 10.0 ** (own[all_w] + np.where(seen[all_w], table[history, cls], 0))
+        for (got, of_history), factor in zip(levels, spread):
+            p = stacked(p, got, of_history, factor)
+        starts = np.flatnonzero(place == 0)
+        sums = zip(*(np.add.reduceat(x, starts).tolist() if len(starts) else [] for x in (seen[all_w].astype(np.int64), base_term[all_w], np.log10(p))))
+        for (doc_id, out_, w), (n_seen, of_base, of_model) in zip(docs_, sums):
+            out.append((doc_id, out_, len(w), n_seen, m.tokens, of_base, of_model))
         return _rows(RESULT.names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], out)
 
-    asked = dealt.applyInArrow(ask, "bucket int, shard int, key binary")
-    told = asked.groupBy("bucket").cogroup(totals.select("bucket", "key", "n").groupBy("bucket")).applyInArrow(answer, "shard int, key binary, n binary")
+    asked = dealt.applyInArrow(ask, "bucket int, shard int, key binary, fkey binary")
+    known = totals.select("bucket", "key", "n").unionByName(features.select("bucket", "fkey", "fn"), allowMissingColumns=True)
+    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "shard int, key binary, n binary, bucket int, fn binary")
     return dealt.cogroup(told.groupBy("shard")).applyInArrow(judge, RESULT)
