@@ -240,6 +240,22 @@ def test_html_wrapper(spark):
     assert sorted((r.page_id, r.text) for r in joined) == sorted((r.page_id, r.text) for r in got)
 
 
+def test_html_wrapper_keeps_every_varying_slot(spark):
+    # a short lead beside a long body, and the host's constant box between them
+    page = "<title>t{i}</title><article><header><h1>Title {i}</h1></header><div class=lead>Lead {i}</div><div class=box>Read more here</div><div class=body>{b}</div></article>"
+    rows = [(i, f"http://c.example/{i}", page.format(i=i, b=f"body {i} " * 100)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_wrapper.add_text(spark.createDataFrame(rows, PAGES)).select("page_id", "main.text").collect()}
+    assert got == {i: f"Title {i}\nLead {i}\n{('body %d ' % i * 100).strip()}" for i in range(4)}
+
+
+def test_html_wrapper_uses_every_page(spark):
+    # many copies of one page, no titles, and content behind more than 400 containers
+    page = "<div class=head>Site name</div>" + "<div></div>" * 500 + "<div class=text>Story {i}</div>"
+    rows = [(100 * i + k, f"http://d.example/{i}", page.format(i=i)) for i in range(6) for k in range(30)]
+    got = html_wrapper.add_text(spark.createDataFrame(rows, PAGES)).select("page_id", "main.text").collect()
+    assert len(got) == len(rows) and all(r.text == f"Story {r.page_id // 100}" for r in got)
+
+
 def brute_repeats(rows, length=50):
     rows = sorted(((i if i is not None else 1 << 62, (t or "").encode()) for i, t in rows), key=lambda r: r[0])
     first = {}

@@ -1,14 +1,15 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are parsed to trees and aligned by simple tree matching. Nodes
-whose text is the same on all pages are the host's template; nodes whose text
-varies are slots. The slot that holds nearly all varying text outside menus,
-headers, footers, notices, adverts and the like is the content, and its path is
-the host's wrapper. A page that the wrapper doesn't fit, or whose host has no
-other page, falls back on its own article, main or body element.
-
-Wrappers are fitted on a bounded number of pages a host (those with the smallest
-hashes, cut down in each task before they are shuffled); every page is extracted.
+Pages of one host are aligned by the paths of their containers: a slot is a path of
+labels and its number among the page's containers of that path. Slots whose text is
+the same on all pages that have them are the host's template, all others are content.
+A host's wrapper is the set of its template slots; a page's text is what stands in its
+other slots outside menus, headers, footers, notices, adverts and the like. A page
+whose host has no other page, or of which nothing would be left, falls back on its own
+article, main or body element.
+
+Every page takes part: a slot needs only the least and greatest hash of its texts,
+pages and titles, which are merged from anywhere.
 """
 
 from __future__ import annotations
@@ -16,17 +17,15 @@ from __future__ import annotations
 import html as _html
 import json
 import re
-from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bound_batches, fresh
+from .common import annotate, bound_batches, fresh, slices
 
-#: Pages of a host that its wrapper is fitted on, at most.
-SAMPLE = 12
 #: Wrappers are broadcast up to so many bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
 
@@ -144,110 +143,79 @@ def blocks(node: Node, inside: bool = True) -> list[str]:
     return out
 
 
-def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest top-down alignment of two trees, as pairs of nodes."""
-    if a.label != b.label:
-        return []
-    x, y = a.children(), b.children()
-    # equal ends need no table
-    head = 0
-    while head < min(len(x), len(y)) and x[head].label == y[head].label:
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail].label == y[-1 - tail].label:
-        tail += 1
-    pairs = [(a, b)]
-    for p, q in [*zip(x[:head], y[:head]), *(zip(x[len(x) - tail :], y[len(y) - tail :]) if tail else ())]:
-        pairs += matching(p, q)
-    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
-    if p and q:
-        found = [[matching(u, v) for v in q] for u in p]
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) - 1, -1, -1):
-            for j in range(len(q) - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + len(found[i][j]))
-        i = j = 0
-        while i < len(p) and j < len(q):
-            if best[i][j] == best[i + 1][j]:
-                i += 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
+#: Paragraph-like nodes are text of their parent: they are not slots of their own.
+_LEAF = frozenset("p li dt dd tr td th br hr h1 h2 h3 h4 h5 h6 pre blockquote".split())
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def slots(root: Node) -> tuple[list[tuple[str, ...]], list[int], list[tuple[int, str]]]:
+    """Of a page outside furniture: the paths and the slot hashes of containers, and (container, block) in page order."""
+    paths, keys, seen, out, run = [], [], {}, [], []
+
+    def container(path: tuple[str, ...]) -> int:
+        k = seen[path] = seen.get(path, -1) + 1
+        paths.append(path)
+        keys.append(_hash(f"{k} {' '.join(path)}"))
+        return len(paths) - 1
+
+    def flush(owner: int):
+        text = " ".join(_html.unescape("".join(run)).split())
+        run.clear()
+        if text:
+            out.append((owner, text))
+
+    todo = [(root, False, 0, container((root.label,)), False)]
+    while todo:
+        x, within, i, owner, leaf = todo.pop()
+        if i < len(x.items):
+            todo.append((x, within, i + 1, owner, leaf))
+            y = x.items[i]
+            if isinstance(y, str):
+                run.append(y)
+            elif y.tag == "br":
+                run.append(" ")
+            elif y.tag in RAW or furniture(y, within):
+                if y.tag not in INLINE:
+                    flush(owner)
             else:
-                pairs += found[i][j]
-                i, j = i + 1, j + 1
-    return pairs
+                if y.tag not in INLINE:
+                    flush(owner)
+                # what a paragraph or an inline element holds is its text
+                inner = leaf or y.tag in _LEAF or y.tag in INLINE
+                todo.append((y, within or y.tag in ("article", "main"), 0, owner if inner else container((*paths[owner], y.label)), inner))
+        elif x.tag not in INLINE:
+            flush(owner)
+    flush(0)
+    return paths, keys, out
 
 
-#: Paragraph-like nodes are text of their parent: they are not aligned one by one.
-_LEAF = frozenset("p li dt dd tr td th br hr h1 h2 h3 h4 h5 h6 pre blockquote".split())
-#: Nodes of a tree that are aligned at most; what lies beyond counts as its parent's text.
-_MOST_NODES = 400
-
-
-def _skeleton(node: Node) -> tuple[Node, dict[int, str]]:
-    """The tree of containers, and the folded text of each (its own and its paragraphs')."""
-    texts: dict[int, str] = {}
-    made = 0
-
-    def copy(n: Node, depth: int) -> Node:
-        nonlocal made
-        made += 1
-        out = Node(n.tag)
-        out.label, out.marks = n.label, n.marks
-        own = []
-        for x in n.items:
-            if isinstance(x, str):
-                own.append(x)
-            elif x.tag in _LEAF or x.tag in INLINE or depth > 40 or made > _MOST_NODES:
-                own += blocks(x)
-            elif x.tag not in RAW:
-                out.items.append(copy(x, depth + 1))
-        texts[id(out)] = " ".join(" ".join(own).split())
-        return out
-
-    return copy(node, 0), texts
+def slot_texts(root: Node) -> dict[int, tuple[tuple[str, ...], str]]:
+    """Path and text (its own and its paragraphs') of each slot that has text."""
+    paths, keys, found = slots(root)
+    texts: dict[int, list[str]] = {}
+    for owner, text in found:
+        texts.setdefault(owner, []).append(text)
+    return {keys[o]: (paths[o], "\n".join(t)) for o, t in texts.items()}
 
 
 def induce(pages: list[str]) -> list[str] | None:
-    """The path of labels to the content slot of pages of one host, or None where nothing varies.
-
-    Pages with the same title text count once, so that copies of a page don't pass
-    for a template.
-    """
-    trees, titles = [], set()
+    """The path of labels to the lowest container of all varying slots of pages of one host, or None where nothing varies."""
+    texts: dict[int, set[str]] = {}
+    paths = {}
     for page in pages:
-        root = parse(page)
-        title = _title(root)
-        if title in titles:
-            continue
-        titles.add(title)
-        trees.append(_skeleton(root))
-    if len(trees) < 2:
+        for key, (path, text) in slot_texts(parse(page)).items():
+            paths[key] = path
+            texts.setdefault(key, set()).add(text)
+    varying = [paths[k] for k, t in texts.items() if len(t) > 1]
+    if not varying:
         return None
-    base, base_texts = max(trees, key=lambda t: len(t[1]))
-    others: dict[int, list[str]] = {}
-    for tree, texts in trees:
-        if tree is base:
-            continue
-        for p, q in matching(base, tree):
-            others.setdefault(id(p), []).append(texts[id(q)])
-    weight: Counter = Counter()
-
-    def weigh(n: Node, path: tuple, inside: bool) -> int:
-        if n.tag != "#root" and furniture(n, inside):
-            return 0
-        own, seen = base_texts[id(n)], others.get(id(n), [])
-        varies = any(t != own for t in seen)
-        total = (len(own) + sum(map(len, seen))) if varies else 0
-        path = (*path, n.label)
-        total += sum(weigh(c, path, inside or n.tag in ("article", "main")) for c in n.children())
-        weight[path] += total
-        return total
-
-    whole = weigh(base, (), False)
-    if not whole:
-        return None
-    return list(max((p for p, w in weight.items() if w >= 0.9 * whole), key=len))
+    n = 0
+    while n < min(map(len, varying)) and len({v[n] for v in varying}) == 1:
+        n += 1
+    return list(varying[0][:n])
 
 
 def _title(root: Node) -> str:
@@ -260,13 +228,6 @@ def _title(root: Node) -> str:
     return ""
 
 
-def _find(root: Node, path: list[str]) -> list[Node]:
-    found = [root] if root.label == path[0] else []
-    for label in path[1:]:
-        found = [c for n in found for c in n.children() if c.label == label]
-    return found
-
-
 def _first(root: Node, tags: tuple[str, ...]) -> list[Node]:
     """Outermost elements of `tags`, outside furniture."""
     out, todo = [], [root]
@@ -279,13 +240,17 @@ def _first(root: Node, tags: tuple[str, ...]) -> list[Node]:
     return out
 
 
-def extract(page: str | None, wrapper: list[str] | None = None) -> str:
-    """The main text of a page: blocks of the wrapper's slot, else of article, main, body or all."""
+def extract(page: str | None, template: frozenset[int] | None = None) -> str:
+    """The main text of a page: blocks of the slots that aren't the host's template, else of article, main, body or all."""
     if not page:
         return ""
     root = parse(page)
-    slots = _find(root, wrapper) if wrapper else []
-    for nodes in (slots, _first(root, ("article",)), _first(root, ("main",)), _first(root, ("body",)), [root]):
+    if template is not None:
+        _, keys, found = slots(root)
+        made = [text for owner, text in found if keys[owner] not in template]
+        if made:
+            return "\n".join(made)
+    for nodes in (_first(root, ("article",)), _first(root, ("main",)), _first(root, ("body",)), [root]):
         if nodes:
             made = [b for n in nodes for b in blocks(n, inside=n.tag in ("article", "main"))]
             if made:
@@ -296,23 +261,37 @@ def extract(page: str | None, wrapper: list[str] | None = None) -> str:
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)"
 
 
-def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, path): the wrapper of each host with pages enough, as a JSON list of labels."""
+def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, path): the template slots of each host with at least two different pages and a varying slot, as a JSON list of hashes.
+
+    Pages of one title that differ elsewhere don't make a template while the host has
+    other titles, so that copies of a page don't pass for one.
+    """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST, 1))
     keyed = pages.select(host.alias("host"), F.col(html_col).alias("html")).where("html is not null")
-    # the rank's limit is applied in each task first, so a large host sends a few pages a task
-    few = keyed.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html"), F.length("html")))).where(F.col("k") <= sample)
-
-    def fit(t: pa.Table) -> pa.Table:
-        order = sorted(zip(t.column("k").to_pylist(), t.column("html").to_pylist()))
-        path = induce([h for _, h in order])
-        rows = [] if path is None else [(t.column("host")[0].as_py(), json.dumps(path))]
-        return pa.table([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["host", "path"])
-
-    return few.groupBy("host").applyInArrow(fit, "host string, path string")
-
 
-def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main", sample: int = SAMPLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    def told(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows = []
+                for name, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    root = parse(page)
+                    whole, title = _hash(page), _hash(_title(root))
+                    rows += [(name, key, _hash(text), whole, title) for key, (_, text) in slot_texts(root).items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(5)], names=["host", "slot", "text", "page", "title"])
+
+    rows = keyed.mapInArrow(told, "host string, slot long, text long, page long, title long")
+    ends = lambda *cs: [f(c).alias(f"{c}_{n}") for c in cs for f, n in ((F.min, "a"), (F.max, "z"))]
+    slot = rows.groupBy("host", "slot").agg(*ends("text", "page", "title"))
+    same = F.expr("text_a = text_z and page_a < page_z")
+    of_host = slot.groupBy("host").agg(
+        F.collect_list(F.when(same, F.col("slot"))).alias("loose"), F.collect_list(F.when(same & F.expr("title_a < title_z"), F.col("slot"))).alias("strict"), F.max(F.expr("text_a < text_z")).alias("varies"),
+        F.expr("min(title_a) < max(title_z)").alias("titled"),
+    )
+    return of_host.where("varies").select("host", F.to_json(F.array_sort(F.when(F.col("titled"), F.col("strict")).otherwise(F.col("loose")))).alias("path"))
+
+
+def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`pages` with a struct column `name`: text and n_chars of the main text.
 
     Null or empty html gives an empty text; a null url or one without a host goes
@@ -320,7 +299,7 @@ def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     """
     spark = pages.sparkSession
     bound_batches(spark)
-    found = wrappers(pages, url_col=url_col, html_col=html_col, sample=sample).persist()
+    found = wrappers(pages, url_col=url_col, html_col=html_col).persist()
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("path")).cast("long")).first()[0] or 0
     host, path = fresh(pages, "host"), fresh(pages, "path")
     keyed = pages.withColumn(host, F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST, 1)))
@@ -332,7 +311,7 @@ def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def make():
-        known: dict[str, list[str]] = {}
+        known: dict[str, frozenset[int]] = {}
 
         def one(column):
             texts = []
@@ -341,7 +320,7 @@ def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
                 if head and head not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[head] = json.loads(head)
+                    known[head] = frozenset(json.loads(head))
                 texts.append(extract(page, known.get(head)))
             return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["text", "n_chars"])
 
