@@ -362,6 +362,23 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.find_licenses(empty).count() == 0 and license_scan.find_licenses(docs).where("licenses.n_blocks > 0").count() == 0
 
 
+def test_license_scan_wrapped():
+    scan = license_scan.Scanner().scan
+    for name, wordings in license_scan.TEMPLATES.items():
+        for wording in wordings:
+            w = wording.split()
+            for mark in ("", " * ", "// ", "# ", "REM "):
+                text = "int x;\n" + "\n".join(mark + " ".join(w[i : i + 4]) for i in range(0, len(w), 4)) + "\nint y;"
+                found = {f["license"]: f for f in scan(text)[1]}
+                assert name in found and found[name]["differences"] == [] and found[name]["start"] == 7, (name, text)
+    assert scan("licensed under the GNU General\nPublic License, version\n9.")[1] == []
+
+
+def test_license_scan_names_all():
+    line = " ".join(w[0] for w in license_scan.TEMPLATES.values())
+    assert {f["license"] for f in license_scan.Scanner().scan(line)[1]} == set(license_scan.TEMPLATES)
+
+
 def test_lm_score(docs, rows, empty):
     got = lm_score.score(docs, steps=3).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0

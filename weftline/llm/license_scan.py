@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
 A candidate block is compressed plainly and with each template as a zstandard raw
-dictionary; the template that saves most bytes is the likeliest. The winners are
-confirmed by comparing words: the template's wording must stand in the block with
-few words missing, put in or changed, and those differences are reported.
+dictionary; the template that saves most bytes is the likeliest. All are confirmed by
+comparing words: the template's wording must stand in the block with few words
+missing, put in or changed, and those differences are reported. Notices may be wrapped:
+around each cue word every wording is also laid on the text's words across lines,
+without comment marks.
 
-Every wording holds a cue word, so looking for cues first loses no confirmed find.
+Every wording holds a cue word; one whose cue words are all missing isn't looked for.
 A narrow map over documents; nothing is shuffled.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -39,11 +42,11 @@ TEMPLATES = {
 CUES = ("licen", "permission", "redistribution")
 #: Words that may differ, as a share of a wording's words; names and versions may not.
 TOLERANCE = 0.15
-#: Templates compared word by word, best savings first.
-RANKED = 4
 #: A block is a line, or a part of a long line that overlaps the next by half.
 BLOCK_CHARS = 4000
 
+#: Comment marks that read as words.
+_REMARK = re.compile(r"^[ \t]*(?:rem|dnl)\b", re.M)
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 #: Words that name a licence: they must agree exactly.
 _KEY = re.compile(r"\d|^(?:mit|apache|bsd|gnu|mozilla|affero|lesser|creative|commons|cc|by|by-.*|attribution.*|noncommercial|sharealike)$")
@@ -90,14 +93,16 @@ class Scanner:
         plain = len(self.plain.compress(raw))
         return sorted(((plain - len(c.compress(raw)), name) for name, c in self.with_dict.items()), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, name: str, block_words: list[str]) -> list[str] | None:
-        """Word differences of the best wording of a template in a block; None if it isn't there.
+    def differences(self, name: str, block_words: list[str], wordings: list[list[str]] | None = None) -> list[str] | None:
+        """Word differences of the best wording of a template (or of `wordings`) in a block; None if it isn't there.
 
         An insertion within the wording reads `+word`, a missing word `-word`.
         """
-        best = None
-        for wording in self.wordings[name]:
+        best, have = None, set(block_words)
+        for wording in wordings or self.wordings[name]:
             n = len(wording)
+            if len(set(wording) - have) > (max(1, int(TOLERANCE * n)) if n >= 7 else 0):
+                continue  # too many of its words are nowhere in the block
             if any(block_words[i : i + n] == wording for i in range(len(block_words) - n + 1)):
                 return []
             most = max(1, int(TOLERANCE * n)) if n >= 7 else 0
@@ -116,20 +121,50 @@ class Scanner:
                 best = diff
         return best
 
+    def wrapped(self, text: str) -> list[tuple[int, str, str, list[str]]]:
+        """(start of the first line, template, its text, differences) of wordings laid on each cue word across lines."""
+        low = _REMARK.sub(lambda m: " " * len(m[0]), text.lower())
+        at = [(m.start(), m.end()) for m in _WORD.finditer(low)]
+        ws = [low[a:z] for a, z in at]
+        lines = [0, *(m.end() for m in re.finditer("\n", low))]
+        # lower case may be longer than the text: lines are told by their number
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        line = [bisect_right(lines, a) - 1 for a, _ in at]
+        best: dict[tuple[int, str], tuple] = {}
+        for c in (i for i, w in enumerate(ws) if any(x in w for x in CUES)):
+            for name, wordings in self.wordings.items():
+                for wording in wordings:
+                    n = len(wording)
+                    most = max(1, int(TOLERANCE * n)) if n >= 7 else 0
+                    for q in (i for i, w in enumerate(wording) if any(x in w for x in CUES)):
+                        first, end = max(0, c - q - most), min(len(ws), c - q + n + most)
+                        if end <= first or line[first] == line[end - 1]:
+                            continue  # on one line, where it has been looked for
+                        part = ws[first:end]
+                        diff = self.differences(name, part, [wording])
+                        if diff is None:
+                            continue
+                        spans = [m for m in difflib.SequenceMatcher(None, wording, part, autojunk=False).get_matching_blocks() if m.size]
+                        a, z = first + spans[0].b, first + spans[-1].b + spans[-1].size
+                        key = (starts[line[a]], name)
+                        if key not in best or len(diff) < len(best[key][3]):
+                            best[key] = (*key, low[at[a][0] : at[z - 1][1]], diff)
+        return list(best.values())
+
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """The number of candidate blocks, and the confirmed finds."""
         found, blocks = {}, line_blocks(text)
         for start, block in blocks:
             w = words(block)
-            taken = 0
             for saved, name in self.savings(block):
-                # all templates that save are tried while none of the best is confirmed
-                if saved <= 0 or (taken >= RANKED and any(s == start for s, _ in found)):
-                    break
-                taken += 1
                 diff = self.differences(name, w)
                 if diff is not None:
                     found.setdefault((start, name), {"license": name, "start": start, "saved": saved, "differences": diff})
+        for start, name, window, diff in self.wrapped(text):
+            end = text.find("\n", start)  # a long line's finds stand at its parts
+            if not any(n == name and start <= s and (s < end or end < 0) for s, n in found):
+                saved = {n: k for k, n in self.savings(window)}
+                found[start, name] = {"license": name, "start": start, "saved": saved[name], "differences": diff}
         return len(blocks), [found[k] for k in sorted(found)]
 
 
