@@ -98,3 +98,11 @@ def test_stream(spark, tmp_path):
     ingest_stream(*args).awaitTermination(120)
     got = graph_store.GraphStore(spark, str(tmp_path / "store")).tables()["entities"]
     assert {r.id: r.mentions for r in got.collect()} == {"alpha": 1, "beta": 1, "delta": 1}
+
+
+def test_offline_extractor_keeps_every_recurring_name():
+    names = [f"Name{x}" for x in "abcdefghijkl"]
+    sentence = "In a long sentence " + " and ".join(names) + " meet."
+    entities, relations = extraction.OfflineExtractor().extract(f"{sentence} {sentence}")
+    assert [e["name"] for e in entities] == names and len(relations) == 66
+    assert {r["description"] for r in relations} == {sentence}

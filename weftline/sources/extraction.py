@@ -29,8 +29,8 @@ class Extractor(Protocol):
 class OfflineExtractor:
     """Capitalised words that recur are entities; two in one sentence are related."""
 
-    def __init__(self, least: int = 2, most: int = 8):
-        self.least, self.most = least, most
+    def __init__(self, least: int = 2):
+        self.least = least
 
     def extract(self, text: str) -> tuple[list[dict], list[dict]]:
         sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s]
@@ -39,14 +39,15 @@ class OfflineExtractor:
         for names in found:
             for n in names:
                 counts[n] = counts.get(n, 0) + 1
-        kept = sorted((n for n, c in counts.items() if c >= self.least), key=lambda n: (-counts[n], n))[: self.most]
+        kept = sorted((n for n, c in counts.items() if c >= self.least), key=lambda n: (-counts[n], n))
+        chosen = set(kept)
         entities = [{"name": n, "type": "CONCEPT", "description": f"in {counts[n]} sentences"} for n in kept]
         relations, seen = [], set()
         for s, names in zip(sentences, found):
-            for a, b in combinations([n for n in names if n in kept], 2):
+            for a, b in combinations([n for n in names if n in chosen], 2):
                 if (a, b) not in seen:
                     seen.add((a, b))
-                    relations.append({"source": a, "target": b, "relation": "CO_OCCURS", "description": s[:80]})
+                    relations.append({"source": a, "target": b, "relation": "CO_OCCURS", "description": s})
         return entities, relations
 
 
