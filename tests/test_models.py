@@ -70,3 +70,12 @@ def test_features(spark):
     got = {(r.d, r.word): r.tfidf for r in features.tf_idf(counts, "d", 2).collect()}
     a, b = 2 * (np.log(3 / 2) + 1), 1.0
     assert got[(1, "aa")] == pytest.approx(a / np.hypot(a, b)) and got[(2, "bb")] == pytest.approx(1.0)
+
+
+def test_tree_cross_validation_reads_whole_vectors(spark, tmp_path, monkeypatch):
+    from weftline.plans import queries
+
+    rows = [(i, [0.0] * 63 + [float(i % 2)], i % 2) for i in range(60)]  # only the last element tells
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.tree_cross_validation(spark, str(tmp_path)).collect()
+    assert [r.accuracy for r in got] == [1.0] * 3

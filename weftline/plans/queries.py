@@ -561,14 +561,16 @@ def tf_idf(spark, sf):
     return features.tf_idf(_tokens(spark, sf).select("doc_id", "word", "n"), "doc_id", n).withColumn("tfidf", _r("tfidf", 5))
 
 
-def _vectors(spark, sf, k: int = 8):
+def _vectors(spark, sf, k: int | None = None):
+    """The first k elements of each vector as columns, or all."""
     e = read(spark, sf, "embeddings")
+    k = k or e.agg(F.max(F.size("embedding"))).first()[0]
     return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(k)]), [f"x{i}" for i in range(k)]
 
 
 @query(" UNION ALL ".join(f"SELECT CAST(label AS DOUBLE) AS label, 'x{i}' AS feature, round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS mean FROM embeddings GROUP BY label" for i in range(8)))
 def gaussian_nb_means(spark, sf):
-    v, cols = _vectors(spark, sf)
+    v, cols = _vectors(spark, sf, 8)  # as many as the SQL has
     m = models.gaussian_nb(v, cols, "label")
     theta = m.theta.toArray()
     return spark.createDataFrame([(float(label), c, round(float(theta[i, j]), 5)) for i, label in enumerate(range(theta.shape[0])) for j, c in enumerate(cols)], "label double, feature string, mean double")
