@@ -37,7 +37,9 @@ def test_merge(spark):
     r = graph_store.merge_entities(log).first()
     assert (r.name, r.type, r.description, r.mentions, r.label) == ("A", "P", "longer", 3, "P")
     rel = spark.createDataFrame([(2, "a", "b", "T", "late", "c2"), (1, "a", "b", "T", "early", "c1"), (3, "a", "b", "T", "x", "c1"), (4, "a", "a", "T", "self", "c1")], "ord long, src string, tgt string, type string, description string, chunk_id string")
-    assert [tuple(x) for x in graph_store.merge_relations(rel).collect()] == [("a", "b", "T", "early", 3, ["c1", "c2"])]
+    assert [tuple(x) for x in graph_store.merge_relations(rel).collect()] == [("a", "b", "T", "early", 3)]
+    assert sorted(x.chunk_id for x in graph_store.relation_chunks(rel).collect()) == ["c1", "c2"]
+    assert graph_store.first_chunks(rel, 1).first().chunks == ["c1"] and graph_store.first_chunks(rel).first().chunks == ["c1", "c2"]
 
 
 def test_store(spark, tmp_path):
@@ -54,7 +56,7 @@ def test_store(spark, tmp_path):
     assert {r.id: r.mentions for r in store.tables(idempotent=True)["entities"].collect()}["alpha"] == 2
     whole = graph_store.GraphStore(spark, str(tmp_path / "w"))
     whole.ingest(pages.chunk_documents(docs, name_col="doc_id"), run_id="r", at="2024-01-01 00:00:00")
-    assert sorted(map(str, whole.tables()["relations"].drop("chunks").collect())) == sorted(map(str, store.tables(idempotent=True)["relations"].drop("chunks").collect()))
+    assert sorted(map(str, whole.tables()["relations"].collect())) == sorted(map(str, store.tables(idempotent=True)["relations"].collect()))
     assert store.exists(t["documents"].first().file_hash) and not store.exists("none")
     assert store.clear() > 0 and store.tables()["entities"].count() == 0
 
@@ -70,7 +72,7 @@ def test_queries(spark):
     dot = graph_files.to_dot(nodes, edges)
     assert dot.count("->") == 2 and dot.startswith("digraph")
     page = graph_files.to_html(nodes, edges, "<t>")
-    assert "&lt;t&gt;" in page and '"from"' in page
+    assert "&lt;t&gt;" in page and '"from"' in page and "legend" in page and graph_files.OTHER_COLOURS[0] in page
     assert graph_query.visible(nodes, "a").count() == 1
 
 
@@ -83,8 +85,62 @@ def test_client_retries():
             raise RuntimeError("503 busy" if len(calls) < 3 else "broken")
         return '{"entities": [], "relations": []}'
 
-    client = ClientExtractor(ask, "main", fallback="spare", tries=4, sleep=slept.append)
-    assert client.extract("x") == ([], []) and calls == ["main"] * 4 + ["spare"] and slept == [1.0, 2.0]
+    client = ClientExtractor(ask, "main", fallback="spare", tries=5, sleep=slept.append)
+    assert client.extract("x") == ([], []) and calls == ["main"] * 3 + ["spare"] and slept == [2.0, 4.0]
+    busy = ClientExtractor(lambda m, p: 1 / 0, "main", sleep=slept.append)
+    assert busy.call("x") == (None, "main") and slept == [2.0, 4.0]
+    assert ClientExtractor(lambda m, p: "[1]", "m").extract("x") == ClientExtractor(lambda m, p: "no", "m").extract("x") == ([], [])
+
+
+def test_strategies(spark):
+    one = '{"triples": [{"subject": " A ", "predicate": "Is", "object": "B"}, {"subject": "", "predicate": "p", "object": "q"}]}'
+    two = '{"triples": [{"subject": "A", "predicate": "is", "object": "C"}]}'
+
+    def caller(answers):
+        left = list(answers)
+        return extraction.Caller(lambda m, p: left.pop(0), "m", sleep=lambda s: None)
+
+    make = lambda name, *answers: extraction.STRATEGIES[name](caller(answers)).triples("t")
+    assert make("LLMGraphTransformer", one) == [("A", "is", "B")] and make("LLMGraphTransformer", "broken") == []
+    assert make("KGGen", one, two) == [("A", "is", "C")] and make("KGGen", one, "broken") == make("KGGen", one) == [("A", "is", "B")]
+    assert make("GT2KG", one, two) == [("A", "is", "C")] and make("GT2KG", one) == [("A", "is", "B"), ("", "p", "q")] and make("GT2KG") == []
+    graph = '{"entities": [{"name": "Ada B", "type": "x"}], "relations": [{"source": "ada b", "target": "Z", "relation": "KNOWS_OF"}]}'
+    assert make("CurrentGraphRAG", graph) == [("Ada B", "knows-of", "Z")]
+    texts = spark.createDataFrame([("d1", "x"), ("d2", None)], "doc string, text string")
+    got = extraction.extract_triples(texts, lambda: extraction.Caller(lambda m, p: '{"triples": [{"subject": "s", "predicate": "P", "object": "o"}]}', "m"), ["GT2KG", "unknown"]).collect()
+    assert {tuple(r) for r in got} == {("GT2KG (m)", d, 0, "s", "p", "o") for d in ("d1", "d2")}
+
+
+def test_ingest_fails_between_writes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "Alpha meets Beta. Alpha likes Beta here."), (2, "Gamma here. Gamma there.")], "doc_id long, text string")
+    chunks = pages.chunk_documents(docs, name_col="doc_id")
+    store = graph_store.GraphStore(spark, str(tmp_path / "s"))
+    store.ingest(chunks.where("filename = '2'"), run_id="r1", at="2024-01-01 00:00:00")
+    calls = []
+    real = type(docs.write).parquet
+
+    def failing(self, path, *args, **kw):
+        calls.append(path)
+        if "/documents/" in path:
+            raise RuntimeError("lost")
+        return real(self, path, *args, **kw)
+
+    monkeypatch.setattr(type(docs.write), "parquet", failing)
+    try:
+        store.ingest(chunks, run_id="r2", at="2024-01-02 00:00:00")
+        raise AssertionError("should have failed")
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(type(docs.write), "parquet", real)
+    assert any("/relation_log/" in c for c in calls)
+    assert {r.id for r in store.tables()["entities"].collect()} == {"gamma"}  # the broken run is invisible
+    told = []
+    assert store.ingest(chunks, run_id="r2", at="2024-01-02 00:00:00", progress=lambda *x: told.append(x))["chunks_processed"] == 1
+    assert told[0] == (0, 1, "extracting") and told[-1] == (1, 1, "extracted")
+    again = store.ingest(chunks, run_id="r2", at="2024-01-02 00:00:00", force=True)  # a run that is whole changes nothing
+    assert again["chunks_processed"] == 0
+    assert {r.id: r.mentions for r in store.tables()["entities"].collect()} == {"alpha": 1, "beta": 1, "gamma": 1}
+    assert store.tables()["relations"].first().weight == 1
 
 
 def test_stream(spark, tmp_path):
@@ -106,3 +162,72 @@ def test_offline_extractor_keeps_every_recurring_name():
     entities, relations = extraction.OfflineExtractor().extract(f"{sentence} {sentence}")
     assert [e["name"] for e in entities] == names and len(relations) == 66
     assert {r["description"] for r in relations} == {sentence}
+
+
+def test_pages_of_chunks():
+    def slow(texts, size):  # page by page, as a buffer that fills
+        import re
+
+        held, first, out = "", 1, []
+        for number, page in enumerate(texts, 1):
+            text = re.sub(r"[ \t]+", " ", re.sub(r"(\w+)-\n(\w+)", r"\1\2", (page or "").strip()))
+            if text:
+                first, held = (first, f"{held}\n\n{text}") if held else (number, text)
+                while len(held) >= size:
+                    at = held.rfind("\n\n", 0, size)
+                    at = held.rfind(". ", 0, size) if at < 0 else at
+                    at = at if at > 0 else size
+                    piece, held = held[:at].strip(), held[at:].strip()
+                    if piece:
+                        out.append((len(out), first, number, piece))
+                    first = number
+        return out + ([(len(out), first, len(texts), held)] if held else [])
+
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        texts = [rnd.choice([None, "", "  ", "".join(rnd.choice(["word ", "cut-\nup ", ". ", "\n\n", "x" * 9]) for _ in range(rnd.randrange(30)))]) for _ in range(rnd.randrange(6))]
+        assert list(pages.split_pages(texts, 40)) == slow(texts, 40)
+
+
+def test_csv_index_and_schema(spark, tmp_path):
+    from weftline.sources import csv_tables
+
+    df = spark.createDataFrame([(i * 7 % 50, f"v{i}") for i in range(50)], "k long, v string").repartition(5)
+    csv_tables.write_csv(df, str(tmp_path / "out"), index_by="k")
+    got = csv_tables.read_csv(spark, str(tmp_path / "out")).orderBy("index").collect()
+    assert [(r["index"], r.k) for r in got] == [(i, i) for i in range(50)]
+    (tmp_path / "bom.csv").write_bytes("\u00ef\u00bb\u00bfarea,price\r\n1,2\r\n".encode())
+    assert csv_tables.read_csv(spark, str(tmp_path / "bom.csv"), "homeprices").collect() == [(1, 2)]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from weftline import cli
+
+    monkeypatch.setattr(cli, "local_session", lambda *a: spark)
+    spark.createDataFrame([(1, "Alpha meets Beta. Alpha likes Beta.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda *args: cli.main(["--store", str(tmp_path / "store"), *args])
+    assert run("ingest", str(tmp_path)) == 0 and "1 of 1 chunks" in capsys.readouterr().out
+    for args, said in ((("stats",), "entities"), (("search", "alp"), "Alpha"), (("sql", "most_mentioned"), "Beta")):
+        assert run(*args) == 0 and said in capsys.readouterr().out
+    assert run("view", str(tmp_path / "g.html")) == 0 and "Alpha" in (tmp_path / "g.html").read_text()
+    opened = []
+    monkeypatch.setattr(cli.webbrowser, "open", opened.append)
+    assert run("browser") == 0 and opened[0].startswith("file://")
+    monkeypatch.setattr(cli.graph_files, "render", lambda *a, **k: False)
+    assert run("export-image", str(tmp_path / "g.png")) == 0 and "digraph" in (tmp_path / "g.png.dot").read_text()
+    assert run("clear") == 0 and "4 documents, chunks and entities" in capsys.readouterr().out
+
+
+def test_config(tmp_path):
+    from weftline.config import Config
+
+    (tmp_path / "c").write_text("# comment\nWEFTLINE_STORE=here\nWEFTLINE_MODEL = big \nnonsense\n")
+    assert Config.load(tmp_path / "c", {"WEFTLINE_MODEL": "other", "WEFTLINE_CORES": ""}) == Config(store="here", model="other")
+    assert Config.load(None, {}) == Config()
+
+
+def test_render_without_a_program(monkeypatch, tmp_path):
+    monkeypatch.setattr(graph_files.shutil, "which", lambda name: None)
+    assert graph_files.render("digraph {}", str(tmp_path / "x.png")) is False

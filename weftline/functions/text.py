@@ -155,3 +155,8 @@ def number_word(c: Column) -> Column:
 
 def yes_no(c: Column) -> Column:
     return F.when(F.lower(c) == "yes", 1).when(F.lower(c) == "no", 0)
+
+
+def triple_text(subject: str, predicate: str, obj: str) -> Column:
+    """A triple as it reads: (subject, predicate, object)."""
+    return F.concat(F.lit("("), F.concat_ws(", ", subject, predicate, obj), F.lit(")"))

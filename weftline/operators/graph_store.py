@@ -9,7 +9,11 @@ one by id alone: the first type wins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from collections.abc import Callable
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
@@ -25,10 +29,21 @@ def merge_entities(log: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def merge_relations(log: DataFrame, order: str = "ord") -> DataFrame:
-    """log: src, tgt, type, description, chunk_id and an order. Returns src, tgt, type, description, weight, chunks."""
-    o = F.col(order)
-    chunks = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(o.alias("o"), F.col("chunk_id").alias("c")))), lambda x: x["c"]))
-    return log.where("src <> tgt").groupBy("src", "tgt", "type").agg(F.min_by("description", o).alias("description"), F.count(F.lit(1)).alias("weight"), F.filter(chunks, lambda c: c.isNotNull()).alias("chunks"))
+    """log: src, tgt, type, description, chunk_id and an order. Returns src, tgt, type, description, weight."""
+    return log.where("src <> tgt").groupBy("src", "tgt", "type").agg(F.min_by("description", F.col(order)).alias("description"), F.count(F.lit(1)).alias("weight"))
+
+
+def relation_chunks(log: DataFrame) -> DataFrame:
+    """(src, tgt, type, chunk_id): the chunks of each relation, a row each, since a common relation has any number of them."""
+    return log.where("src <> tgt and chunk_id is not null").select("src", "tgt", "type", "chunk_id").distinct()
+
+
+def first_chunks(log: DataFrame, most: int = 20, order: str = "ord") -> DataFrame:
+    """(src, tgt, type, chunks): the first `most` chunks of each relation in their order, for display."""
+    firsts = log.where("src <> tgt and chunk_id is not null").groupBy("src", "tgt", "type", "chunk_id").agg(F.min(order).alias("o"))
+    at = Window.partitionBy("src", "tgt", "type").orderBy("o", "chunk_id")
+    kept = firsts.withColumn("k", F.row_number().over(at)).where(F.col("k") <= most)
+    return kept.groupBy("src", "tgt", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
 
 
 def resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -60,61 +75,118 @@ def ingest_totals(chunks: DataFrame, entity_log: DataFrame, relation_log: DataFr
     return every.groupBy().pivot("what", ["chunks_processed", "entities_found", "relations_found"]).agg(F.first("n"))
 
 
+_ORD = "struct<at:string,doc_hash:string,i:bigint,pos:bigint>"
+LOGS = {
+    "entity_log": f"run_id string, ord {_ORD}, chunk_id string, id string, name string, type string, description string",
+    "relation_log": f"run_id string, ord {_ORD}, chunk_id string, src string, tgt string, type string, description string",
+    "chunks": "id string, doc_hash string, index int, page_start int, page_end int, text string, filename string",
+    "documents": "file_hash string, filename string, pages int, chunks int, at timestamp",
+}
+
+
 class GraphStore:
-    """The tables of a graph in a folder: logs as Parquet, everything else derived."""
+    """The tables of a graph in a folder: logs as Parquet, everything else derived.
+
+    Each run writes folders of its own, and last a mark that it is whole; readers take
+    whole runs only. A run that failed in between is invisible, and run again under its
+    id it writes over its own folders, so nothing is counted twice.
+    """
 
     def __init__(self, spark, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _read(self, name: str) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
+    def _names(self, name: str) -> list[str]:
+        """What lies in a folder of the store; nothing if there is none."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}")
-        except AnalysisException:
-            return None
+    def _read(self, name: str) -> DataFrame:
+        runs = self._names("whole")
+        return self.spark.read.parquet(*[f"{self.folder}/{name}/{r}" for r in runs]) if runs else self.spark.createDataFrame([], LOGS[name])
 
-    def ingest(self, chunks: DataFrame, extractor=None, *, run_id: str, at: str, force: bool = False) -> dict:
-        """Append the chunks of documents that are not in the store yet (or of all, if forced) and what is extracted from them."""
+    def ingest(self, chunks: DataFrame, extractor=None, *, run_id: str, at: str, force: bool = False, progress: Callable[[int, int, str], None] | None = None) -> dict:
+        """Add the chunks of documents that are not in the store yet (or of all, if forced) and what is extracted from them.
+
+        `progress(done, total, message)` is called from the driver while chunks are extracted. A
+        run id that the store holds already changes nothing.
+        """
         from weftline.sources import extraction
         from weftline.sources.pages import not_yet_known
 
-        known = self._read("documents")
-        new = chunks if force or known is None else not_yet_known(chunks.withColumnRenamed("doc_hash", "file_hash"), known).withColumnRenamed("file_hash", "doc_hash")
-        new.write.mode("overwrite").parquet(f"{self.folder}/staged/{run_id}/chunks")  # extraction is not to run twice
-        new = self.spark.read.parquet(f"{self.folder}/staged/{run_id}/chunks")
-        answered = extraction.extract(new.select("id", "text"), extractor or extraction.OfflineExtractor)
-        answered.write.mode("overwrite").parquet(f"{self.folder}/staged/{run_id}/answers")
-        entities, relations = extraction.clean(self.spark.read.parquet(f"{self.folder}/staged/{run_id}/answers"))
+        if run_id in self._names("whole"):
+            return {"chunks_processed": 0, "entities_found": 0, "relations_found": 0}
+        new = chunks if force else not_yet_known(chunks.withColumnRenamed("doc_hash", "file_hash"), self._read("documents")).withColumnRenamed("file_hash", "doc_hash")
+        write = lambda df, name: df.write.mode("overwrite").parquet(f"{self.folder}/{name}/{run_id}")
+        write(new, "chunks")
+        new = self.spark.read.parquet(f"{self.folder}/chunks/{run_id}")
+        with _watched(self.spark, new.count() if progress else 0, progress) as seen:
+            write(extraction.extract(new.select("id", "text"), extractor or extraction.OfflineExtractor, seen), "staged")  # extraction is not to run twice
+        entities, relations = extraction.clean(self.spark.read.parquet(f"{self.folder}/staged/{run_id}"))
         place = new.select(F.col("id").alias("chunk_id"), "doc_hash", F.col("index").cast("long").alias("i"))
         ordered = lambda df: df.join(place, "chunk_id").select(F.lit(run_id).alias("run_id"), F.struct(F.lit(at).alias("at"), "doc_hash", "i", F.col("pos").cast("long").alias("pos")).alias("ord"), *[c for c in df.columns if c != "pos"])
-        ordered(entities).write.mode("append").parquet(f"{self.folder}/entity_log")
-        ordered(relations).write.mode("append").parquet(f"{self.folder}/relation_log")
-        new.write.mode("append").parquet(f"{self.folder}/chunks")
+        write(ordered(entities), "entity_log")
+        write(ordered(relations), "relation_log")
         docs = new.groupBy("doc_hash").agg(F.min("filename").alias("filename"), F.max("page_end").alias("pages"), F.count(F.lit(1)).cast("int").alias("chunks"))
-        docs.select(F.col("doc_hash").alias("file_hash"), "filename", "pages", "chunks", F.lit(at).cast("timestamp").alias("at")).write.mode("append").parquet(f"{self.folder}/documents")
-        return ingest_totals(new, entities, relations).first().asDict()
+        write(docs.select(F.col("doc_hash").alias("file_hash"), "filename", "pages", "chunks", F.lit(at).cast("timestamp").alias("at")), "documents")
+        write(self.spark.range(1), "whole")
+        self._delete(f"staged/{run_id}")
+        read = lambda name: self.spark.read.parquet(f"{self.folder}/{name}/{run_id}")
+        return ingest_totals(new, read("entity_log"), read("relation_log")).first().asDict()
 
     def tables(self, *, idempotent: bool = False) -> dict[str, DataFrame]:
         e, r = self._read("entity_log"), self._read("relation_log")
         if idempotent:
             e, r = once_per_run(e, ["id"]), once_per_run(r, ["src", "tgt", "type"])
-        entities = merge_entities(e)
+        entities, docs = merge_entities(e), self._read("documents")
+        # a chunk is set on creation: that of the first run that has it stays
+        made = self._read("chunks").join(docs.groupBy("file_hash").agg(F.min("at").alias("at")).withColumnRenamed("file_hash", "doc_hash"), "doc_hash", "left")
+        names = [c for c in made.columns if c not in ("id", "at")]
+        first = made.groupBy("id").agg(F.min_by(F.struct(*names), F.struct("at", "text")).alias("v")).select("id", "v.*")
         return {
-            "documents": merge_documents(self._read("documents")), "chunks": self._read("chunks").dropDuplicates(["id"]), "entities": entities,
-            "mentions": mentions(e), "relations": resolved(merge_relations(r), entities),
+            "documents": merge_documents(docs), "chunks": first, "entities": entities, "mentions": mentions(e),
+            "relations": resolved(merge_relations(r), entities), "relation_chunks": relation_chunks(r),
         }
 
     def exists(self, file_hash: str) -> bool:
-        known = self._read("documents")
-        return known is not None and known.where(F.col("file_hash") == file_hash).limit(1).count() > 0
+        return self._read("documents").where(F.col("file_hash") == file_hash).limit(1).count() > 0
 
     def clear(self) -> int:
         """Empty the store; returns how many documents, chunks and entities there were."""
-        if self._read("entity_log") is None:
+        if not self._names("whole"):
             return 0
         t = self.tables()
         n = t["documents"].count() + t["chunks"].count() + t["entities"].count()
-        for name in ("entity_log", "relation_log", "chunks", "documents"):
-            self.spark.createDataFrame([], self._read(name).schema).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        for name in ("whole", "staged", *LOGS):  # the marks first: what is left of a broken clearing is invisible
+            self._delete(name)
         return n
+
+
+@contextmanager
+def _watched(spark, total: int, progress: Callable[[int, int, str], None] | None):
+    """An accumulator of chunks that are done, told to `progress` as tasks end; None without it."""
+    if progress is None:
+        yield None
+        return
+    seen, ended = spark.sparkContext.accumulator(0), threading.Event()
+    progress(0, total, "extracting")
+
+    def tell():
+        last = 0
+        while not ended.wait(0.2):
+            if seen.value != last:
+                last = seen.value
+                progress(min(last, total), total, "extracting")
+
+    thread = threading.Thread(target=tell, daemon=True)
+    thread.start()
+    try:
+        yield seen
+    finally:
+        ended.set()
+        thread.join()
+    progress(total, total, "extracted")

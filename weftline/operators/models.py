@@ -6,6 +6,8 @@ table yields; the solve is on a matrix of features, not of rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Classes of a naive Bayes model at most: a word's counts of all of them are one row.
+MOST_CLASSES = 1000
+
+
 @dataclass(frozen=True)
 class Linear:
     features: list[str]
@@ -28,11 +34,50 @@ class Linear:
     standard_errors: np.ndarray
     t_values: np.ndarray
     n: int
+    intercept_error: float = float("nan")
+
+    @property
+    def p_values(self) -> np.ndarray:
+        """Two-sided, of Student's t with n - k - 1 degrees of freedom."""
+        return np.array([student_p(t, self.n - len(self.features) - 1) for t in self.t_values])
+
+    def summary(self) -> list[dict]:
+        """One row per term: coefficient, standard error, t and p; the constant first."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t0 = np.float64(self.intercept) / self.intercept_error
+        terms = [("const", self.intercept, self.intercept_error, t0)] + list(zip(self.features, self.coefficients, self.standard_errors, self.t_values))
+        free = self.n - len(self.features) - 1
+        return [{"term": a, "coefficient": float(b), "standard_error": float(c), "t": float(d), "p": student_p(d, free)} for a, b, c, d in terms]
 
     def predict(self) -> Column:
         return sum((F.col(c) * float(w) for c, w in zip(self.features, self.coefficients)), F.lit(float(self.intercept)))
 
 
+def student_p(t: float, free: int) -> float:
+    """Two-sided tail of Student's t by the continued fraction of the incomplete beta function."""
+    if free <= 0 or math.isnan(t):
+        return float("nan")
+    x = free / (free + t * t)
+    a, b = free / 2, 0.5
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    if x <= 0:
+        return 1.0 if swap else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, f = 1.0, 0.0, 1.0  # Lentz's method
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + step * d) or 1e-300)
+        c = (1 + step / c) or 1e-300
+        f *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    tail = front * (f - 1)
+    return 1 - tail if swap else tail
+
+
 def _moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and centred cross products of columns: two aggregates, the second around the means of the first."""
     n, *means = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
@@ -58,7 +103,31 @@ def ols(df: DataFrame, features: list[str], label: str) -> Linear:
     errors = np.sqrt(np.diag(np.linalg.pinv(xx)) * rss / free) if free > 0 else np.full(k, np.nan)
     with np.errstate(divide="ignore", invalid="ignore"):
         t = w / errors
-    return Linear(features, w, float(b), r2, 1 - (1 - r2) * (n - 1) / free if free > 0 else float("nan"), errors, t, n)
+    constant = float(np.sqrt((1 / n + mean[:k] @ np.linalg.pinv(xx) @ mean[:k]) * rss / free)) if free > 0 else float("nan")
+    return Linear(features, w, float(b), r2, 1 - (1 - r2) * (n - 1) / free if free > 0 else float("nan"), errors, t, n, constant)
+
+
+def backward_elimination(df: DataFrame, features: list[str], label: str, *, most_p: float = 0.05, most_vif: float = 5.0) -> tuple[Linear, list[dict]]:
+    """Drop one feature at a time: the least significant above `most_p`, else the one most explained by others above `most_vif`.
+
+    Returns the last model and what went: feature, p and vif at that time.
+    """
+    kept, gone = list(features), []
+    while True:
+        model = ols(df, kept, label)
+        p = dict(zip(kept, model.p_values))
+        v = vif(df, kept) if len(kept) > 1 else dict.fromkeys(kept, 1.0)
+        bad = [f for f in kept if p[f] > most_p or v[f] > most_vif]
+        if not bad or len(kept) == 1:
+            return model, gone
+        worst = max(bad, key=lambda f: (p[f] > most_p, p[f] if p[f] > most_p else v[f]))
+        gone.append({"feature": worst, "p": float(p[worst]), "vif": float(v[worst])})
+        kept.remove(worst)
+
+
+def top_coefficients(features: list[str], coefficients, k: int = 10) -> list[tuple[str, float]]:
+    """The k largest by size, names on ties."""
+    return sorted(zip(features, map(float, coefficients)), key=lambda x: (-abs(x[1]), x[0]))[:k]
 
 
 def vif(df: DataFrame, features: list[str]) -> dict[str, float]:
@@ -76,6 +145,11 @@ def vif(df: DataFrame, features: list[str]) -> dict[str, float]:
     return out
 
 
+def compare(models: dict[str, Callable[[DataFrame], Callable[[DataFrame], dict]]], train: DataFrame, test: DataFrame) -> list[dict]:
+    """One row per model: its name and the measures of the test table. Each model maps a training table to a function of a test table."""
+    return [{"model": name, **fit(train)(test)} for name, fit in models.items()]
+
+
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(df)
 
@@ -95,7 +169,7 @@ def ridge(df: DataFrame, features: list[str], label: str, alpha: float) -> tuple
 def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, max_iter: int = 1000):
     """L2 with inverse strength c, the intercept free."""
     n = df.count()
-    return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (n * c), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(assemble(df, features))
+    return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (n * c), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-10).fit(assemble(df, features))
 
 
 def gaussian_nb(df: DataFrame, features: list[str], label: str):
@@ -103,14 +177,55 @@ def gaussian_nb(df: DataFrame, features: list[str], label: str):
 
 
 def tree(df: DataFrame, features: list[str], label: str, bins: int = 256):
-    """Depth up to Spark's largest; thresholds between up to `bins` values."""
+    """Depth up to Spark's largest; thresholds between up to `bins` values, all of them where a column has no more."""
     return DecisionTreeClassifier(featuresCol="features", labelCol=label, maxDepth=30, maxBins=bins, impurity="gini", seed=0).fit(assemble(df, features))
 
 
+@dataclass
+class Steps:
+    """Preparation and a model, with the verbs fit, predict and score.
+
+    prepare(table, train) returns the numeric table; fit(table, features, label) returns
+    something with transform(assembled table), or with predict() as a column.
+    """
+
+    prepare: Callable[[DataFrame, DataFrame], DataFrame]
+    fit_model: Callable[[DataFrame, list[str], str], object]
+    label: str
+    train: DataFrame | None = None
+    features: list[str] | None = None
+    model: object = None
+
+    def fit(self, train: DataFrame) -> Steps:
+        made = self.prepare(train, train)
+        features = [c for c in made.columns if c != self.label]
+        return Steps(self.prepare, self.fit_model, self.label, train, features, self.fit_model(made, features, self.label))
+
+    def predict(self, table: DataFrame) -> DataFrame:
+        """The prepared table with `prediction`; rows of any origin, with or without the label."""
+        made = self.prepare(table, self.train)
+        if isinstance(self.model, Linear):
+            return made.withColumn("prediction", self.model.predict())
+        return self.model.transform(assemble(made, self.features))
+
+    def score(self, table: DataFrame) -> float:
+        """R2 of a linear model, accuracy of a classifier."""
+        got = self.predict(table)
+        if isinstance(self.model, Linear):
+            return regression_metrics(got, self.label, "prediction").first()["r2"]
+        return got.agg(F.avg((F.col(self.label).cast("double") == F.col("prediction")).cast("double"))).first()[0]
+
+
 def pipeline(*stages) -> Pipeline:
+    """Spark's own pipeline of transformers and an estimator."""
     return Pipeline(stages=list(stages))
 
 
+def misclassified(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Rows whose prediction is not their label."""
+    return df.where(~F.col(label).cast("double").eqNullSafe(F.col(prediction).cast("double")))
+
+
 def probability(model_output: DataFrame) -> DataFrame:
     return model_output.withColumn("p", vector_to_array("probability")[1])
 
@@ -118,14 +233,18 @@ def probability(model_output: DataFrame) -> DataFrame:
 def multinomial_nb(counts: DataFrame, label: str, alpha: float = 1.0) -> DataFrame:
     """(label, word, log_prob) from (label, word, n): additive smoothing over the whole vocabulary, class by class."""
     by = counts.groupBy(label, "word").agg(F.sum("n").alias("n"))
-    total = by.groupBy(label).agg(F.sum("n").alias("total"))
-    words = by.select("word").distinct()
-    size = words.agg(F.count(F.lit(1)).alias("v"))
-    # every word in every class: few classes, so the product is a small multiple of the vocabulary
-    labels = F.broadcast(total.join(F.broadcast(size)))
-    grid = words.join(labels)
-    full = grid.join(by, [label, "word"], "left").na.fill(0, ["n"])
-    return full.select(label, "word", F.log((F.col("n") + alpha) / (F.col("total") + alpha * F.col("v"))).alias("log_prob"))
+    found = by.groupBy(label).agg(F.sum("n").alias("total")).limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    if not found:
+        return by.select(label, "word", F.lit(0.0).alias("log_prob"))
+    # a word's counts of all classes are one small map, spread over the classes again with zeros filled in
+    of_word = by.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), "n"))).alias("counts"))
+    size = of_word.agg(F.count(F.lit(1))).first()[0]
+    kind = by.schema[label].dataType
+    classes = F.array(*[F.struct(F.lit(r[label]).cast(kind).alias(label), F.lit(int(r["total"])).alias("total")) for r in found])
+    full = of_word.select("word", "counts", F.explode(classes).alias("c")).select("word", f"c.{label}", "c.total", F.coalesce(F.try_element_at("counts", F.col(f"c.{label}")), F.lit(0)).alias("n"))
+    return full.select(label, "word", F.log((F.col("n") + alpha) / (F.col("total") + alpha * size)).alias("log_prob"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

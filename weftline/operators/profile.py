@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+#: Cut points of a sketch: a column's values are ranked within so many ranges, whatever their number.
+CUTS = 200
+
+
+def quantiles(df: DataFrame, by: list[str], col: str, probs: list[float]) -> DataFrame:
+    """(by..., q): exact quantiles with linear interpolation of each group, as an array in the order of `probs`.
+
+    Values are counted first. A sketch (small, whatever the input) cuts each group's values
+    into ranges; the ranges' totals tell which ranges hold the wanted ranks, and only those
+    are sorted. So neither all values nor all of a group's are ever in one task.
+    """
+    x = F.col(col).cast("double")
+    rows = df.select(*by, x.alias("_x")).where("_x is not null")
+    cuts = F.percentile_approx("_x", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 10 * CUTS)
+    group = (lambda d: d.groupBy(*by)) if by else (lambda d: d.groupBy())
+    sketch = group(rows).agg(cuts.alias("_cuts"), F.count(F.lit(1)).alias("_all"))
+    counts = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    told = counts.join(sketch, by) if by else counts.join(F.broadcast(sketch))  # one row
+    ranged = told.withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    totals = ranged.groupBy(*by, "_r").agg(F.sum("_n").alias("_t"), F.first("_all").alias("_all"))
+    own = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_below", F.coalesce(F.sum("_t").over(own), F.lit(0)))  # CUTS rows a group at most
+    ranks = [(F.floor(F.lit(float(p)) * (F.col("_all") - 1)), F.ceil(F.lit(float(p)) * (F.col("_all") - 1)), F.lit(float(p)) * (F.col("_all") - 1)) for p in probs]
+    held = F.lit(False)
+    for low, high, _ in ranks:
+        held = held | ((F.col("_below") <= high) & (low < F.col("_below") + F.col("_t")))
+    wanted = totals.where(held).select(*by, "_r", "_below")
+    inside = Window.partitionBy(*by, "_r").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(wanted, [*by, "_r"]).withColumn("_end", F.col("_below") + F.sum("_n").over(inside))
+    ends = group(placed).agg(F.first("_all").alias("_all"), *[F.min(F.when(F.col("_end") > r, F.col("_x"))).alias(f"_{k}{i}") for i, pair in enumerate(ranks) for k, r in zip("lh", pair)])
+    value = lambda i: F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (ranks[i][2] - ranks[i][0])
+    return ends.select(*by, F.array(*[value(i) for i in range(len(probs))]).alias("q"))
 
 
 def _long(df: DataFrame, cols: list[str], name: str = "column") -> DataFrame:
-    """One row per column and value; one pass over the table."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("v")).select("v.*")
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std (sample), min, exact quartiles and max of each column."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = _long(df, cols).groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    return agg.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    made = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), *[f(x(c)).alias(n) for n, f in made.items()]).alias(f"c{i}") for i, c in enumerate(cols)])
+    agg = one.select(F.explode(F.array(*[f"c{i}" for i in range(len(cols))])).alias("v")).select("v.*")
+    both = agg.join(quantiles(_long(df, cols), ["column"], "x", [0.25, 0.5, 0.75]), "column", "left")
+    return both.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def describe_text(df: DataFrame, group: str, col: str) -> DataFrame:
@@ -42,14 +73,16 @@ def columns_with_nulls(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct non-null values of each column."""
-    return _union([df.agg(F.count_distinct(F.col(f"`{c}`")).alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values") for c in cols])
+    """Distinct non-null values of each column, in one pass."""
+    one = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("distinct_values")) for i, c in enumerate(cols)])).alias("v")).select("v.*")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Values with counts and shares, commonest first."""
     counted = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), col)
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return counted.join(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("_total")).alias("share")).orderBy(F.desc("n"), col)  # one row
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -70,9 +103,9 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def boxplot(df: DataFrame, by: list[str], col: str) -> DataFrame:
-    q = F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = df.groupBy(*by).agg(F.min(col).alias("least"), q.alias("q"), F.max(col).alias("greatest"), F.count(col).alias("n"))
-    return agg.select(*by, "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "greatest", "n")
+    agg = df.groupBy(*by).agg(F.min(col).alias("least"), F.max(col).alias("greatest"), F.count(col).alias("n"))
+    both = agg.join(quantiles(df, by, col, [0.25, 0.5, 0.75]), by, "left")
+    return both.select(*by, "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "greatest", "n")
 
 
 def group_mean(df: DataFrame, by: str, value: F.Column, name: str) -> DataFrame:
@@ -83,7 +116,14 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
 
 
+def info(df: DataFrame) -> DataFrame:
+    """(position, column, type, non_null) of each column."""
+    one = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("non_null")) for i, (c, t) in enumerate(df.dtypes)]
+    return one.select(F.explode(F.array(*rows)).alias("v")).select("v.*")
+
+
 def sample_per_group(df: DataFrame, by: str, key: str, n: int = 5, seed: int = 0) -> DataFrame:
-    """n rows of each group: those with the least hashes of their key."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), key), key)
+    """n rows of each group: those with the least MD5 of seed and key, any engine's sample. Rows beyond n a task are dropped before the shuffle."""
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

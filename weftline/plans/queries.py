@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.operators import alignment, features, graph_query, graph_store, models, profile
+from weftline.operators import alignment, crossval, features, graph_query, graph_store, models, profile
 from weftline.plans import star_graph
 from weftline.session import read
 from weftline.sinks import graph_files
@@ -47,7 +47,20 @@ def doc_exists_skip(spark, sf):
     return pages.not_yet_known(d, d.where("lang = 'fr'")).select("doc_id")
 
 
-@query()
+_PAGE_SQL = rf"regexp_replace(regexp_replace({X.strip_sql('x')}, '([\p{{L}}\p{{N}}_]+)-\n([\p{{L}}\p{{N}}_]+)', '\1\2', 'g'), '[ \t]+', ' ', 'g')"
+# page numbers are those of a text without form feeds, which the tables' texts are
+_CHUNK_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS h, array_to_string(list_filter(list_transform(string_split(text, chr(12)), lambda x: {_PAGE_SQL}), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM {{docs}}),
+cuts(doc_id, h, i, chunk, rest) AS (
+  SELECT doc_id, h, -1, '', t FROM d
+  UNION ALL SELECT doc_id, h, i + 1, {X.strip_sql("rest[1:cut]")}, regexp_replace(rest[cut + 1:], '^\s+', '') FROM (
+    SELECT *, CASE WHEN length(rest) < 1200 THEN length(rest) WHEN blank > 0 THEN CASE WHEN blank = 1199 THEN 1200 ELSE 1199 - blank END WHEN stop > 0 AND stop < 1199 THEN 1199 - stop ELSE 1200 END AS cut
+    FROM (SELECT *, instr(reverse(rest[1:1200]), chr(10) || chr(10)) AS blank, instr(reverse(rest[1:1200]), ' .') AS stop FROM cuts WHERE rest <> ''))),
+chunks AS (SELECT doc_id, h, h[1:16] || '_' || CAST(i AS VARCHAR) AS id, i, chunk FROM cuts WHERE chunk <> '')
+"""
+
+
+@query(_CHUNK_SQL.replace("{docs}", "documents") + "SELECT DISTINCT id, h AS doc_hash, CAST(i AS INTEGER) AS \"index\", 1 AS page_start, 1 AS page_end, chunk AS text, CAST(doc_id AS VARCHAR) AS filename FROM chunks")
 def chunk_documents(spark, sf):
     return pages.chunk_documents(read(spark, sf, "documents"), name_col="doc_id").distinct()
 
@@ -64,19 +77,38 @@ def text_graph(spark, sf) -> dict[str, DataFrame]:
     return {"documents": pages.document_rows(docs), "chunks": chunks, "entities": e, "mentions": graph_store.mentions(entities), "relations": graph_store.resolved(graph_store.merge_relations(relations.withColumn("ord", order)), e)}
 
 
-@query()
+_NAMES_SQL = rf"""
+, sentences AS (SELECT c.id, k, s FROM (SELECT id, list_filter(string_split_regex(regexp_replace(chunk, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: x <> '') AS ss FROM (SELECT DISTINCT id, chunk FROM chunks)) c, unnest(ss) WITH ORDINALITY AS u(s, k)),
+named AS (SELECT id, k, unnest(list_distinct(regexp_extract_all(s, '[^\P{{L}}a-z]\p{{L}}{{3,}}'))) AS name FROM sentences),
+kept AS (SELECT id, name, count(*) AS n, {X.canonical_id_sql("name")} AS e FROM named GROUP BY id, name HAVING count(*) > 1),
+found_e AS (SELECT id, e, arg_min(name, struct_pack(a := -n, b := name)) AS name FROM kept GROUP BY id, e),
+found_r AS (SELECT DISTINCT a.id, ka.e AS src, kb.e AS tgt FROM named a JOIN named b ON a.id = b.id AND a.k = b.k AND a.name < b.name JOIN kept ka ON ka.id = a.id AND ka.name = a.name JOIN kept kb ON kb.id = b.id AND kb.name = b.name WHERE ka.e <> kb.e)
+"""
+
+
+@query(
+    _CHUNK_SQL.replace("{docs}", "(SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)") + _NAMES_SQL
+    + ", r AS (SELECT DISTINCT src, tgt FROM found_r), e AS (SELECT e, arg_min(name, id) AS name FROM found_e GROUP BY e), deg AS (SELECT e, count(*) AS n FROM (SELECT src AS e FROM r UNION ALL SELECT tgt FROM r) GROUP BY e) "
+    "SELECT name, 'CONCEPT' AS type, CAST(sum(coalesce(n, 0)) AS BIGINT) AS connections FROM e LEFT JOIN deg USING (e) GROUP BY name ORDER BY connections DESC, name LIMIT 10"
+)
 def text_graph_top(spark, sf):
     t = text_graph(spark, sf)
     return graph_query.top_degree(t["entities"], t["relations"])
 
 
-@query()
+@query(_CHUNK_SQL.replace("{docs}", "documents") + _NAMES_SQL + "SELECT (SELECT count(*) FROM chunks) AS chunks_processed, (SELECT count(*) FROM found_e) AS entities_found, (SELECT count(*) FROM found_r) AS relations_found")
 def text_graph_ingest_totals(spark, sf):
     chunks = pages.chunk_documents(read(spark, sf, "documents"), name_col="doc_id")
     e, r = extraction.clean(extraction.extract(chunks.select("id", "text")))
     return graph_store.ingest_totals(chunks, e, r)
 
 
+@query("WITH l AS (SELECT sha256(text) AS file_hash, CAST(doc_id AS VARCHAR) AS filename, doc_id, n_chars FROM documents) SELECT file_hash, arg_max(filename, doc_id) AS filename, arg_min(n_chars, doc_id) AS chunks, min(doc_id) AS created_at, CASE WHEN count(*) > 1 THEN max(doc_id) END AS updated_at FROM l GROUP BY file_hash")
+def document_merge(spark, sf):
+    log = read(spark, sf, "documents").select(F.sha2("text", 256).alias("file_hash"), F.col("doc_id").cast("string").alias("filename"), F.lit(1).alias("pages"), F.col("n_chars").alias("chunks"), F.col("doc_id").alias("at"))
+    return graph_store.merge_documents(log).select("file_hash", "filename", "chunks", "created_at", "updated_at")
+
+
 @query(rf"SELECT doc_id, md5({X.dehyphenate_sql('text')}) AS cleaned FROM documents")
 def dehyphenate(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(X.dehyphenate(F.col("text"))).alias("cleaned"))
@@ -85,10 +117,10 @@ def dehyphenate(spark, sf):
 # --- text rules
 
 
-@query(f"SELECT DISTINCT p_name, {X.canonical_id_sql('p_name')} AS id FROM part UNION SELECT DISTINCT text[1:60], {X.canonical_id_sql('text[1:60]')} FROM documents")
+@query(f"SELECT DISTINCT md5(p_name) AS of, md5({X.canonical_id_sql('p_name')}) AS id FROM part UNION SELECT DISTINCT md5(text), md5({X.canonical_id_sql('text')}) FROM documents WHERE text IS NOT NULL")
 def canonical_ids(spark, sf):
-    names = read(spark, sf, "part").select("p_name").union(read(spark, sf, "documents").select(F.substring("text", 1, 60))).distinct()
-    return names.select("p_name", X.canonical_id(F.col("p_name")).alias("id"))
+    names = read(spark, sf, "part").select(F.col("p_name").alias("x")).union(read(spark, sf, "documents").select("text").where("text is not null"))
+    return names.select(F.md5("x").alias("of"), F.md5(X.canonical_id(F.col("x"))).alias("id")).distinct()
 
 
 @query(f"SELECT DISTINCT x, {X.relation_type_sql('x')} AS rel FROM (SELECT event_type AS x FROM events UNION SELECT p_type FROM part UNION SELECT o_orderpriority FROM orders UNION SELECT '  founded by! ')")
@@ -129,9 +161,14 @@ def entity_merge(spark, sf):
     return graph_store.merge_entities(star_graph.entity_log(spark, sf))
 
 
-@query(star_graph.SQL + "SELECT src, tgt, type, description, weight, coalesce(array_to_string(chunks, ','), '') AS chunks FROM relations")
+@query(star_graph.SQL + "SELECT src, tgt, type, description, weight FROM relations")
 def relation_merge(spark, sf):
-    return graph_store.merge_relations(star_graph.relation_log(spark, sf)).withColumn("chunks", F.array_join("chunks", ","))
+    return graph_store.merge_relations(star_graph.relation_log(spark, sf))
+
+
+@query(star_graph.SQL + "SELECT DISTINCT src, tgt, type, chunk_id FROM r_log WHERE src <> tgt AND chunk_id IS NOT NULL")
+def relation_chunks(spark, sf):
+    return graph_store.relation_chunks(star_graph.relation_log(spark, sf))
 
 
 @query(star_graph.SQL + "SELECT count(*) AS n FROM relations SEMI JOIN entities a ON src = a.id SEMI JOIN entities b ON tgt = b.id")
@@ -219,7 +256,15 @@ def catalogue_query(spark, sf):
     return graph_query.run_sql(spark, {"entities": star_graph.tables(spark, sf)["entities"]}, "most_mentioned")
 
 
-@query()
+_DOT_NAME = "'n' || md5({})[1:16]"
+_DOT_SQL = (
+    f", {_EDGES} SELECT 0 AS part, '  ' || {_DOT_NAME.format('id')} || ' [label=\"' || name || '\" fillcolor=\"' || {graph_files.colours_sql('type', 0)} || '\" color=\"' || {graph_files.colours_sql('type', 1)} || '\" fontcolor=\"' || {graph_files.colours_sql('type', 2)} || '\"];' AS line "
+    "FROM entities WHERE id IN (SELECT src FROM sub UNION SELECT tgt FROM sub) "
+    f"UNION ALL SELECT 1, '  ' || {_DOT_NAME.format('src')} || ' -> ' || {_DOT_NAME.format('tgt')} || ' [label=\"' || lower(replace(type, '_', ' ')) || '\"];' FROM sub SEMI JOIN entities a ON src = a.id SEMI JOIN entities b ON tgt = b.id"
+)
+
+
+@query(star_graph.SQL + _DOT_SQL)
 def dot_export(spark, sf):
     t = star_graph.tables(spark, sf)
     return graph_files.dot_lines(*graph_query.subgraph(t["entities"], t["relations"]))
@@ -247,41 +292,113 @@ def exact_match(spark, sf):
 _JA, _JB = (rf"list_distinct(list_filter(string_split_regex({X.normalize_sql(e)}, '\s+'), lambda t: t <> ''))" for e in ("a.p_name", "b.p_name"))
 
 
-@query(f"WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect({_JA}, {_JB})) / len(list_distinct(list_concat({_JA}, {_JB}))), 6) AS jaccard FROM n a, n b WHERE a.p_name < b.p_name")
+@query(f"WITH n AS (SELECT DISTINCT p_name FROM part), j AS (SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect({_JA}, {_JB})) / len(list_distinct(list_concat({_JA}, {_JB}))), 6) AS jaccard FROM n a, n b WHERE a.p_name < b.p_name) SELECT * FROM j WHERE jaccard > 0")
 def token_jaccard(spark, sf):
-    n = read(spark, sf, "part").select("p_name").distinct().withColumn("norm", X.normalize(F.col("p_name")))
-    # the distinct part names are a small dimension; all pairs of them are the result
-    a, b = n.select(F.col("p_name").alias("a"), F.col("norm").alias("na")), n.select(F.col("p_name").alias("b"), F.col("norm").alias("nb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", _r(alignment.jaccard(F.col("na"), F.col("nb"))).alias("jaccard"))
+    """Pairs of names that share a token; all others have 0."""
+    n = read(spark, sf, "part").select("p_name").distinct().select("p_name", F.array_distinct(F.filter(F.split(X.normalize(F.col("p_name")), " "), lambda t: t != "")).alias("t"))
+    sized = n.select("p_name", F.size("t").alias("k"), F.explode("t").alias("token"))
+    a, b = (sized.select("token", F.col("p_name").alias(x), F.col("k").alias(f"k{x}")) for x in "ab")
+    both = a.join(b, "token").where("a < b").groupBy("a", "b", "ka", "kb").agg(F.count(F.lit(1)).alias("same"))
+    return both.select("a", "b", _r(F.col("same") / (F.col("ka") + F.col("kb") - F.col("same"))).alias("jaccard"))
 
 
-@query()
+# no published prediction matches but exactly (a test holds that against the matcher), so SQL needs the equi-join alone
+_MATCH_SQL = _TRIPLE_SQL + ", m AS (SELECT p.run, p.idx AS p_idx, g.idx AS g_idx, p.predicate AS kp, g.predicate AS kg FROM p JOIN g ON p.run = g.run AND lower(p.subject) = lower(g.subject) AND lower(p.predicate) = lower(g.predicate) AND lower(p.object) = lower(g.object)) "
+_PRF_SQL = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1"
+_REPORT_SQL = f", t AS (SELECT run, count(*) AS pred_total, count(*) FILTER ({X.token_count_sql('predicate')} = 1) AS single_predicates, count(*) FILTER ({X.token_count_sql('predicate')} > 1) AS compound_predicates, round(avg({X.token_count_sql('predicate')}), 6) AS avg_predicate_tokens FROM p GROUP BY run), c AS (SELECT t.*, (SELECT count(*) FROM m WHERE m.run = t.run) AS tp, (SELECT count(*) FROM g WHERE g.run = t.run) AS gold_total FROM t), d AS (SELECT *, pred_total - tp AS fp, gold_total - tp AS fn FROM c) "
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """All doubles as _r() leaves them."""
+    return df.select(*[_r(c).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+@query(_MATCH_SQL + "SELECT run, p_idx, g_idx, 1.0 AS score, 'exact' AS match_type FROM m")
 def greedy_alignment(spark, sf):
-    return _aligned(spark)[2].withColumn("score", _r("score"))
+    return _rounded(_aligned(spark)[2])
 
 
-@query()
+@query(_MATCH_SQL + _REPORT_SQL + f"SELECT run, tp, fp, fn, gold_total, pred_total, {_PRF_SQL}, single_predicates, compound_predicates, avg_predicate_tokens FROM d")
 def paper_baseline(spark, sf):
     p, g, m = _aligned(spark)
-    return alignment.report(p, g, m)
+    return _rounded(alignment.report(p, g, m))
 
 
-@query()
+def _by_sql(key: Callable[[str], str], keys: str, every: str) -> str:
+    of = lambda side: f"(SELECT run, {key('predicate')} AS k, count(*) AS n FROM {side} GROUP BY 1, 2)"
+    return (
+        f", ks AS (SELECT run, {key('predicate')} AS k FROM p UNION SELECT run, {key('predicate')} FROM g), "
+        f"hits AS (SELECT run, k, count(*) AS tp FROM (SELECT run, p_idx, {key('kp')} AS k FROM m UNION SELECT run, p_idx, {key('kg')} FROM m) GROUP BY 1, 2), "
+        f"n AS (SELECT {keys}, coalesce(hits.tp, 0) AS tp, coalesce(a.n, 0) AS pred_count, coalesce(b.n, 0) AS gold_count FROM {every} e LEFT JOIN {of('p')} a USING (run, k) LEFT JOIN {of('g')} b USING (run, k) LEFT JOIN hits USING (run, k)), "
+        "d AS (SELECT *, greatest(0, pred_count - tp) AS fp, greatest(0, gold_count - tp) AS fn FROM n) "
+    )
+
+
+@query(_MATCH_SQL + _by_sql(str, "e.run, e.k AS predicate", "ks") + f"SELECT run, predicate, {X.category_sql('predicate')} AS category, tp, fp, fn, gold_count, pred_count, {_PRF_SQL} FROM d")
 def predicate_metrics(spark, sf):
-    return alignment.predicate_report(*_aligned(spark))
+    return _rounded(alignment.predicate_report(*_aligned(spark)))
 
 
-@query()
+_CATEGORY_ROWS = ", ".join(f"('{c}')" for c in X.CATEGORIES)
+
+
+@query(_MATCH_SQL + _by_sql(X.category_sql, "e.run, e.k AS category", f"(SELECT run, k FROM (SELECT DISTINCT run FROM p), (VALUES {_CATEGORY_ROWS}) v(k))") + f"SELECT run, category, tp, fp, fn, gold_count, pred_count, {_PRF_SQL} FROM d")
 def category_metrics(spark, sf):
-    return alignment.category_report(*_aligned(spark))
+    return _rounded(alignment.category_report(*_aligned(spark)))
 
 
-@query()
+_ORDER_SQL = ", o AS (SELECT * FROM (VALUES " + _VALUES([(run, i) for i, run in enumerate(evaluation_sets.PREDICTED)]) + ") v(run, position)), r AS (SELECT run, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM d), b AS (SELECT split_part(run, ' ', 1) AS k, arg_max(precision, position) AS bp, arg_max(recall, position) AS br, arg_max(f1, position) AS bf FROM r JOIN o USING (run) GROUP BY 1) "
+_DELTA_SQL = "round(precision - bp, 6) + 0.0 AS delta_precision, round(recall - br, 6) + 0.0 AS delta_recall, round(f1 - bf, 6) + 0.0 AS delta_f1"
+
+
+def _ordered(spark, reports: DataFrame) -> DataFrame:
+    return reports.join(spark.createDataFrame([(r, i) for i, r in enumerate(evaluation_sets.PREDICTED)], "run string, position int"), "run")
+
+
+@query(_MATCH_SQL + _REPORT_SQL + _ORDER_SQL + f"SELECT run, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, {_DELTA_SQL} FROM r JOIN b ON split_part(run, ' ', 1) = k")
 def baseline_deltas(spark, sf):
-    p, g, m = _aligned(spark)
-    reports = alignment.report(p, g, m)
-    names = spark.createDataFrame([(r, i) for i, r in enumerate(evaluation_sets.PREDICTED)], "run string, position int")
-    return alignment.deltas(reports, reports.join(names, "run"))
+    reports = alignment.report(*_aligned(spark))
+    return _rounded(alignment.deltas(reports, _ordered(spark, reports)))
+
+
+@query(_MATCH_SQL + _REPORT_SQL + _ORDER_SQL + f"SELECT 'Paper' AS type, run, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, NULL::DOUBLE AS delta_precision, NULL::DOUBLE AS delta_recall, NULL::DOUBLE AS delta_f1 FROM r UNION ALL SELECT 'Live', 'KGGen (live)', round(precision, 6), round(recall, 6), round(f1, 6), {_DELTA_SQL} FROM r, b WHERE run LIKE 'G-T2KG%' AND k = 'KGGen'")
+def live_and_published(spark, sf):
+    """Published reports, and one of a live run, for which the predictions of another system stand."""
+    reports = alignment.report(*_aligned(spark))
+    live = reports.where(F.col("run").startswith("G-T2KG")).withColumn("run", F.lit("KGGen (live)"))
+    return _rounded(alignment.with_baselines(_ordered(spark, reports), live))
+
+
+_TEXT_SQL = "'(' || {0}.subject || ', ' || {0}.predicate || ', ' || {0}.object || ')'"
+
+
+@query(_MATCH_SQL + f"SELECT p.run, 'MATCH' AS status, {_TEXT_SQL.format('p')} AS predicted, {_TEXT_SQL.format('g')} AS gold, 'exact (' || {X.category_sql('p.predicate')} || ')' AS mode FROM m JOIN p ON m.run = p.run AND p_idx = p.idx JOIN g ON m.run = g.run AND g_idx = g.idx UNION ALL SELECT run, 'MISSED', '-', {_TEXT_SQL.format('g')}, 'FN (' || {X.category_sql('g.predicate')} || ')' FROM g WHERE NOT EXISTS (FROM m WHERE m.run = g.run AND g_idx = g.idx) UNION ALL SELECT run, 'EXTRA', {_TEXT_SQL.format('p')}, '-', 'FP (' || {X.category_sql('p.predicate')} || ')' FROM p WHERE NOT EXISTS (FROM m WHERE m.run = p.run AND p_idx = p.idx)")
+def alignment_details(spark, sf):
+    return alignment.details(*_aligned(spark))
+
+
+@query(_MATCH_SQL + f", d AS (SELECT 'all' AS run, (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM p) AS pred_total, (SELECT count(*) FROM g) AS gold_total), e AS (SELECT *, pred_total - tp AS fp, gold_total - tp AS fn FROM d) SELECT run, tp, fp, fn, {_PRF_SQL} FROM e")
+def many_documents(spark, sf):
+    """One run over several documents, for which the published runs stand: triples meet within their document only."""
+    one = lambda df: df.withColumn("doc", F.col("run")).withColumn("run", F.lit("all"))
+    p, g = one(evaluation_sets.predictions(spark)), one(evaluation_sets.gold(spark))
+    return _rounded(alignment.report(p, g, alignment.assign(alignment.candidates(p, g))).select("run", "tp", "fp", "fn", "precision", "recall", "f1"))
+
+
+def judge(prompt: str) -> str:
+    """A judge that gives one gold triple away twice, and one that there isn't."""
+    return '[{"predicted_id": 0, "gold_id": 2, "confidence": 0.5}, {"predicted_id": 1, "gold_id": 2}, {"predicted_id": 1, "gold_id": 99}]'
+
+
+@query(_TRIPLE_SQL + "SELECT DISTINCT run, 0 AS p_idx, 2 AS g_idx, 0.5 AS confidence FROM p")
+def semantic_judge(spark, sf):
+    return alignment.semantic_pairs(evaluation_sets.predictions(spark), evaluation_sets.gold(spark), judge)
+
+
+@query("SELECT * FROM (VALUES ('r', 0, 'A', 'is a', 'B'), ('r', 2, ' ', 'x', 'C')) v(run, idx, subject, predicate, object) WHERE idx = 0 UNION ALL SELECT 'r', 2, '', 'x', 'C'")
+def answered_triples(spark, sf):
+    answer = '{"triples": [{"subject": " A ", "predicate": "Is A", "object": "B"}, {"subject": "", "predicate": "x", "object": "C"}, {"subject": " ", "predicate": "x", "object": "C"}]}'
+    return evaluation_sets.answered_triples(spark.createDataFrame([("r", answer)], "run string, answer string"))
 
 
 @query(_TRIPLE_SQL + f"SELECT run, count(*) AS n, count(*) FILTER ({X.token_count_sql('predicate')} = 1) AS single_predicates, count(*) FILTER ({X.token_count_sql('predicate')} > 1) AS compound_predicates, round(avg({X.token_count_sql('predicate')}), 6) AS avg_tokens FROM p GROUP BY run")
@@ -367,7 +484,7 @@ def shape(spark, sf):
     return profile.shape(read(spark, sf, "lineitem"))
 
 
-@query()
+@query("SELECT * EXCLUDE (k), CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('0:' || CAST(doc_id AS VARCHAR)), doc_id) AS k FROM labels) WHERE k <= 5")
 def sample_per_group(spark, sf):
     return profile.sample_per_group(read(spark, sf, "labels"), "quality", "doc_id")
 
@@ -430,7 +547,10 @@ def stratified_folds(spark, sf):
     return f.groupBy("quality", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PERCENT = "CAST('0x' || md5('{seed}:' || CAST({key} AS VARCHAR))[1:8] AS BIGINT) % 100"
+
+
+@query(f"SELECT doc_id, {_PERCENT.format(seed=42, key='doc_id')} < 30 AS test FROM documents")
 def hash_split(spark, sf):
     train, test = features.split(read(spark, sf, "documents").select("doc_id"), "doc_id", 30, seed=42)
     return train.select("doc_id", F.lit(False).alias("test")).unionByName(test.select("doc_id", F.lit(True).alias("test")))
@@ -491,13 +611,22 @@ def ridge_path(spark, sf):
     return spark.createDataFrame(rows, "alpha double, slope double, intercept double")
 
 
-@query()
+_SOFT = "sign({0}) * greatest(abs({0}) - alpha, 0)"
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT (p_partkey - (SELECT avg(p_partkey) FROM part)) / (SELECT stddev_pop(p_partkey) FROM part) AS x, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part) AS z, p_retailprice AS y FROM part), "
+    "c AS (SELECT covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM s), "
+    "w(alpha, i, a, b) AS (SELECT alpha, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT unnest([1.0, 10.0, 100.0, 200.0]::DOUBLE[]) AS alpha) "
+    f"UNION ALL SELECT alpha, i + 1, a, {_SOFT.format('(zy - xz * a)')} FROM (SELECT alpha, i, b, xz, zy, {_SOFT.format('(xy - xz * b)')} AS a FROM w, c WHERE i < 100)) "
+    "SELECT alpha, round(a, 2) + 0.0 AS p_partkey, round(b, 2) + 0.0 AS p_size, CAST(a = 0 AS BIGINT) + CAST(b = 0 AS BIGINT) AS zeros FROM w WHERE i = 100"
+)
 def lasso_path(spark, sf):
     p = features.standardize(read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_partkey", "p_size"])
     rows = []
     for a in (1.0, 10.0, 100.0, 200.0):
         m = models.lasso(p, ["p_partkey", "p_size"], "p_retailprice", a)
-        rows.append((a, *[round(float(c), 4) for c in m.coefficients], sum(1 for c in m.coefficients if c == 0)))
+        rows.append((a, *[round(float(c), 2) + 0.0 for c in m.coefficients], sum(1 for c in m.coefficients if c == 0)))
     return spark.createDataFrame(rows, "alpha double, p_partkey double, p_size double, zeros long")
 
 
@@ -509,11 +638,18 @@ def _scored(spark, sf):
 _SCORED = "SELECT event_id, CAST(event_type = 'purchase' AS INTEGER) AS y, least(1.0, value / 100) AS score FROM events"
 
 
-@query()
+@query(
+    f"WITH RECURSIVE s AS ({_SCORED}), w(i, w, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL "
+    "SELECT i + 1, w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb), b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) FROM ("
+    "SELECT i, w, b, sum((p - y) * score) + w AS gw, sum(p - y) AS gb, sum(p * (1 - p) * score * score) + 1 AS hww, sum(p * (1 - p) * score) AS hwb, sum(p * (1 - p)) AS hbb "
+    "FROM (SELECT i, w, b, score, y, 1 / (1 + exp(-(w * score + b))) AS p FROM w, s WHERE i < 12) GROUP BY i, w, b)) "
+    "SELECT 'score' AS feature, round(w, 3) AS coefficient, round(b, 3) AS intercept, round(exp(w), 3) AS odds_ratio FROM w WHERE i = 12"
+)
 def logistic_fit(spark, sf):
     s = _scored(spark, sf)
     m = models.logistic(s, ["score"], "y")
-    return spark.createDataFrame([("score", float(m.coefficients[0]), float(m.intercept))], "feature string, coefficient double, intercept double").withColumn("odds_ratio", F.exp("coefficient"))
+    made = spark.createDataFrame([("score", float(m.coefficients[0]), float(m.intercept))], "feature string, coefficient double, intercept double").withColumn("odds_ratio", F.exp("coefficient"))
+    return made.select("feature", *[_r(c, 3).alias(c) for c in ("coefficient", "intercept", "odds_ratio")])
 
 
 @query(f"WITH s AS ({_SCORED}) SELECT y AS label, count(*) FILTER (score < 0.5) AS predicted_0, count(*) FILTER (score >= 0.5) AS predicted_1 FROM s GROUP BY y")
@@ -561,16 +697,16 @@ def tf_idf(spark, sf):
     return features.tf_idf(_tokens(spark, sf).select("doc_id", "word", "n"), "doc_id", n).withColumn("tfidf", _r("tfidf", 5))
 
 
-def _vectors(spark, sf, k: int | None = None):
-    """The first k elements of each vector as columns, or all."""
+def _vectors(spark, sf):
+    """The elements of each vector as columns."""
     e = read(spark, sf, "embeddings")
-    k = k or e.agg(F.max(F.size("embedding"))).first()[0]
+    k = e.agg(F.max(F.size("embedding"))).first()[0]
     return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(k)]), [f"x{i}" for i in range(k)]
 
 
-@query(" UNION ALL ".join(f"SELECT CAST(label AS DOUBLE) AS label, 'x{i}' AS feature, round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS mean FROM embeddings GROUP BY label" for i in range(8)))
+@query("SELECT CAST(label AS DOUBLE) AS label, 'x' || CAST(i - 1 AS VARCHAR) AS feature, round(avg(CAST(embedding[i] AS DOUBLE)), 5) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY label, i")
 def gaussian_nb_means(spark, sf):
-    v, cols = _vectors(spark, sf, 8)  # as many as the SQL has
+    v, cols = _vectors(spark, sf)
     m = models.gaussian_nb(v, cols, "label")
     theta = m.theta.toArray()
     return spark.createDataFrame([(float(label), c, round(float(theta[i, j]), 5)) for i, label in enumerate(range(theta.shape[0])) for j, c in enumerate(cols)], "label double, feature string, mean double")
@@ -578,8 +714,6 @@ def gaussian_nb_means(spark, sf):
 
 @query()
 def tree_cross_validation(spark, sf):
-    from weftline.operators import crossval
-
     v, cols = _vectors(spark, sf)
     folded = features.stratified_folds(v, "label", "vec_id", 3)
 
@@ -589,3 +723,136 @@ def tree_cross_validation(spark, sf):
 
     got = crossval.cross_validate(folded, 3, fit)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(got["scores"])], "fold int, accuracy double")
+
+
+# --- more of the tabular toolkit
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"CAST(o_orderstatus = '{s}' AS INTEGER) AS o_orderstatus_{s}" for s in "FOP") + " FROM orders")
+def one_hot_all(spark, sf):
+    return features.one_hot(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"])
+
+
+@query("SELECT doc_id, CAST(quality = 1 AS INTEGER) AS quality_1, CAST(lang = 'de' AS INTEGER) AS lang_de, CAST(lang = 'en' AS INTEGER) AS lang_en, CAST(lang = 'es' AS INTEGER) AS lang_es, CAST(lang = 'fr' AS INTEGER) AS lang_fr FROM labels JOIN documents USING (doc_id)")
+def one_hot_binary(spark, sf):
+    d = read(spark, sf, "labels").select("doc_id", "quality").join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return features.one_hot(d, ["quality", "lang"], drop="binary")
+
+
+@query("SELECT o_orderkey, round((o_totalprice - (SELECT avg(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0)) / (SELECT stddev_pop(o_totalprice) FROM orders WHERE o_orderkey % 5 <> 0), 5) + 0.0 AS o_totalprice, CAST(o_orderstatus = 'O' AS INTEGER) AS o_orderstatus_O, CAST(o_orderstatus = 'P' AS INTEGER) AS o_orderstatus_P FROM orders WHERE o_orderkey % 5 = 0")
+def column_transformer(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    made = features.transform_columns(o.where("o_orderkey % 5 = 0"), [("median+scale", ["o_totalprice"]), ("mode+onehot_first", ["o_orderstatus"])], o.where("o_orderkey % 5 <> 0"), rest="keep")
+    return made.withColumn("o_totalprice", _r("o_totalprice", 5))
+
+
+@query("WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality) SELECT quality, true AS test, CAST(round(n * 30 / 100) AS BIGINT) AS n FROM n UNION ALL SELECT quality, false, n - CAST(round(n * 30 / 100) AS BIGINT) FROM n")
+def stratified_split(spark, sf):
+    train, test = features.stratified_split(read(spark, sf, "labels"), "quality", "doc_id", 30, seed=1)
+    both = train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True)))
+    return both.groupBy("quality", "test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents WHERE lang <> 'en'")
+def reset_index(spark, sf):
+    return features.numbered(read(spark, sf, "documents").where("lang <> 'en'").select("doc_id"), "doc_id", name="index")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{t}', (SELECT count({c}) FROM lineitem))" for i, (c, t) in enumerate([("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double")])) + ") v(position, \"column\", type, non_null)")
+def table_info(spark, sf):
+    return profile.info(read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+
+
+@query("SELECT n_name AS word, CASE lower(trim(n_name)) " + " ".join(f"WHEN '{w}' THEN {i}" for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())) + " END AS number, CASE lower(n_name) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS flag FROM (SELECT n_name FROM nation UNION ALL SELECT unnest([' Two', 'twelve', 'yes', 'NO', 'zero ']))")
+def word_maps(spark, sf):
+    w = read(spark, sf, "nation").select("n_name").union(spark.createDataFrame([(x,) for x in (" Two", "twelve", "yes", "NO", "zero ")], "n_name string"))
+    return w.select(F.col("n_name").alias("word"), X.number_word(F.col("n_name")).alias("number"), X.yes_no(F.col("n_name")).alias("flag"))
+
+
+_MODEL_NAMES = (" models/gemini-2.5-pro", "flash", "2.5-Flash", "gemini-exp", "other", "pro")
+
+
+@query("SELECT name, CASE " + " ".join(f"WHEN lower(c) = '{k}' THEN '{v}'" for k, v in X.EXTRACTION_MODELS.items()) + " WHEN c LIKE 'gemini-%' THEN c ELSE 'gemini-' || c END AS model FROM (SELECT name, regexp_replace(trim(name), '^models/', '') AS c FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _MODEL_NAMES) + "]) AS name))")
+def model_names(spark, sf):
+    n = spark.createDataFrame([(x,) for x in _MODEL_NAMES], "name string")
+    return n.select("name", X.model_name(F.col("name")).alias("model"))
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT event_id, e.event_type, y, CAST(score >= 0.5 AS INTEGER) AS guess FROM s JOIN events e USING (event_id) WHERE y <> CAST(score >= 0.5 AS INTEGER)")
+def misclassified_rows(spark, sf):
+    """Rows that are predicted wrongly, looked up in their table."""
+    wrong = models.misclassified(_scored(spark, sf).withColumn("guess", (F.col("score") >= 0.5).cast("int")), "y", "guess")
+    return wrong.join(read(spark, sf, "events").select("event_id", "event_type"), "event_id").select("event_id", "event_type", "y", "guess")
+
+
+@query(f"WITH s AS ({_SCORED}), n AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM s) SELECT t / 10.0 AS threshold, round(count(*) FILTER (y = 0 AND score >= t / 10.0) / any_value(neg), 6) AS fpr, round(count(*) FILTER (y = 1 AND score >= t / 10.0) / any_value(pos), 6) AS tpr FROM s, n, (SELECT CAST(unnest(range(11)) AS DOUBLE) AS t) GROUP BY t")
+def roc_curve(spark, sf):
+    return _rounded(models.roc_curve(_scored(spark, sf), "y", "score", steps=10))
+
+
+@query(_TOKENS + ", z AS (SELECT quality, sum(n) AS total FROM c GROUP BY quality), v AS (SELECT count(DISTINCT word) AS v FROM c), p AS (SELECT word, coalesce(max(n) FILTER (quality = 0), 0) AS n0, coalesce(max(n) FILTER (quality = 1), 0) AS n1 FROM c GROUP BY word) SELECT word, round(ln((n0 + 1) / ((SELECT total FROM z WHERE quality = 0) + v)) - ln((n1 + 1) / ((SELECT total FROM z WHERE quality = 1) + v)), 5) AS log_ratio FROM p, v ORDER BY log_ratio, word LIMIT 10")
+def nb_bottom_words(spark, sf):
+    nb = models.multinomial_nb(_tokens(spark, sf), "quality")
+    r = nb.groupBy("word").agg(F.sum(F.when(F.col("quality") == 0, F.col("log_prob")).otherwise(-F.col("log_prob"))).alias("log_ratio"))
+    return r.select("word", _r("log_ratio", 5).alias("log_ratio")).orderBy("log_ratio", "word").limit(10)
+
+
+@query(_TWO + ", n AS (SELECT count(*) AS n FROM part), e AS (SELECT sum((p_retailprice - (i + a * p_size + b * p_partkey)) ** 2) / (any_value(n.n) - 3) AS s2 FROM part, f, n), d AS (SELECT xx * n AS sxx, zz * n AS szz, xz * n AS sxz, mx, mz, n FROM c, n), se AS (SELECT sqrt(s2 * szz / (sxx * szz - sxz * sxz)) AS ea, sqrt(s2 * sxx / (sxx * szz - sxz * sxz)) AS eb, sqrt(s2 * (1.0 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / (sxx * szz - sxz * sxz))) AS ei FROM d, e) SELECT unnest(['const', 'p_size', 'p_partkey']) AS term, unnest([round(i, 3), round(a, 3), round(b, 3)]) AS coefficient, unnest([round(ei, 4), round(ea, 4), round(eb, 5)]) AS standard_error, unnest([round(i / ei, 2), round(a / ea, 2), round(b / eb, 2)]) AS t FROM f, se")
+def ols_summary(spark, sf):
+    m = models.ols(read(spark, sf, "part"), ["p_size", "p_partkey"], "p_retailprice")
+    digits = {"const": 4, "p_size": 4, "p_partkey": 5}
+    return spark.createDataFrame([(r["term"], round(r["coefficient"], 3), round(r["standard_error"], digits[r["term"]]), round(r["t"], 2)) for r in m.summary()], "term string, coefficient double, standard_error double, t double")
+
+
+@query(_TWO + "SELECT unnest(['p_size', 'p_partkey']) AS feature, unnest([round(a * sqrt(xx), 3), round(b * sqrt(zz), 3)]) AS coefficient FROM f, c")
+def largest_coefficients(spark, sf):
+    p = features.standardize(read(spark, sf, "part").select("p_size", "p_partkey", "p_retailprice"), ["p_size", "p_partkey"])
+    m = models.ols(p, ["p_size", "p_partkey"], "p_retailprice")
+    return spark.createDataFrame([(f, round(c, 3)) for f, c in models.top_coefficients(m.features, m.coefficients)], "feature string, coefficient double")
+
+
+_TEST_R2 = "round(1 - sum((p_retailprice - (i + s * p_size)) ** 2) / (var_pop(p_retailprice) * count(*)), 5)"
+
+
+def _part_r2(test: DataFrame, model) -> float:
+    return models.regression_metrics(test.withColumn("guess", model.predict()), "p_retailprice", "guess").first()["r2"]
+
+
+@query(" UNION ALL ".join(f"SELECT {seed} AS seed, (SELECT {_TEST_R2} FROM part, (SELECT regr_slope(p_retailprice, p_size) AS s, regr_intercept(p_retailprice, p_size) AS i FROM part WHERE {_PERCENT.format(seed=seed, key='p_partkey')} >= 30) WHERE {_PERCENT.format(seed=seed, key='p_partkey')} < 30) AS r2" for seed in range(5)))
+def split_sensitivity(spark, sf):
+    def fit(train):
+        model = models.ols(train, ["p_size"], "p_retailprice")
+        return lambda test: _part_r2(test, model)
+
+    got = crossval.split_sensitivity(read(spark, sf, "part"), "p_partkey", 30, list(range(5)), fit)
+    return spark.createDataFrame([(i, round(float(x), 5)) for i, x in enumerate(got["scores"])], "seed int, r2 double")
+
+
+@query(f"WITH c AS (SELECT covar_pop(p_size, p_retailprice) * count(*) AS xy, var_pop(p_size) * count(*) AS xx, avg(p_size) AS mx, avg(p_retailprice) AS my FROM part WHERE p_partkey % 5 <> 0), w AS (SELECT alpha, xy / (xx + alpha) AS s, my - xy / (xx + alpha) * mx AS i FROM c, (SELECT unnest([1.0, 1000.0, 100000.0]::DOUBLE[]) AS alpha)) SELECT alpha, {_TEST_R2} AS score FROM part, w WHERE p_partkey % 5 = 0 GROUP BY alpha")
+def grid_search(spark, sf):
+    p = read(spark, sf, "part")
+
+    def make(option):
+        def fit(train):
+            w, b = models.ridge(train, ["p_size"], "p_retailprice", option["alpha"])
+            return lambda test: models.regression_metrics(test.withColumn("guess", F.col("p_size") * float(w[0]) + float(b)), "p_retailprice", "guess").first()["r2"]
+
+        return fit
+
+    got = crossval.search([{"alpha": a} for a in (1.0, 1000.0, 100000.0)], make, p.where("p_partkey % 5 <> 0"), p.where("p_partkey % 5 = 0"))
+    return spark.createDataFrame([(r["alpha"], round(float(r["score"]), 5)) for r in got], "alpha double, score double")
+
+
+@query(_TWO + ", one AS (SELECT regr_slope(p_retailprice, p_size) AS s, regr_intercept(p_retailprice, p_size) AS k FROM part) SELECT 'size' AS model, round(1 - sum((p_retailprice - (k + s * p_size)) ** 2) / (var_pop(p_retailprice) * count(*)), 5) AS r2, round(avg(abs(p_retailprice - (k + s * p_size))), 3) AS mae FROM part, one UNION ALL SELECT 'size and key', round(1 - sum((p_retailprice - (i + a * p_size + b * p_partkey)) ** 2) / (var_pop(p_retailprice) * count(*)), 5), round(avg(abs(p_retailprice - (i + a * p_size + b * p_partkey))), 3) FROM part, f")
+def model_comparison(spark, sf):
+    p = read(spark, sf, "part").select("p_size", "p_partkey", "p_retailprice")
+
+    def linear(cols):
+        def fit(train):
+            steps = models.Steps(lambda t, _: t.select(*cols, "p_retailprice"), models.ols, "p_retailprice").fit(train)
+            return lambda test: models.regression_metrics(steps.predict(test), "p_retailprice", "prediction").first().asDict()
+
+        return fit
+
+    got = models.compare({"size": linear(["p_size"]), "size and key": linear(["p_size", "p_partkey"])}, p, p)
+    return spark.createDataFrame([(r["model"], round(r["r2"], 5), round(r["mae"], 3)) for r in got], "model string, r2 double, mae double")

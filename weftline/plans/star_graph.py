@@ -20,11 +20,15 @@ def _id(kind: str, name: F.Column) -> F.Column:
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines with the ids of their part and supplier."""
-    l = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")  # noqa: E741
-    p = read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("part"), "p_brand")
-    s = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier"))
-    return l.join(p, "l_partkey").join(s, "l_suppkey")
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("part"), "p_brand")
+
+
+def suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier"))
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,9 +40,11 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 def entity_log(spark: SparkSession, sf: str) -> DataFrame:
     """(ord, chunk_id, id, name, type, description): one row per chunk and entity."""
     o, l = orders(spark, sf), lines(spark, sf)  # noqa: E741
-    per = lambda name, kind, desc: l.groupBy(F.col("l_orderkey").alias("ord"), F.col(name).alias("name")).agg(desc.alias("description")).withColumn("type", F.lit(kind))
-    rows = per("part", "PART", F.concat_ws(" ", F.min("p_brand"), F.max("l_returnflag")))
-    rows = rows.unionByName(per("supplier", "SUPPLIER", F.max("l_linestatus")))
+    # lines are combined by their integer keys; names come to what is left
+    of_part = l.groupBy(F.col("l_orderkey").alias("ord"), "l_partkey").agg(F.max("l_returnflag").alias("flag")).join(parts(spark, sf), "l_partkey")
+    rows = of_part.select("ord", F.col("part").alias("name"), F.concat_ws(" ", "p_brand", "flag").alias("description"), F.lit("PART").alias("type"))
+    of_supplier = l.groupBy(F.col("l_orderkey").alias("ord"), "l_suppkey").agg(F.max("l_linestatus").alias("description")).join(suppliers(spark, sf), "l_suppkey")
+    rows = rows.unionByName(of_supplier.select("ord", F.col("supplier").alias("name"), "description", F.lit("SUPPLIER").alias("type")))
     rows = rows.unionByName(o.select(F.col("o_orderkey").alias("ord"), F.col("c_name").alias("name"), F.col("o_orderpriority").alias("description"), F.lit("CUSTOMER").alias("type")))
     rows = rows.withColumn("chunk_id", F.concat(F.lit("order_"), F.col("ord").cast("string")))
     fixed = lambda t, col, kind: read(spark, sf, t).select(F.lit(0).cast("long").alias("ord"), F.col(col).alias("name"), F.lit("").alias("description"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("chunk_id"))
@@ -49,11 +55,13 @@ def entity_log(spark: SparkSession, sf: str) -> DataFrame:
 def relation_log(spark: SparkSession, sf: str) -> DataFrame:
     """(ord, chunk_id, src, tgt, type, description): one row per chunk and relation."""
     l, o = lines(spark, sf), orders(spark, sf)  # noqa: E741
-    joined = l.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "c_name", "o_orderstatus"), "l_orderkey")
-    bought = joined.groupBy("l_orderkey", "c_name", "part").agg(F.min("o_orderstatus").alias("description"))
-    bought = bought.select(F.col("l_orderkey").alias("ord"), _id("CUSTOMER", F.col("c_name")).alias("src"), _id("PART", F.col("part")).alias("tgt"), F.lit("ORDERED").alias("type"), "description")
-    sold = l.groupBy("l_orderkey", "supplier", "part").agg(F.min("l_returnflag").alias("description"))
-    sold = sold.select(F.col("l_orderkey").alias("ord"), _id("SUPPLIER", F.col("supplier")).alias("src"), _id("PART", F.col("part")).alias("tgt"), F.lit("SUPPLIES").alias("type"), "description")
+    part = parts(spark, sf).select("l_partkey", _id("PART", F.col("part")).alias("tgt"))
+    supplier = suppliers(spark, sf).select("l_suppkey", _id("SUPPLIER", F.col("supplier")).alias("src"))
+    customer = o.select(F.col("o_orderkey").alias("ord"), _id("CUSTOMER", F.col("c_name")).alias("src"), F.col("o_orderstatus").alias("description"))
+    bought = l.select(F.col("l_orderkey").alias("ord"), "l_partkey").distinct().join(customer, "ord").join(part, "l_partkey")
+    bought = bought.select("ord", "src", "tgt", F.lit("ORDERED").alias("type"), "description")
+    sold = l.groupBy(F.col("l_orderkey").alias("ord"), "l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("description")).join(part, "l_partkey").join(supplier, "l_suppkey")
+    sold = sold.select("ord", "src", "tgt", F.lit("SUPPLIES").alias("type"), "description")
     rows = bought.unionByName(sold).withColumn("chunk_id", F.concat(F.lit("order_"), F.col("ord").cast("string")))
     n = read(spark, sf, "nation")
     nation = n.select("n_nationkey", _id("NATION", F.col("n_name")).alias("nation"))
@@ -76,7 +84,7 @@ def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     docs = read(spark, sf, "customer").select(F.sha2("c_name", 256).alias("file_hash"), F.col("c_name").alias("filename"))
     return {
         "documents": docs, "chunks": chunks, "entities": graph_store.merge_entities(log), "mentions": graph_store.mentions(log),
-        "relations": graph_store.merge_relations(relation_log(spark, sf)),
+        "relations": graph_store.merge_relations(relation_log(spark, sf)), "relation_chunks": graph_store.relation_chunks(relation_log(spark, sf)),
     }
 
 
@@ -102,7 +110,7 @@ r_log AS (
   UNION ALL SELECT 0, NULL, {_id_sql("SUPPLIER", "s_name")}, {_id_sql("NATION", "n_name")}, 'IN_NATION', '' FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT 0, NULL, {_id_sql("NATION", "n_name")}, {_id_sql("REGION", "r_name")}, 'IN_REGION', '' FROM nation JOIN region ON n_regionkey = r_regionkey),
 entities AS (SELECT id, arg_min(name, ord) AS name, arg_min(type, ord) AS type, arg_max(description, struct_pack(n := length(description), o := -ord)) AS description, count(*) AS mentions FROM e_log GROUP BY id),
-relations AS (SELECT src, tgt, type, arg_min(description, ord) AS description, count(*) AS weight, list(chunk_id ORDER BY ord) FILTER (WHERE chunk_id IS NOT NULL) AS chunks FROM r_log WHERE src <> tgt GROUP BY src, tgt, type),
+relations AS (SELECT src, tgt, type, arg_min(description, ord) AS description, count(*) AS weight, count(DISTINCT chunk_id) AS n_chunks FROM r_log WHERE src <> tgt GROUP BY src, tgt, type),
 mentions AS (SELECT DISTINCT chunk_id, id AS entity_id FROM e_log WHERE chunk_id IS NOT NULL),
 g_documents AS (SELECT sha256(c_name) AS file_hash, c_name AS filename FROM customer),
 g_chunks AS (SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS id, sha256(c_name) AS doc_hash FROM g_orders),

@@ -12,9 +12,8 @@ DOCUMENTS = _struct(file_hash=S, filename=S, pages=I, chunks=I, created_at=Times
 CHUNKS = _struct(id=S, doc_hash=S, index=I, page_start=I, page_end=I, text=S)
 ENTITIES = _struct(id=S, name=S, type=S, description=S, mentions=L, label=S)
 MENTIONS = _struct(chunk_id=S, entity_id=S)
-RELATIONS = _struct(src=S, tgt=S, type=S, description=S, weight=L, chunks=ArrayType(S))
+RELATIONS = _struct(src=S, tgt=S, type=S, description=S, weight=L)
+RELATION_CHUNKS = _struct(src=S, tgt=S, type=S, chunk_id=S)
 EXTRACTION = _struct(entities=ArrayType(_struct(name=S, type=S, description=S)), relations=ArrayType(_struct(source=S, target=S, relation=S, description=S)))
 TRIPLES_ANSWER = _struct(triples=ArrayType(_struct(subject=S, predicate=S, object=S)))
 TRIPLES = _struct(run=S, idx=I, subject=S, predicate=S, object=S)
-ENTITY_LOG = _struct(run_id=S, ord=ArrayType(L), chunk_id=S, id=S, name=S, type=S, description=S)
-RELATION_LOG = _struct(run_id=S, ord=ArrayType(L), chunk_id=S, src=S, tgt=S, type=S, description=S)

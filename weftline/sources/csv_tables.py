@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftline.operators.features import numbered
+
 #: Columns of the tabular examples, in file order.
 SCHEMAS = {
     "homeprices": "area INT, price INT",
@@ -25,7 +26,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = N
 
 
 def write_csv(df: DataFrame, path: str, *, index_by: str | None = None) -> None:
-    """CSV with a header; `index_by` puts a number that ascends in that order (with gaps) in front."""
+    """CSV with a header; `index_by` puts 0, 1, 2, ... in the order of that numeric column in front."""
     if index_by:
-        df = df.orderBy(index_by).select(F.monotonically_increasing_id().alias("index"), "*")
+        made = numbered(df, index_by, name="index")
+        df = made.select("index", *df.columns).repartitionByRange("index").sortWithinPartitions("index")
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -51,16 +51,15 @@ class OfflineExtractor:
         return entities, relations
 
 
+#: Marks of errors that pass, and what an error costs.
 BUSY = ("503", "429", "UNAVAILABLE", "RESOURCE_EXHAUSTED")
+TRIES, WAIT = 3, 2.0
 
 
-class ClientExtractor:
-    """Asks `ask(model, prompt) -> JSON text`, with retries, and a second model in the end.
+class Caller:
+    """Asks `ask(model, prompt) -> text`: an error that passes is tried again after a wait, any other ends it; then a second model has one try."""
 
-    `wait` maps the attempt number to seconds; with `only_busy` other errors are tried again at once.
-    """
-
-    def __init__(self, ask: Callable[[str, str], str], model: str, *, fallback: str | None = None, tries: int = 4, wait: Callable[[int], float] = lambda k: 2.0**k, sleep=time.sleep):
+    def __init__(self, ask: Callable[[str, str], str], model: str, *, fallback: str | None = None, tries: int = TRIES, wait: Callable[[int], float] = lambda k: WAIT * (k + 1), sleep: Callable[[float], None] = time.sleep):
         self.ask, self.model, self.fallback, self.tries, self.wait, self.sleep = ask, model, fallback, tries, wait, sleep
 
     def call(self, prompt: str) -> tuple[str | None, str]:
@@ -69,26 +68,122 @@ class ClientExtractor:
             try:
                 return self.ask(self.model, prompt), self.model
             except Exception as e:  # noqa: BLE001  clients raise what they like
-                if attempt < self.tries - 1 and any(b in str(e) for b in BUSY):
-                    self.sleep(self.wait(attempt))
+                if attempt == self.tries - 1 or not any(b in str(e) for b in BUSY):
+                    break
+                self.sleep(self.wait(attempt))
         if self.fallback and self.fallback != self.model:
             try:
-                return self.ask(self.fallback, prompt), f"{self.model} -> {self.fallback}"
+                return self.ask(self.fallback, prompt), f"{self.model} -> fallback: {self.fallback}"
             except Exception:  # noqa: BLE001
                 pass
         return None, self.model
 
+
+class ClientExtractor(Caller):
+    """Entities and relations from a client's JSON answer; none from an answer that fails or is no JSON."""
+
     def extract(self, text: str) -> tuple[list[dict], list[dict]]:
         answer, _ = self.call("List the named entities of the text and the relations between them as JSON.\n\n" + text)
         try:
             data = json.loads(answer) if answer else {}
         except ValueError:
             data = {}
-        return data.get("entities", []), data.get("relations", [])
+        data = data if isinstance(data, dict) else {}
+        return data.get("entities") or [], data.get("relations") or []
+
+
+Triple = tuple[str, str, str]
+
+
+def read_triples(answer: str | None, *, keep_empty: bool = False) -> list[Triple] | None:
+    """Triples of a JSON answer {"triples": [{subject, predicate, object}]}, the predicate in lower case; None if it is none."""
+    try:
+        rows = [(t["subject"], t["predicate"], t["object"]) for t in json.loads(answer or "")["triples"]]
+        return [(s.strip(), p.strip().lower(), o.strip()) for s, p, o in rows if keep_empty or (s and p and o)]
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return None
+
+
+class DirectTriples:
+    """One question for all triples of a text."""
+
+    def __init__(self, caller: Caller):
+        self.caller = caller
+
+    def triples(self, text: str) -> list[Triple]:
+        return read_triples(self.caller.call(f"State the facts of the text as JSON triples of short subject, predicate and object.\n\n{text}")[0]) or []
+
+
+class RefinedTriples(DirectTriples):
+    """A second question unites names of one thing and drops repeats; without an answer the first ones stay."""
+
+    def triples(self, text: str) -> list[Triple]:
+        found = super().triples(text)
+        if not found:
+            return []
+        better = read_triples(self.caller.call(f"Unite different names of one thing, unify predicates and drop repeats in these JSON triples.\n\n{json.dumps(found, ensure_ascii=False)}")[0])
+        return found if better is None else better
+
+
+class VerifiedTriples(DirectTriples):
+    """Candidates first, then only those that a second look at the text supports; without an answer all candidates stay."""
+
+    def triples(self, text: str) -> list[Triple]:
+        found = read_triples(self.caller.call(f"State only what the text says literally, definitions first, as JSON triples.\n\n{text}")[0], keep_empty=True)
+        if not found:
+            return []
+        sure = read_triples(self.caller.call(f"Keep the triples that the text supports.\n\n{text}\n\n{json.dumps(found, ensure_ascii=False)}")[0])
+        return found if sure is None else sure
+
+
+class GraphTriples:
+    """Triples of an entity and relation extractor: ends by their names, types in lower case with hyphens."""
+
+    def __init__(self, extractor: Extractor):
+        self.extractor = extractor
+
+    def triples(self, text: str) -> list[Triple]:
+        entities, relations = self.extractor.extract(text)
+        names = {_plain_id(e["name"]): e["name"] for e in reversed(entities)}
+        end = lambda x: names.get(_plain_id(x), x)
+        return [(end(r["source"]), r["relation"].lower().replace("_", "-"), end(r["target"])) for r in relations]
+
+
+def _plain_id(name: str) -> str:
+    return re.sub(r"\s+", "_", re.sub(r"[^\w\s]", "", name.strip().lower()))
+
+
+#: Strategies by name: each makes an object with triples(text) from a caller.
+STRATEGIES: dict[str, Callable[[Caller], object]] = {
+    "LLMGraphTransformer": DirectTriples,
+    "KGGen": RefinedTriples,
+    "GT2KG": VerifiedTriples,
+    "CurrentGraphRAG": lambda caller: GraphTriples(ClientExtractor(caller.ask, caller.model, fallback=caller.fallback, tries=caller.tries, wait=caller.wait, sleep=caller.sleep)),
+}
+
+
+def extract_triples(texts: DataFrame, caller: Callable[[], Caller], methods: list[str] | None = None) -> DataFrame:
+    """(run, doc, idx, subject, predicate, object) of (doc, text) by each strategy named; unknown names are skipped.
+
+    A run is named after strategy and model. One caller a task.
+    """
+    workers_find_us(texts.sparkSession)
+    chosen = [m for m in (methods or list(STRATEGIES)) if m in STRATEGIES]
+
+    def run(batches):
+        asked = caller()
+        made = {m: STRATEGIES[m](asked) for m in chosen}
+        for batch in batches:
+            rows = [(f"{m} ({asked.model})", doc, i, *t) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m, s in made.items() for i, t in enumerate(s.triples(text or ""))]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["run", "doc", "idx", "subject", "predicate", "object"])
+
+    return texts.select(F.col("doc").cast("string").alias("doc"), "text").mapInArrow(run, "run string, doc string, idx int, subject string, predicate string, object string")
 
 
-def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor) -> DataFrame:
-    """`chunks` (id, text, ...) with `answer`: the raw entities and relations. One extractor a task."""
+def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor, seen=None) -> DataFrame:
+    """`chunks` (id, text, ...) with `answer`: the raw entities and relations. One extractor a task; `seen`: an accumulator of chunks."""
     workers_find_us(chunks.sparkSession)
     at = chunks.columns.index("text")
 
@@ -99,6 +194,8 @@ def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor)
             for text in batch.column(at).to_pylist():
                 e, r = extractor.extract(text or "")
                 out.append(json.dumps({"entities": e, "relations": r}, ensure_ascii=False))
+            if seen is not None:
+                seen.add(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "raw"])
 
     raw = chunks.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", raw string")

@@ -7,7 +7,9 @@ library can be plugged in where there is one; text tables need none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,33 +22,35 @@ _HYPHEN = re.compile(r"(\w+)-\n(\w+)")
 _BLANKS = re.compile(r"[ \t]+")
 
 
+def _cut(text: str, start: int, size: int) -> int:
+    """Where a full buffer from `start` on ends: at its last blank line, else its last sentence end, else after `size`."""
+    for mark in ("\n\n", ". "):
+        at = text.rfind(mark, start, start + size)
+        if at >= 0:
+            return at if at > start else start + size  # a cut that takes nothing counts as none
+    return start + size
+
+
 def split_pages(pages: list[str | None], size: int = CHUNK_SIZE) -> Iterator[tuple[int, int, int, str]]:
     """(index, first page, last page, text) of the chunks of a document.
 
-    A full buffer is cut at its last blank line before `size`, else at its last
-    sentence end, else at `size`. A cut that would take nothing counts as none, so
-    that the loop always gets on.
+    The cleaned pages are one text with blank lines between them. While `size` characters
+    or more are left, the text is cut; a chunk's last page is the one that filled its
+    buffer, the document's last for the rest.
     """
-    index, held, first = 0, "", 1
-    for number, page in enumerate(pages, 1):
-        text = _BLANKS.sub(" ", _HYPHEN.sub(r"\1\2", (page or "").strip()))
-        if not text:
-            continue
-        if held:
-            held = f"{held}\n\n{text}".strip()
-        else:
-            held, first = text, number
-        while len(held) >= size:
-            cut = held.rfind("\n\n", 0, size)
-            cut = held.rfind(". ", 0, size) if cut < 0 else cut
-            cut = size if cut <= 0 else cut
-            chunk, held = held[:cut].strip(), held[cut:].strip()
-            if chunk:
-                yield index, first, number, chunk
-                index += 1
-            first = number
-    if held:
-        yield index, first, len(pages), held
+    cleaned = [(n, _BLANKS.sub(" ", _HYPHEN.sub(r"\1\2", (page or "").strip()))) for n, page in enumerate(pages, 1)]
+    numbers, texts = zip(*[x for x in cleaned if x[1]] or [(1, "")])
+    whole = "\n\n".join(texts)
+    ends = list(accumulate((len(t) for t in texts), lambda end, n: end + 2 + n))
+    page_at = lambda offset: numbers[min(bisect_left(ends, offset), len(ends) - 1)]
+    start, index, last = 0, 0, 0
+    while start < len(whole):
+        first, full = max(last, page_at(start + 1)), len(whole) - start >= size
+        stop, last = (_cut(whole, start, size), page_at(start + size)) if full else (len(whole), len(pages))
+        if chunk := whole[start:stop].strip():
+            yield index, first, last, chunk
+            index += 1
+        start = len(whole) - len(whole[stop:].lstrip())
 
 
 def chunk_documents(docs: DataFrame, *, text_col: str = "text", name_col: str | None = None, size: int = CHUNK_SIZE, separator: str = "\f") -> DataFrame:
@@ -97,3 +101,24 @@ def document_rows(docs: DataFrame, *, text_col: str = "text", name_col: str = "d
 def not_yet_known(docs: DataFrame, known: DataFrame, *, hash_col: str = "file_hash") -> DataFrame:
     """Rows whose content hash is not among the known documents."""
     return docs.join(known.select(hash_col).distinct(), hash_col, "left_anti")
+
+
+def pdf_pages(raw: bytes) -> list[str]:
+    """Page texts of a PDF by an installed library (pypdf or pdfplumber)."""
+    import io
+
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        try:
+            import pdfplumber
+        except ImportError:
+            raise RuntimeError("no PDF library is installed; pass a decoder of your own to load_files") from None
+        with pdfplumber.open(io.BytesIO(raw)) as found:
+            return [page.extract_text() or "" for page in found.pages]
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
+
+
+def load_pdf(spark: SparkSession, path: str, *, size: int = CHUNK_SIZE) -> DataFrame:
+    """Chunks of the PDF files under `path`."""
+    return load_files(spark, path, pdf_pages, size=size)

@@ -15,8 +15,9 @@ from weftline.sources.pages import chunk_documents
 def ingest_stream(spark: SparkSession, source: str, schema: StructType | str, store: str, checkpoint: str, *, extractor=None, text_col: str = "text", name_col: str = "doc_id", files_per_batch: int = 16) -> StreamingQuery:
     """Read Parquet files as they come, and upsert each batch once.
 
-    A batch that runs again after a failure stages over its own former files; a
-    document that is in the store already is left out by its content hash.
+    A batch that runs again after a failure writes over its own former files, and one
+    that the store holds whole changes nothing; a document that is in the store already
+    is left out by its content hash.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
