@@ -13,28 +13,30 @@ P = (n(history, token) + b P') / (n + b), with P' of the level below. b is so ch
 gets over all of training what Good and Turing's estimate takes from seen counts. The counts are of all training rows, by hashes
 of history and token whose space grows with the input: 2**32 for each bucket.
 
-Everything is learned from all training rows: word counts by a shuffle of packed
-counts, and the class-trigram counts that decide the likelihood. Training is full
-gradient descent: each step sends the weights to the partitions of those counts
-and adds up their gradients. Scoring looks up in packed replies the counts of the
-words that each shard of documents asks for, so no table of all words is ever in
-one place.
+Texts are read once: their tokens go to a table, a row for each shard of documents, as
+numbers into the shard's own list of word hashes. Everything is learned from all
+training rows: each shard sends, bucket by bucket, the hashes it holds with their counts,
+and is answered with the counts of the whole training corpus; so the one shuffle that
+counts is also the one that asks, and no table of all words is ever in one place.
+Training of the class model is full gradient descent on the class-trigram counts that
+decide its likelihood: each step sends the weights to the partitions of those counts and
+adds up their gradients.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, checkpointed, shards_for, slices, text_bytes, utf8
+from .common import bound_batches, checkpointed, release, shards_for, slices, text_bytes, utf8
 
 TOP = 40
 TAILS = 56
@@ -44,14 +46,12 @@ ROWS = 1 << 13
 STEPS = 30
 PRIOR = 2.0  # inverse variance of the weights
 PARTS = 6  # tasks of a gradient step: the class counts have a fixed size
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
 SLICE = 1 << 20
 END_KEY = 0
 #: Stands for what is before the text in the hashes of words.
 START_KEY = 0x2545F4914F6CDD1D
-#: Words on words: hashes held in a task before they are counted and sent.
-HELD = 6 << 20
 #: New words expected after n tokens grow as n ** HEAPS (Heaps' law), by a factor fitted for each level.
 HEAPS = 0.75
 BINS = 48
@@ -149,16 +149,6 @@ def unpack(blob: bytes, kind, rising: bool = False) -> np.ndarray:
     return np.cumsum(a, dtype=kind) if rising else a
 
 
-class Keys(dict):
-    """Hashes of words, by a cache."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = got = word_key(word)
-        return got
-
-
 def _mixed(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> np.ndarray:
     h = a * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64))
     for x in (b,) if c is None else (b, c):
@@ -216,153 +206,213 @@ def _placed(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def feature_totals(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket: sorted hashes of skips, pairs and triples of all rows of (text), and their counts."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """One row per shard of (id, text, held): ids, held, lens (tokens of each text, its end among them), and packed tokens.
 
-    def count(batches):
-        cache, held, size = Keys(), [], 0
+    Tokens are numbers into `keys` and `tails`, the hashes and tail classes of the shard's
+    words in order of their hashes; the end is the first of them. A shard is about
+    SHARD_BYTES of text, or one text that is longer.
+    """
+
+    def run(batches):
+        number: dict[bytes, int] = {}
+        ids, held, lens, got, size, made = [], [], [], [], 0, 0
 
         def flush():
-            key, n = np.unique(_placed(np.concatenate(held), buckets), return_counts=True)
-            rows = [(b, pack(key[s].astype(np.uint32), True), pack(n[s].astype(np.int64))) for b, s in _runs((key >> np.uint64(32)).astype(np.int64))]
-            held.clear()
-            return _rows(["bucket", "fkey", "fn"], [pa.int32(), pa.binary(), pa.binary()], rows).to_batches()
+            ws = [*number]
+            keys = np.array([END_KEY, *map(word_key, ws)], np.uint64)
+            tails = np.array([0, *map(tail_class, ws)], np.uint8)
+            order = np.argsort(keys, kind="stable")
+            place = np.empty(len(keys), np.uint32)
+            place[order] = np.arange(len(keys), dtype=np.uint32)
+            row = ((TaskContext.get().partitionId() << 32) + made, ids, held, lens, pack(keys[order], True), tails[order].tobytes(), pack(place[np.concatenate(got)]))
+            return _rows(_TOKENS.names, [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()], [row]).to_batches()
 
         for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                texts = [words(t) for t in utf8(part.column(0))]
-                if not texts:
-                    continue
-                keys = np.array([k for ws in texts for k in (*map(cache.__getitem__, ws), END_KEY)], np.uint64)
-                place = _places(texts)
-                skip, pair, triple = feature_keys(keys, place)
-                # a text's last word has its end as skip too, so that a word has as many skips as tokens
-                ends = np.flatnonzero((keys == END_KEY) & (place >= 1))
-                held += [skip[place >= 2], pair, triple[place >= 1], _mixed(1, keys[ends - 1], keys[ends])]
-                size += 3 * len(keys)
-                if size > HELD:
-                    yield from flush()
-                    size = 0
-        if held:
+            for part in slices(batch, 1, SLICE):
+                for doc_id, text, out in zip(part.column(0).to_pylist(), utf8(part.column(1)), part.column(2).to_pylist()):
+                    ws = words(text)
+                    try:
+                        found = [number[w] for w in ws]
+                    except KeyError:
+                        for w in ws:
+                            if w not in number:
+                                number[w] = len(number) + 1
+                        found = [number[w] for w in ws]
+                    found.append(0)
+                    got.append(np.array(found, np.uint32))
+                    ids.append(doc_id)
+                    held.append(out)
+                    lens.append(len(found))
+                    size += len(text)
+                    if size > SHARD_BYTES:
+                        yield from flush()
+                        number.clear()
+                        ids, held, lens, got, size, made = [], [], [], [], 0, made + 1
+        if ids:
             yield from flush()
 
-    def total(t: pa.Table) -> pa.Table:
-        key = np.concatenate([unpack(x, np.uint32, True) for x in t.column("fkey").to_pylist()])
-        n = np.concatenate([unpack(x, np.int64) for x in t.column("fn").to_pylist()])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, n = key[cut], np.add.reduceat(n, cut)
-        kind = key & np.uint32(3)
-        few = n < OFTEN
-        times = np.bincount(kind[few] * OFTEN + n[few], minlength=4 * OFTEN).tolist()
-        row = (t.column("bucket")[0].as_py(), pack(key, True), pack(n), times, _bins(n[kind == 2]).tolist())
-        return _rows(["bucket", "fkey", "fn", "ftimes", "fbins"], [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], [row])
+    return docs.select("id", "text", "held").mapInArrow(run, _TOKENS)
 
-    kinds = "bucket int, fkey binary, fn binary"
-    return docs.select("text").mapInArrow(count, kinds).groupBy("bucket").applyInArrow(total, f"{kinds}, ftimes array<long>, fbins array<long>")
 
+_TOKENS = T.StructType([
+    T.StructField("shard", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("lens", T.ArrayType(T.IntegerType())),
+    T.StructField("keys", T.BinaryType()), T.StructField("tails", T.BinaryType()), T.StructField("tokens", T.BinaryType()),
+])
 
-def spreads(totals: DataFrame, features: DataFrame) -> tuple[float, float, float]:
-    """Of skip, pair and triple. Histories of the first two are words (or starts, as many as ends), of the last pairs."""
 
-    def summed(table, column, n):
-        got = {r["i"]: r["x"] for r in table.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()}
-        return np.array([got.get(i, 0) for i in range(n)], np.int64)
+class Shard:
+    """A row of tokens()."""
 
-    by_word, by_pair, times = summed(totals, "bins", BINS), summed(features, "fbins", BINS), summed(features, "ftimes", 4 * OFTEN).reshape(4, OFTEN)
-    return fit_spread(by_word, times[1]), fit_spread(by_word, times[2]), fit_spread(by_pair, times[3])
+    def __init__(self, row: dict):
+        self.number, self.ids, self.held = row["shard"], row["ids"], row["held"]
+        self.lens = np.array(row["lens"], np.int64)
+        self.keys, self.tails = unpack(row["keys"], np.uint64, True), np.frombuffer(row["tails"], np.uint8)
+        self.tokens = unpack(row["tokens"], np.uint32)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.place = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lens)
+        self.training = ~np.repeat(np.array(self.held, bool), self.lens)
 
+    def words(self, buckets: int):
+        """Bucket by bucket: the lines of its words."""
+        bucket = _bucket(self.keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        return [(b, order[s]) for b, s in _runs(bucket[order])]
 
-def word_totals(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket of word hashes: sorted keys, their counts and tail classes, and sums. `docs`: (text) of training rows."""
+    def hashes(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of skips, pairs and triples of all tokens, then of the end as skip of each text's last word: place (see _placed), and whether it counts.
 
-    def count(batches):
-        held: Counter = Counter()
-        n_docs = 0
+        With those ends a word has as many skips as tokens. The first tokens' skips, and the
+        first's triple, never count.
+        """
+        keys = self.keys[self.tokens]
+        skip, pair, triple = feature_keys(keys, self.place)
+        ends = self.starts + self.lens - 1
+        ends = ends[self.lens > 1]
+        counts = [self.training & (self.place >= 2), self.training, self.training & (self.place >= 1), self.training[ends]]
+        return _placed(np.concatenate([skip, pair, triple, _mixed(1, keys[ends - 1], keys[ends])]), buckets), np.concatenate(counts)
 
-        def flush():
-            keys = np.array([word_key(w) for w in held] + [END_KEY] * (n_docs > 0), np.uint64)
-            tails = np.array([tail_class(w) for w in held] + [0] * (n_docs > 0), np.uint8)
-            counts = np.array([*held.values()] + [n_docs] * (n_docs > 0), np.int64)
-            order = np.argsort(_bucket(keys, buckets), kind="stable")
-            keys, tails, counts = keys[order], tails[order], counts[order]
-            rows = [(b, keys[s].tobytes(), tails[s].tobytes(), counts[s].tobytes()) for b, s in _runs(_bucket(keys, buckets))]
-            return _rows(["bucket", "key", "tail", "n"], [pa.int32()] + [pa.binary()] * 3, rows).to_batches()
 
-        for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                for text in utf8(part.column(0)):
-                    held.update(words(text))
-                    n_docs += 1
-                if len(held) > 500_000:
-                    yield from flush()
-                    held.clear()
-                    n_docs = 0
-        if n_docs:
-            yield from flush()
+def _shards(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield Shard(batch.slice(i, 1).to_pylist()[0])
+
+
+def _shrunk(n: np.ndarray) -> bytes:
+    """Counts, in the least width that holds them; the first byte tells which."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(n) or int(n.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + pack(n.astype(kind))
+
+
+def _grown(blob: bytes) -> np.ndarray:
+    return unpack(blob[1:], {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[blob[0]]).astype(np.int64)
+
+
+def word_totals(tokens: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket of word hashes: a row for each shard, with the training counts of its words there, and one (null shard) with sums."""
+
+    def count(batches):
+        for shard in _shards(batches):
+            n = np.bincount(shard.tokens[shard.training], minlength=len(shard.keys))
+            rows = [(b, shard.number, pack(shard.keys[at], True), shard.tails[at].tobytes(), _shrunk(n[at])) for b, at in shard.words(buckets)]
+            yield from _rows(["bucket", "shard", "key", "tail", "n"], [pa.int32(), pa.int64()] + [pa.binary()] * 3, rows).to_batches()
 
     def total(t: pa.Table) -> pa.Table:
-        key, at, where = np.unique(_cat(t.column("key"), np.uint64), return_index=True, return_inverse=True)
-        n = np.zeros(len(key), np.int64)
-        np.add.at(n, where, _cat(t.column("n"), np.int64))
+        shards = t.column("shard").to_pylist()
+        asked = [unpack(x, np.uint64, True) for x in t.column("key").to_pylist()]
+        key, at, where = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        n = np.bincount(where, np.concatenate([_grown(x) for x in t.column("n").to_pylist()]), len(key)).astype(np.int64)  # exact up to 2^53
         tail = _cat(t.column("tail"), np.uint8)[at]
-        mass = np.zeros(TAILS, np.int64)
         word = key != END_KEY
-        np.add.at(mass, tail[word], n[word])
+        mass = np.bincount(tail[word], n[word], TAILS).astype(np.int64)
         best = np.lexsort((key[word], -n[word]))[:TOP]
-        top = [{"key": int(k) - (1 << 63), "n": int(c), "tail": int(z)} for k, c, z in zip(key[word][best], n[word][best], tail[word][best])]
-        row = (t.column("bucket")[0].as_py(), key.tobytes(), n.tobytes(), int(n.sum()), len(key), int((n == 1).sum()), mass.tolist(), top, _bins(n).tolist())
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("tail", pa.int32())])), pa.list_(pa.int64())]
-        return _rows(["bucket", "key", "n", "tokens", "known", "once", "mass", "top", "bins"], kinds, [row])
+        top = [{"key": int(k) - (1 << 63), "n": int(c), "tail": int(z)} for k, c, z in zip(key[word][best], n[word][best], tail[word][best]) if c]
+        cut = np.cumsum([0, *map(len, asked)])
+        bucket = t.column("bucket")[0].as_py()
+        rows = [(bucket, s, _shrunk(n[where[a:z]]), None, None, None, None, None, None) for s, a, z in zip(shards, cut, cut[1:])]
+        rows.append((bucket, None, None, int(n.sum()), int((n > 0).sum()), int((n == 1).sum()), mass.tolist(), top, _bins(n[n > 0]).tolist()))
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int64()), ("tail", pa.int32())])), pa.list_(pa.int64())]
+        return _rows(["bucket", "shard", "n", "tokens", "known", "once", "mass", "top", "bins"], kinds, rows)
 
-    packed = docs.select("text").mapInArrow(count, "bucket int, key binary, tail binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(total, "bucket int, key binary, n binary, tokens long, known long, once long, mass array<long>, top array<struct<key:long,n:long,tail:int>>, bins array<long>")
+    packed = tokens.mapInArrow(count, "bucket int, shard long, key binary, tail binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(total, "bucket int, shard long, n binary, tokens long, known long, once long, mass array<long>, top array<struct<key:long,n:long,tail:int>>, bins array<long>")
 
 
-class Classes:
-    """Class numbers of words, by a cache."""
+def feature_totals(tokens: DataFrame, buckets: int) -> DataFrame:
+    """Per bucket of hashes of skips, pairs and triples: a row for each shard, with the training counts of its hashes there in rising order, and one (null shard) with sums."""
 
-    MOST = 500_000
+    def count(batches):
+        for shard in _shards(batches):
+            at, counts = shard.hashes(buckets)
+            both = (at << np.uint64(1)) | counts
+            both.sort()
+            at = both >> np.uint64(1)
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            n = np.add.reduceat((both & np.uint64(1)).astype(np.int64), cut)
+            at = at[cut]
+            rows = [(b, shard.number, pack(at[s].astype(np.uint32), True), _shrunk(n[s])) for b, s in _runs((at >> np.uint64(32)).astype(np.int64))]
+            yield from _rows(["bucket", "shard", "fkey", "fn"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], rows).to_batches()
 
-    def __init__(self, top: dict[int, int]):
-        self.top, self.cache = top, {}
+    def total(t: pa.Table) -> pa.Table:
+        asked = [unpack(x, np.uint32, True) for x in t.column("fkey").to_pylist()]
+        sizes = [len(x) for x in asked]
+        key = np.concatenate(asked)
+        del asked
+        n = np.concatenate([_grown(x) for x in t.column("fn").to_pylist()])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums, kind = np.add.reduceat(n, cut), key[cut] & np.uint32(3)
+        times = np.bincount(kind[sums < OFTEN] * OFTEN + sums[sums < OFTEN], minlength=4 * OFTEN).tolist()
+        n[order] = np.repeat(sums, np.diff(np.append(cut, len(key))))  # back in the order asked
+        ends = np.cumsum([0, *sizes])
+        bucket = t.column("bucket")[0].as_py()
+        rows = [(bucket, s, _shrunk(n[a:z]), None, None) for s, a, z in zip(t.column("shard").to_pylist(), ends, ends[1:])]
+        rows.append((bucket, None, None, times, _bins(sums[(kind == 2) & (sums > 0)]).tolist()))
+        return _rows(["bucket", "shard", "fn", "ftimes", "fbins"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], rows)
 
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.array([cache[w] for w in ws], np.int64)
-        except KeyError:
-            if len(cache) > self.MOST:
-                cache.clear()
-            for w in ws:
-                if w not in cache:
-                    cache[w] = self.top.get(word_key(w)) or 1 + TOP + tail_class(w)
-            return np.array([cache[w] for w in ws], np.int64)
+    asked = tokens.mapInArrow(count, "bucket int, shard long, fkey binary, fn binary")
+    return asked.groupBy("bucket").applyInArrow(total, "bucket int, shard long, fn binary, ftimes array<long>, fbins array<long>")
 
 
-def _histories(c: np.ndarray) -> np.ndarray:
-    """Of each token of one text (its end included): the number of the history (class before last, last)."""
-    padded = np.concatenate([[START, START], c])
-    return padded[:-2] * (CLASSES + 1) + padded[1:-1]
+def spreads(totals: DataFrame, features: DataFrame) -> tuple[float, float, float]:
+    """Of skip, pair and triple. Histories of the first two are words (or starts, as many as ends), of the last pairs."""
 
+    def summed(table, column, n):
+        got = {r["i"]: r["x"] for r in table.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()}
+        return np.array([got.get(i, 0) for i in range(n)], np.int64)
 
-def class_counts(docs: DataFrame, top: dict[int, int]) -> DataFrame:
-    """(group, counts): class counts by history of all rows of (text), a group per class before last."""
-    shared = docs.sparkSession.sparkContext.broadcast(top)
+    by_word, by_pair, times = summed(totals, "bins", BINS), summed(features, "fbins", BINS), summed(features, "ftimes", 4 * OFTEN).reshape(4, OFTEN)
+    return fit_spread(by_word, times[1]), fit_spread(by_word, times[2]), fit_spread(by_pair, times[3])
+
+
+def classes_of(keys: np.ndarray, tails: np.ndarray, top: dict[int, int]) -> np.ndarray:
+    """Class numbers of words; `top` has those of the most frequent, by hash."""
+    out = 1 + TOP + tails.astype(np.int64)
+    if top:
+        best = np.array(sorted(top), np.uint64)
+        at = np.minimum(np.searchsorted(best, keys), len(best) - 1)
+        out = np.where(best[at] == keys, np.array([top[int(k)] for k in best])[at], out)
+    return np.where(keys == END_KEY, 0, out)
+
+
+def _history(cls: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each token: the number of the history (class before last, last)."""
+    return np.where(place >= 2, np.roll(cls, 2), START) * (CLASSES + 1) + np.where(place >= 1, np.roll(cls, 1), START)
+
+
+def class_counts(tokens: DataFrame, top: dict[int, int]) -> DataFrame:
+    """(group, counts): class counts by history of all training rows, a group per class before last."""
+    shared = tokens.sparkSession.sparkContext.broadcast(top)  # TOP numbers
     size = (CLASSES + 1) ** 2 * CLASSES
     each = (CLASSES + 1) * CLASSES
 
     def count(batches):
-        classes, held = Classes(shared.value), np.zeros(size, np.int64)
-        for batch in batches:
-            for part in slices(batch, 0, SLICE):
-                got = []
-                for text in utf8(part.column(0)):
-                    c = np.append(classes.of(words(text)), 0)
-                    got.append(_histories(c) * CLASSES + c)
-                if got:
-                    held += np.bincount(np.concatenate(got), minlength=size)
+        held = np.zeros(size, np.int64)
+        for shard in _shards(batches):
+            cls = classes_of(shard.keys, shard.tails, shared.value)[shard.tokens]
+            held += np.bincount((_history(cls, shard.place) * CLASSES + cls)[shard.training], minlength=size)
         at = np.flatnonzero(held)
         rows = [(g, (at[s] - g * each).astype(np.int32).tobytes(), held[at[s]].tobytes()) for g, s in _runs(at // each)]
         yield from _rows(["group", "at", "n"], [pa.int32(), pa.binary(), pa.binary()], rows).to_batches()
@@ -373,7 +423,7 @@ def class_counts(docs: DataFrame, top: dict[int, int]) -> DataFrame:
             out[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
         return _rows(["group", "counts"], [pa.int32(), pa.binary()], [(t.column("group")[0].as_py(), out.tobytes())])
 
-    return docs.select("text").mapInArrow(count, "group int, at binary, n binary").groupBy("group").applyInArrow(total, "group int, counts binary")
+    return tokens.mapInArrow(count, "group int, at binary, n binary").groupBy("group").applyInArrow(total, "group int, counts binary")
 
 
 def fit(counts: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
@@ -382,7 +432,8 @@ def fit(counts: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
     weights = np.zeros((ROWS, CLASSES), np.float32)
     weights[0] = np.log(np.maximum(prior, 1e-12))
     squares = np.full_like(weights, 1e-8)
-    dealt = checkpointed(counts).coalesce(PARTS)
+    table = checkpointed(counts)
+    dealt = table.coalesce(PARTS)
     for _ in range(steps):
         shared = sc.broadcast(weights)
 
@@ -411,11 +462,12 @@ def fit(counts: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray:
         squares += (grad * grad).astype(np.float32)
         weights = (weights + 0.4 * grad / np.sqrt(squares)).astype(np.float32)
         shared.unpersist()
+    release(table)
     return weights
 
 
-def train(docs: DataFrame, totals: DataFrame, steps: int = STEPS) -> Model:
-    """`docs`: (text) of training rows; `totals`: their word_totals, in a table."""
+def train(tokens: DataFrame, totals: DataFrame, steps: int = STEPS) -> Model:
+    """`totals`: the word_totals of `tokens`, in a table."""
     sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "known", "once")]).first()
     best = totals.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "key").limit(TOP).collect()
     tails = {r["i"]: r["m"] for r in totals.select(F.posexplode("mass").alias("i", "m")).groupBy("i").agg(F.sum("m").alias("m")).collect()}
@@ -427,7 +479,7 @@ def train(docs: DataFrame, totals: DataFrame, steps: int = STEPS) -> Model:
         mass[1 + TOP + i] = tails.get(i, 0) - sum(r["n"] for r in best if r["tail"] == i)
     mass[0] = sums["tokens"] - mass.sum()
     share = (mass + 0.5) / (mass.sum() + 0.5 * CLASSES)
-    weights = fit(class_counts(docs, top), share, steps) if sums["tokens"] else np.zeros((ROWS, CLASSES), np.float32)
+    weights = fit(class_counts(tokens, top), share, steps) if sums["tokens"] else np.zeros((ROWS, CLASSES), np.float32)
     unseen = (sums["once"] + 1) / (sums["tokens"] + 2)
     return Model(sums["tokens"], sums["known"], unseen, top, mass, weights)
 
@@ -438,10 +490,6 @@ def stacked(p: np.ndarray, n: np.ndarray, of_history: np.ndarray, factor: float)
     return np.where(of_history > 0, (np.minimum(n, of_history) + spread * p) / (of_history + spread), p)
 
 
-def _places(texts: list[list[bytes]]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.arange(len(ws) + 1) for ws in texts)])
-
-
 RESULT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
     T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
@@ -460,85 +508,39 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     bound_batches(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held"))
-    size = text_bytes(base, "text")
-    shards, buckets = shards_for(size, SHARD_BYTES, 4), shards_for(size, BUCKET_BYTES, 4)
-    training = base.where(~F.col("held"))
-    totals = checkpointed(word_totals(training, buckets))
-    features = checkpointed(feature_totals(training, buckets))
+    buckets = shards_for(text_bytes(base, "text"), BUCKET_BYTES, 4)
+    table = checkpointed(tokens(base))
+    totals = checkpointed(word_totals(table, buckets))
+    features = checkpointed(feature_totals(table, buckets))
     spread = spreads(totals, features)
-    model = spark.sparkContext.broadcast(train(training, totals, steps))
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id", F.length("text")), F.lit(shards)).cast("int")).select("shard", "id", "text", "held").groupBy("shard")
-
-    def ask(t: pa.Table) -> pa.Table:
-        texts = [words(text) for batch in t.to_batches() for text in utf8(batch.column(2))]
-        of = {w: word_key(w) for w in {w for ws in texts for w in ws}}
-        keys = np.unique(np.array([*of.values(), END_KEY], np.uint64))
-        keys = keys[np.argsort(_bucket(keys, buckets), kind="stable")]
-        found = np.sort(asked_features(np.array([k for ws in texts for k in (*map(of.__getitem__, ws), END_KEY)], np.uint64), _places(texts)))
-        found = found[np.concatenate([[True], found[1:] != found[:-1]])]  # np.unique is slower without an inverse
-        shard = t.column("shard")[0].as_py()
-        rows = [(b, shard, keys[s].tobytes(), None) for b, s in _runs(_bucket(keys, buckets))]
-        rows += [(b, shard, None, pack(found[s].astype(np.uint32), True)) for b, s in _runs((found >> np.uint64(32)).astype(np.int64))]
-        return _rows(["bucket", "shard", "key", "fkey"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()], rows)
-
-    def asked_features(keys: np.ndarray, place: np.ndarray) -> np.ndarray:
-        return _placed(np.concatenate(feature_keys(keys, place)), buckets)
-
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, n = _cat(right.column("key"), np.uint64), _cat(right.column("n"), np.int64)
-        blobs = [(x, y) for x, y in zip(right.column("fkey").to_pylist(), right.column("fn").to_pylist()) if x]
-        fkey, fn = (unpack(blobs[0][0], np.uint32, True), unpack(blobs[0][1], np.int64)) if blobs else (np.zeros(1, np.uint32), np.zeros(1, np.int64))
-        rows = []
-        for bucket, shard, blob, fblob in zip(*(left.column(c).to_pylist() for c in ("bucket", "shard", "key", "fkey"))):
-            if fblob:  # a count for each hash in the order asked, 0 where there is none
-                asked = unpack(fblob, np.uint32, True)
-                at = np.minimum(np.searchsorted(fkey, asked), len(fkey) - 1)
-                rows.append((shard, None, None, bucket, pack(np.where(fkey[at] == asked, fn[at], 0))))
-            elif len(key):
-                asked = np.frombuffer(blob, np.uint64)
-                at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
-                hit = key[at] == asked
-                rows.append((shard, asked[hit].tobytes(), n[at[hit]].tobytes(), bucket, None))
-        return _rows(["shard", "key", "n", "bucket", "fn"], [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()], rows)
+    model = spark.sparkContext.broadcast(train(table, totals, steps))  # of a fixed size
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = model.value
-        key, n = _cat(right.column("key"), np.uint64), _cat(right.column("n"), np.int64)
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        table = class_log_probs(m.weights, _feature_rows()) / np.log(10)
-        number: dict[bytes, int] = {}
-        docs_, out = [], []
-        for batch in left.to_batches():
-            for doc_id, text, out_ in zip(batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
-                docs_.append((doc_id, out_, np.array([number.setdefault(w, len(number)) for w in words(text)] + [-1], np.int64)))
-        ws = [*number]
-        keys = np.array([word_key(w) for w in ws] + [END_KEY], np.uint64)  # the end is the last, at -1
-        at = np.minimum(np.searchsorted(key, keys), max(0, len(key) - 1))
-        c = np.where(key[at] == keys, n[at], 0) if len(key) else np.zeros(len(keys), np.int64)
-        classes = np.append(Classes(m.top).of(ws), 0)
-        base_term = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.known + 1)))
-        seen = c > 0
-        own = np.where(seen, np.log10(np.maximum(c, 1) / np.maximum(m.mass[classes], 1)) + np.log10(1 - m.unseen), np.log10(m.unseen))
-        all_w = np.concatenate([w for _, _, w in docs_]) if docs_ else np.zeros(0, np.int64)
-        place = np.concatenate([np.arange(len(w)) for _, _, w in docs_]) if docs_ else all_w
-        _, where = np.unique(asked_features(keys[all_w], place), return_inverse=True)
-        told = sorted((b, x) for b, x in zip(right.column("bucket").to_pylist(), right.column("fn").to_pylist()) if x)
-        skip, pair, triple = np.concatenate([np.zeros(0, np.int64), *(unpack(x, np.int64) for _, x in told)])[where].reshape(3, -1)
-        before = c[np.where(place >= 1, np.roll(all_w, 1), -1)]
-        levels = ((skip, np.where(place >= 2, c[np.roll(all_w, 2)], 0)), (pair, before), (triple, np.where(place >= 1, np.roll(pair, 1), 0)))
-        cls = classes[all_w]
-        history = np.where(place >= 2, np.roll(cls, 2), START) * (CLASSES + 1) + np.where(place >= 1, np.roll(cls, 1), START)
-        p = 10.0 ** (own[all_w] + np.where(seen[all_w], table[history, cls], 0))
-        for (got, of_history), factor in zip(levels, spread):
-            p = stacked(p, got, of_history, factor)
-        starts = np.flatnonzero(place == 0)
-        sums = zip(*(np.add.reduceat(x, starts).tolist() if len(starts) else [] for x in (seen[all_w].astype(np.int64), base_term[all_w], np.log10(p))))
-        for (doc_id, out_, w), (n_seen, of_base, of_model) in zip(docs_, sums):
-            out.append((doc_id, out_, len(w), n_seen, m.tokens, of_base, of_model))
+        m, out = model.value, []
+        for shard in _shards(left.to_batches()):
+            told = sorted(zip(right.column("bucket").to_pylist(), right.column("n").to_pylist(), right.column("fn").to_pylist()), key=lambda r: r[0])
+            c = np.zeros(len(shard.keys), np.int64)
+            for (_, at), n in zip(shard.words(buckets), (n for _, n, _ in told if n)):
+                c[at] = _grown(n)
+            counts = np.concatenate([_grown(x) for _, _, x in told if x])
+            tok, place = shard.tokens, shard.place
+            at, _ = shard.hashes(buckets)
+            asked = np.sort(at)
+            asked = asked[np.concatenate([[True], asked[1:] != asked[:-1]])]
+            skip, pair, triple = counts[np.searchsorted(asked, at[: 3 * len(tok)])].reshape(3, -1)
+            classes = classes_of(shard.keys, shard.tails, m.top)
+            base_term = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.known + 1)))
+            seen = c > 0
+            own = np.where(seen, np.log10(np.maximum(c, 1) / np.maximum(m.mass[classes], 1)) + np.log10(1 - m.unseen), np.log10(m.unseen))
+            of_token, cls = c[tok], classes[tok]
+            levels = ((skip, np.where(place >= 2, np.roll(of_token, 2), 0)), (pair, np.where(place >= 1, np.roll(of_token, 1), c[0])), (triple, np.where(place >= 1, np.roll(pair, 1), 0)))
+            log_class = class_log_probs(m.weights, _feature_rows()) / np.log(10)
+            p = 10.0 ** (own[tok] + np.where(seen[tok], log_class[_history(cls, place), cls], 0))
+            for (got, of_history), factor in zip(levels, spread):
+                p = stacked(p, got, of_history, factor)
+            sums = zip(*(np.add.reduceat(x, shard.starts).tolist() for x in (seen[tok].astype(np.int64), base_term[tok], np.log10(p))))
+            out += [(doc_id, out_, n, n_seen, m.tokens, of_base, of_model) for doc_id, out_, n, (n_seen, of_base, of_model) in zip(shard.ids, shard.held, shard.lens.tolist(), sums)]
         return _rows(RESULT.names, [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], out)
 
-    asked = dealt.applyInArrow(ask, "bucket int, shard int, key binary, fkey binary")
-    known = totals.select("bucket", "key", "n").unionByName(features.select("bucket", "fkey", "fn"), allowMissingColumns=True)
-    told = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "shard int, key binary, n binary, bucket int, fn binary")
-    return dealt.cogroup(told.groupBy("shard")).applyInArrow(judge, RESULT)
+    told = totals.select("shard", "bucket", "n").unionByName(features.select("shard", "bucket", "fn"), allowMissingColumns=True).where("shard is not null")
+    return table.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(judge, RESULT)
