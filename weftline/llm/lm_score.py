@@ -46,7 +46,7 @@ ROWS = 1 << 13
 STEPS = 30
 PRIOR = 2.0  # inverse variance of the weights
 PARTS = 6  # tasks of a gradient step: the class counts have a fixed size
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 BUCKET_BYTES = 8 << 20
 SLICE = 1 << 20
 END_KEY = 0
@@ -525,9 +525,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
             counts = np.concatenate([_grown(x) for _, _, x in told if x])
             tok, place = shard.tokens, shard.place
             at, _ = shard.hashes(buckets)
-            asked = np.sort(at)
-            asked = asked[np.concatenate([[True], asked[1:] != asked[:-1]])]
-            skip, pair, triple = counts[np.searchsorted(asked, at[: 3 * len(tok)])].reshape(3, -1)
+            order = np.argsort(at)
+            rising = at[order]
+            of_hash = np.empty(len(at), np.int64)
+            of_hash[order] = counts[np.cumsum(np.concatenate([[0], rising[1:] != rising[:-1]]))]
+            del order, rising, at
+            skip, pair, triple = of_hash[: 3 * len(tok)].reshape(3, -1)
             classes = classes_of(shard.keys, shard.tails, m.top)
             base_term = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.known + 1)))
             seen = c > 0
