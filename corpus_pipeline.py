@@ -25,7 +25,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates one row stays: that with the smallest id. Texts without words stay."""
     return jaccard_join.representatives(docs).select(*docs.columns)
 
 
@@ -37,13 +37,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that few owners hold are masked in the text, length for length; all documents stay."""
+    """Live-looking secrets that few owners hold are masked in the text, length for length; all documents stay."""
     return secret_scan.mask(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in its training sequence, with its ids."""
-    return packing.pack(docs, tokenizer_path(spark))
+    return packing.pack(docs, tokenizer_path(spark), with_ids=True)
 
 
 STAGES = [
