@@ -137,3 +137,21 @@ def release(*tables: DataFrame) -> None:
         spark = made.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(made._weftline_table)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A class is large if it holds more than one in so many of all rows, so fewer than so many classes are.
+LARGE_SHARE = 1000
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """`rows` left-joined with `classes` (keys, count, ...) on keys, though a few classes may hold most rows.
+
+    Classes with more than a LARGE_SHARE-th of all rows, of which there are fewer than
+    LARGE_SHARE, are broadcast; no other can fill a task.
+    """
+    large = F.col(count) * LARGE_SHARE > F.lit(rows.count())
+    told = [c for c in classes.columns if c not in keys and c != count]
+    few, most = (classes.where(x).select(*keys, F.struct(*told).alias("_of")) for x in (large, ~large))
+    marked = rows.join(F.broadcast(few), keys, "left")  # fewer than LARGE_SHARE rows
+    rest = marked.where("_of is null").drop("_of").join(most, keys, "left")
+    return marked.where("_of is not null").unionByName(rest).select(*rows.columns, *[F.col(f"_of.{c}").alias(c) for c in told])

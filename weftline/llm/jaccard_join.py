@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checkpointed, shards_for, slices, text_bytes, utf8
+from .common import bound_batches, checkpointed, fresh, release, shards_for, slices, text_bytes, utf8, with_class
 from .components import components
 
 NUM, DEN = 80, 100
@@ -181,7 +181,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 
 def shared_groups(docs: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(members): distinct groups of ids, two or more, whose (different) sets share a signature that counts.
+    """(g, n_g, id): distinct groups of ids, two or more, whose (different) sets share a signature that counts; a row per member.
 
     Prefix filter: where a set must share m signatures with any set like it, the
     m - 1 last of its signatures in an order common to all sets (rarest first) can
@@ -263,8 +263,13 @@ def shared_groups(docs: DataFrame, buckets: int, num: int, den: int) -> DataFram
     own = Window.partitionBy("id", "step")
     ranked = met.withColumn("m", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "sig")))
     kept = ranked.where(F.col("rank") <= F.col("m") - F.col("need") + 1)
-    groups = kept.groupBy("sig").agg(F.array_sort(F.collect_set("id")).alias("members")).where(F.size("members") > 1)
-    return groups.select("members").distinct()
+    table = checkpointed(kept.select("sig", "id"))
+    # groups with the same members: told by their number, ends and the sum of their hashes, never as lists
+    told = table.groupBy("sig").agg(F.count(F.lit(1)).alias("n_g"), F.min("id").alias("a"), F.max("id").alias("z"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+    once = told.where("n_g > 1").groupBy("n_g", "a", "z", "h").agg(F.min("sig").alias("sig")).select("sig", "n_g")
+    members = checkpointed(table.join(once, "sig").select(F.col("sig").alias("g"), F.col("n_g").cast("int").alias("n_g"), "id"))
+    release(table)
+    return members
 
 
 def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -355,8 +360,10 @@ def paired(members: DataFrame, known: DataFrame, texts: DataFrame, num: int, den
         right,
         (left["g"] == right["g"]) & (F.col("label_x") != F.col("label_y")) & (den * F.least("n_x", "n_y") >= num * F.greatest("n_x", "n_y")) & ((num + den) * F.least("c_x", "c_y") >= num * total),
     )
-    pairs = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    return verified(checkpointed(pairs), texts, num, den)
+    pairs = checkpointed(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(known, ["a", "b"], "left_anti"))
+    found = checkpointed(verified(pairs, texts, num, den))
+    release(pairs)
+    return found
 
 
 def tiled(members: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
@@ -418,12 +425,40 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = shards_for(text_bytes(base, "text"), BUCKET_BYTES, 4)
     sizes = checkpointed(set_sizes(base))
-    groups = checkpointed(shared_groups(base, buckets, num, den))
-    wanted = groups.select(F.explode("members").alias("id")).distinct()
+    digest = F.struct("d1", "d2")
+    several = sizes.where("id is not null").groupBy("id").agg(F.min(digest).alias("a"), F.max(digest).alias("z")).where("a <> z")
+    if several.limit(1).count():
+        found = _of_ids_with_several_texts(base, num, den)
+        release(sizes)
+    else:
+        found = _components(base, sizes, num, den)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _of_ids_with_several_texts(base: DataFrame, num: int, den: int) -> DataFrame:
+    """As _components(), where rows of one id have different sets: their texts are nodes of their own first, and are tied by their id then."""
+    node = F.when(F.col("id").isNotNull(), F.xxhash64("id", "text"))
+    rows = checkpointed(base.select(node.alias("node"), "id", "text"))
+    nodes = rows.select(F.col("node").alias("id"), "text")
+    found = checkpointed(_components(nodes, checkpointed(set_sizes(nodes)), num, den).where("id is not null").groupBy("id").agg(F.max("component").alias("root")))
+    of = rows.where("node is not null").select("node", "id").distinct().join(found.withColumnRenamed("id", "node"), "node")
+    of = checkpointed(of.groupBy("id", "root").agg(F.min("node").alias("node")))
+    ties = of.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("id", "a").join(of.select("id", F.col("root").alias("b")), "id").select("a", "b")
+    tops = components(ties).select(F.col("id").alias("root"), F.col("component").alias("top"))
+    grouped = of.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("top"))
+    least = grouped.groupBy("top").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n_rows"))
+    by_id = with_class(grouped, least, ["top"], "n_rows").groupBy("id").agg(F.min("component").alias("component"))
+    sized = set_sizes(rows.select("id", "text")).select("id", "n")
+    return sized.join(by_id, "id", "left").select("id", "n", "component")
+
+
+def _components(base: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n, component) per row of (id, text); `sizes`: its set_sizes, in a table. Rows of one id have equal sets."""
+    buckets = shards_for(text_bytes(base, "text"), BUCKET_BYTES, 4)
+    at = shared_groups(base, buckets, num, den)
+    wanted = at.select("id").distinct()
     texts = checkpointed(base.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    at = checkpointed(groups.select(F.xxhash64("members").alias("g"), F.size("members").alias("n_g"), F.explode("members").alias("id")))
     # first round: each set with the best-connected member of its groups, where a group of copies meets its original
     score = at.groupBy("id").agg(F.sum(F.col("n_g") - 1).alias("score"))
     rated = at.join(score, "id").withColumn("rate", F.struct("score", (-F.col("id")).alias("minus")))
@@ -443,25 +478,35 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     open_ = open_.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
     counts = open_.groupBy("g").agg(F.count(F.lit(1)).alias("n_all"), F.sum("n").alias("e_all"), F.sum("out").alias("n_out"), F.sum(F.col("out") * F.col("n")).alias("e_out"))
     open_ = checkpointed(open_.join(counts.where("n_out > 0 and n_all > 1"), "g"))
-    more = checkpointed(paired(open_.where(F.col("n_out") <= FEW), first, texts, num, den)).unionByName(checkpointed(tiled(open_.where(F.col("n_out") > FEW), texts, num, den)))
+    more = paired(open_.where(F.col("n_out") <= FEW), first, texts, num, den).unionByName(checkpointed(tiled(open_.where(F.col("n_out") > FEW), texts, num, den)))
+    release(at, texts, first, mixed, open_)
     # equal sets, whatever their texts: each with the least id of its digest
-    classes = sizes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"))
-    member = sizes.join(classes, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("least"))
-    linked = links.unionByName(more)
-    of = member.where("n > 0").select("id", "least").distinct()
-    by_class = linked.join(of.select(F.col("id").alias("a"), F.col("least").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("least").alias("q")), "b")
-    # an id on several rows ties their classes together
-    tied = of.where("id <> least").groupBy("id").agg(F.min("least").alias("p"), F.max("least").alias("q")).where("p <> q").select("p", "q")
-    twins = of.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(of, "id").select(F.col("id").alias("p"), F.col("least").alias("q"))
-    roots = components(by_class.select("p", "q").unionByName(tied).unionByName(twins).select(F.col("p").alias("a"), F.col("q").alias("b")))
-    found = member.join(roots.withColumnRenamed("id", "least"), "least", "left")
-    out = found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "least")).alias("component_id"))
-    return out
+    classes = sizes.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    member = checkpointed(with_class(sizes, classes, ["d1", "d2"], "n_rows").select("id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("least")))
+    release(sizes)
+    of = member.where("n > 0 and id is not null").select("id", "least").distinct()
+    by_class = links.unionByName(more).join(of.select(F.col("id").alias("a"), F.col("least").alias("p")), "a").join(of.select(F.col("id").alias("b"), F.col("least").alias("q")), "b")
+    roots = components(by_class.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    sizes_of = member.groupBy("least").agg(F.count(F.lit(1)).alias("n_rows")).join(roots.withColumnRenamed("id", "least"), "least")
+    found = with_class(member, sizes_of, ["least"], "n_rows")
+    return found.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "least")).alias("component"))
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of `docs` for each component (that with the smallest id); rows with null ids stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = similar_components(docs, **options)
-    heads = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(heads, id_col, "left_anti")
+    """One row of `docs` for each group of rows that links connect: that with the smallest id, the first as it lies of several.
+
+    Rows with null ids, and texts without words, are like nothing and stay; repeated ids
+    say nothing about their texts, so a text goes only where a like one stays.
+    """
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.limit(1).count():
+        found = similar_components(docs, id_col=id_col, text_col=text_col, **options)
+        return docs.join(found.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col, "left_anti").select(*docs.columns)
+    row = fresh(docs, "row")
+    table = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))  # the numbers hold from here on
+    found = similar_components(table.where(F.col(id_col).isNotNull()), id_col=row, text_col=text_col, **options)
+    placed = found.join(table.select(row, F.col(id_col).alias("_id")), row)
+    heads = placed.groupBy("component_id").agg(F.min(F.struct("_id", row)).alias("head")).select(F.col(f"head.{row}").alias(row))
+    gone = found.select(row).join(heads, row, "left_anti")
+    return table.join(gone, row, "left_anti").select(*docs.columns)
