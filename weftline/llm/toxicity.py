@@ -1,15 +1,18 @@
 """Toxicity: a counterfactually regularised linear classifier.
 
 Features of a text are its distinct lower-case words and their first characters.
-Training minimises logistic loss, plus a penalty on how far the score moves when
-an identity term of a labelled text is swapped for another term of its group, so
-that neutral mentions of a group don't count as toxic. Labels are a bounded,
-hash-ordered sample; scoring is a narrow map over all whole texts.
+Training minimises logistic loss, plus a penalty on how far the score of a sentence
+of a labelled text moves when its identity terms are swapped for the next and for
+the one before in their groups, all at once, so that neutral mentions of a group
+don't count as toxic. Terms that are other words as well (black, old, straight) are
+swapped only in sentences that mention people. Labels are a bounded, hash-ordered
+sample; scoring is a narrow map over all whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -19,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bound_batches, fresh, slices
+from .common import annotate, bound_batches, checkpointed, fresh, release, slices
 
 #: Labelled rows that training uses at most (those with the smallest hash of their id).
 MAX_LABELLED = 20_000
-#: Features kept for training: the strongest by evidence.
-MAX_FEATURES = 20_000
+#: Features are those whose log odds are at least so many standard errors from 0, and identity terms; there is no limit to their number but the labelled texts.
+EVIDENCE = 2.5
 PREFIX = 5
 
 #: Interchangeable group mentions; texts with one are also seen with another of its row.
@@ -43,6 +46,14 @@ IDENTITY_GROUPS = (
     ("mujeres", "hombres"),
 )
 
+#: Terms that name a group only beside a word for people.
+AMBIGUOUS = frozenset(b"black white native straight blind deaf old young".split())
+PEOPLE = frozenset(
+    b"people person persons man men woman women boy boys girl girls child children kid kids family families friend friends neighbour neighbours neighbor neighbors community communities "
+    b"folk folks guy guys worker workers student students teacher teachers couple couples he she they who american americans african africans european europeans".split()
+)
+_SENTENCE = re.compile(r"[.!?\n]+")
+
 _BLANK = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -70,17 +81,25 @@ class Model:
         return 1 / (1 + math.exp(-x))
 
 
-def swaps(words: set[bytes], groups=IDENTITY_GROUPS) -> set[bytes] | None:
-    """The words with each identity term swapped for the next of its group, or None without any."""
-    out, found = set(words), False
-    for group in groups:
-        terms = [g.encode() for g in group]
-        for i, t in enumerate(terms):
-            if t in words:
-                found = True
-                out.discard(t)
-                out.add(terms[(i + 1) % len(terms)])
-    return out if found else None
+def swaps(words: set[bytes], groups=IDENTITY_GROUPS) -> list[set[bytes]]:
+    """The words with each identity term swapped for the next of its group, and for the one before; nothing without any.
+
+    All terms are swapped at once, so that none is swapped twice. Two variants that are
+    the same set are one, and a set that stays as it is is none.
+    """
+    people = bool(words & PEOPLE)
+    out = []
+    for step in (1, -1):
+        to = {}
+        for group in groups:
+            terms = [g.encode() for g in group]
+            for i, t in enumerate(terms):
+                if t in words and (people or t not in AMBIGUOUS):
+                    to[t] = terms[(i + step) % len(terms)]
+        made = {to.get(w, w) for w in words}
+        if made != words and made not in out:
+            out.append(made)
+    return out
 
 
 def fit(rows: list[tuple[int, list[int]]], pairs: list[tuple[list[int], list[int]]], strength: np.ndarray, *, l2: float = 1e-3, counterfactual: float = 1.0, steps: int = 300, rate: float = 0.1) -> tuple[float, np.ndarray]:
@@ -121,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on labelled rows whose crc32 of the id (as text) mod 5 is not 0, `max_labelled` at most.
 
     `keep` may be another condition on the label rows' id column. Rows without id or label are
-    left out. Without labelled rows the model scores every text 0.5 less a hair.
+    left out; a document or label that is there repeatedly counts as often; null and empty
+    texts are rows without features. Of rows that tie for the last place of the sample the
+    one labelled 0 is taken. Without labelled rows the model scores every text 0.5 less a hair.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -129,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     usable = usable.where(F.crc32(F.col("id").cast("string")) % 5 != 0) if keep is None else usable.where(keep(F.col("id")))
     chosen = usable.orderBy(F.xxhash64("id"), "y").limit(max_labelled)
     # bounded by max_labelled rows of two numbers
-    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
+    told = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "y"))
 
     def words(batches):
         for batch in batches:
@@ -141,18 +162,21 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     size = told.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n, pos = size["n"], size["pos"]
     if not n or not pos or n == pos:
+        release(told)
         return Model(5.0 if n and n == pos else -5.0 if n else -1e-6, {})
     a, b = F.col("a"), F.col("n") - F.col("a")
     ratio = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (n - pos + 1))
     counted = exploded.groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     evidence = F.abs(ratio) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    strong = counted.select("f", ratio.alias("r"), evidence.alias("z")).where("z > 2.5").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+    # bounded by the texts of max_labelled rows
+    strong = counted.select("f", ratio.alias("r"), evidence.alias("z")).where(F.col("z") > EVIDENCE).orderBy(F.desc("z"), "f").collect()
     names = [bytes(r["f"]) for r in strong]
     have = set(names)
     named = features({g.encode() for group in groups for g in group})
     names += sorted(named - have)
     # a neutral strength for identity terms that the labels say little about
     strength = np.array([r["r"] for r in strong] + [0.1] * (len(names) - len(strong)))
+    terms = {g.encode() for group in groups for g in group}
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def numbers(batches):
@@ -162,29 +186,39 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for part in slices(batch, 0):
                 fs, minus, plus = [], [], []
                 for t in part.column(0).to_pylist():
-                    ws = tokens(t)
-                    f = of(ws)
-                    other = swaps(ws, groups)
-                    g = f if other is None else of(other)
-                    fs.append(f)
-                    minus.append(sorted({*f} - {*g}))
-                    plus.append(sorted({*g} - {*f}))
+                    fs.append(of(tokens(t)))
+                    less, more = [], []
+                    for sentence in _SENTENCE.split(t or ""):
+                        ws = tokens(sentence)
+                        if not ws.isdisjoint(terms):
+                            f = {*of(ws)}
+                            for other in swaps(ws, groups):
+                                g = {*of(other)}
+                                if f != g:
+                                    less.append(sorted(f - g))
+                                    more.append(sorted(g - f))
+                    minus.append(less)
+                    plus.append(more)
                 kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(fs, kind), pa.array(minus, kind), pa.array(plus, kind)], names=["y", "f", "minus", "plus"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(fs, kind), pa.array(minus, pa.list_(kind)), pa.array(plus, pa.list_(kind))], names=["y", "f", "minus", "plus"])
 
-    seen = told.mapInArrow(numbers, "y int, f array<int>, minus array<int>, plus array<int>").toArrow().to_pylist()
+    seen = told.mapInArrow(numbers, "y int, f array<int>, minus array<array<int>>, plus array<array<int>>").toArrow().to_pylist()
+    release(told)
     seen.sort(key=lambda r: (r["y"], r["f"], r["minus"], r["plus"]))
-    bias, w = fit([(r["y"], r["f"]) for r in seen], [(r["minus"], r["plus"]) for r in seen if r["minus"] or r["plus"]], strength, counterfactual=counterfactual)
+    pairs = [p for r in seen for p in zip(r["minus"], r["plus"])]
+    bias, w = fit([(r["y"], r["f"]) for r in seen], pairs, strength, counterfactual=counterfactual)
     return Model(bias, {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-4})
 
 
 def add_score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """`docs` with a struct column `name`: score (0 to 1) and predicted (1 from 0.5 up).
 
-    A null text counts as empty and gets the bias alone. Other columns pass through.
+    A null text counts as empty and gets the bias alone; a text of any length is read whole.
+    Repeated rows are rows each, an empty table gives none. Other columns pass through, and
+    a column of that name gets company with underscores in front.
     """
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled texts
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def make():
