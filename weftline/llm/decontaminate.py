@@ -2,7 +2,8 @@
 
 The patterns are the word windows of the benchmark items. A shift table keyed by
 blocks of two words says how far the search may jump; where the jump is zero,
-the bucket of that suffix block lists the windows to compare word by word.
+the bucket of that suffix block (and of the block the window would begin with)
+lists the windows to compare word by word.
 
 The search is a narrow map over documents: nothing is shuffled. The benchmark is
 read in blocks of bounded bytes, each with its own tables and its own broadcast,
@@ -11,6 +12,7 @@ so a large benchmark costs passes, not memory.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from .common import annotate, bound_batches, fresh, utf8
 
 #: Bytes of benchmark text whose tables are broadcast at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Byte by byte: A-Z lower-cased, 0-9 and a-z and all non-ASCII kept, the rest blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -31,30 +33,32 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows(items, size: int) -> dict[tuple, list[str]]:
-    """Distinct windows of the items and the ids of the items that hold each."""
-    found: dict[tuple, set] = defaultdict(set)
-    for item_id, text in items:
-        w = words(text.encode("utf-8", "surrogatepass")) if text is not None else []
-        n = min(size, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            found[tuple(w[i : i + n])].add("" if item_id is None else str(item_id))
-    return {k: sorted(v) for k, v in found.items()}
-
-
 class WuManber:
-    """Search for word tuples of one length."""
+    """Search for the windows of one length in items, which are lists of words."""
 
-    def __init__(self, patterns: dict[tuple, list[str]], length: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], length: int, size: int):
         self.m, self.block = length, min(2, length)
         self.jump = self.m - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list] = defaultdict(list)
-        for p, ids in patterns.items():
-            for end in range(self.block, self.m + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.jump), self.m - end)
-            self.bucket[p[self.m - self.block :]].append((list(p), ids))
+        #: by suffix and prefix block: the windows as places in their items, the ids of equal windows together
+        self.bucket: dict[tuple, list[tuple[list[bytes], int, list[str]]]] = defaultdict(list)
+        for item_id, w in items:
+            if min(size, len(w)) != length:
+                continue
+            # a pair of words is as far from its window's end as that allows; over an item's windows the least counts
+            for end in range(self.block, len(w) + 1):
+                key, far = tuple(w[end - self.block : end]), max(0, self.m - end)
+                if far < self.shift.get(key, self.jump):
+                    self.shift[key] = far
+            for start in range(len(w) - length + 1):
+                bucket = self.bucket[tuple(w[start + length - self.block : start + length] + w[start : start + self.block])]
+                for other, at, ids in bucket:
+                    if other[at : at + length] == w[start : start + length]:
+                        if item_id not in ids:
+                            ids.append(item_id)
+                        break
+                else:
+                    bucket.append((w, start, [item_id]))
 
     def search(self, w: list[bytes]):
         """(end position, item ids) of each occurrence."""
@@ -66,18 +70,26 @@ class WuManber:
             if step:
                 i += step
                 continue
-            for p, ids in bucket[key]:
-                if w[i - m : i] == p:
+            for item, at, ids in bucket.get(key + tuple(w[i - m : i - m + b]), ()):
+                if w[i - m : i] == item[at : at + m]:
                     yield i, ids
                     break
             i += 1
 
 
-def _tables(patterns: dict[tuple, list[str]]) -> list[WuManber]:
-    by_length: dict[int, dict] = defaultdict(dict)
-    for p, ids in patterns.items():
-        by_length[len(p)][p] = ids
-    return [WuManber(v, n) for n, v in sorted(by_length.items())]
+def _tables(block: list[tuple], size: int) -> list[WuManber]:
+    """Of (item id, text) rows, a table for each length of window."""
+    known: dict[bytes, bytes] = {}
+    items = []
+    for item_id, text in block:
+        w = words(text.encode("utf-8", "surrogatepass")) if text is not None else []
+        if w:
+            items.append(("" if item_id is None else str(item_id), [known.setdefault(x, x) for x in w]))  # one object a word
+    return [WuManber(items, n, size) for n in sorted({min(size, len(w)) for _, w in items})]
+
+
+#: Tables of the block that a Python worker has met last, so that its next task finds them.
+_last: dict[str, list[WuManber]] = {}
 
 
 def scan(w: list[bytes], tables: list[WuManber]) -> tuple[list[list[int]], set[str]]:
@@ -126,22 +138,26 @@ def _blocks(benchmark: DataFrame, most: int):
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, name: str = "overlap", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with a struct column `name`: n_words, n_hit, item_ids (as strings, sorted), spans of hit words.
+    """`docs` with a struct column `name` (with underscores in front where `docs` has one): n_words, n_hit, item_ids (as strings, sorted), spans of hit words.
 
     Null or wordless texts have no words and no hits; items without words have no
     windows; an item of fewer words than a window is one window. Items that share
-    an id count once. An empty benchmark hits nothing. Other columns pass through.
+    an id count once. Repeated rows are rows each; texts of any length are read whole.
+    An empty benchmark hits nothing, empty documents give no rows. Other columns pass through.
     """
     bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(item_col, item_text_col)
     out, earlier = docs, None
     for block in _blocks(items, block_bytes):
-        shared = sc.broadcast(windows(block, window))
+        shared = sc.broadcast(block)  # block_bytes of text, or one item
         made = fresh(out, name if earlier is None else f"{name}_next")
 
-        def make(shared=shared):
-            tables = _tables(shared.value)
+        def make(shared=shared, number=uuid.uuid4().hex):
+            if number not in _last:
+                _last.clear()
+                _last[number] = _tables(shared.value, window)
+            tables = _last[number]
 
             def one(column):
                 rows = []
@@ -158,7 +174,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             out = _joined(out, earlier, made)
             made = earlier
         earlier = made
-    return out if earlier == name else out.withColumnRenamed(earlier, name)
+    return out
 
 
 def _joined(df: DataFrame, a: str, b: str) -> DataFrame:
