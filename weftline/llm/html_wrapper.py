@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bound_batches, fresh, slices
+from .common import annotate, bound_batches, checkpointed, fresh, slices
 
 #: Wrappers are broadcast up to so many bytes, and joined by host beyond.
 BROADCAST_BYTES = 8 << 20
@@ -34,29 +34,80 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never article text.
 DROP = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu audio video map".split())
-#: Words of class, id or role that mark page furniture anywhere, or outside an article only.
+#: Names of classes, ids and roles that mark page furniture: as a whole name anywhere, as the first or last part of one outside articles; the second kind outside articles only.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice gdpr comment comments disqus share sharing social related recommended newsletter subscribe popup modal login search pagination pager".split())
 OUTSIDE = frozenset("header masthead topbar".split())
 #: An element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|$)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
-_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+#: A comment, declaration or well-formed tag. No part of a tag runs over `<` or `>`, so each place is read a few times at most.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"'=]*=[ \t\n]*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]*))*[^<>"'=]*)>)""", re.S)
+#: The beginning of a tag of any form, and one attribute of it.
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)?(\s*=\s*)?""")
+_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_SPLIT = re.compile(r"[-_]+")
+
+
+class _Tags:
+    """Tags of a page in order, read as browsers do: a quoted value may hold anything, an unquoted one may hold quotes."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def after(self, at: int):
+        """(start, end, whether it closes, name, attributes) of the next tag from `at` on; the name is None for a comment. None at the end."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            m = _TAG.match(page, at)
+            if m:
+                return at, m.end(), bool(m[1]), m[2], m[3]
+            m = _OPEN.match(page, at)
+            if m:
+                end, marks = self._attributes(m.end())
+                return at, end, bool(m[1]), m[2], marks
+            at += 1
+
+    def _attributes(self, at: int) -> tuple[int, str]:
+        page, size, marks = self.page, len(self.page), []
+        while at < size and page[at] != ">":
+            m = _ATTRIBUTE.match(page, at)
+            name, at = m[1], max(m.end(), at + (m.end() == at))
+            if m[2] is None or at >= size:
+                if name is None and m.end() == m.start():
+                    continue
+                marks.append(name or "")
+                continue
+            quote = page[at]
+            if quote in self.last and self.last[quote] > at:
+                end = page.index(quote, at + 1)
+                value, at = page[at + 1 : end], end + 1
+            else:  # unquoted, or a quote that nothing closes
+                end = at
+                while end < size and page[end] != ">" and not page[end].isspace():
+                    end += 1
+                value, at = page[at:end], end
+            if (name or "").lower() in ("class", "id", "role"):
+                marks.append(f'{name}="{value.replace(chr(34), " ")}"')
+        closed = "/" if page[at - 1 : at] == "/" else ""
+        return min(size, at + 1), " ".join(marks) + closed
 
 
 class Node:
     __slots__ = ("tag", "label", "marks", "items")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.items = tag, []
+        self.tag, self.items, self.label, self.marks = tag, [], tag, frozenset()
         if attrs and not attrs.isspace():
-            found = _CLASS.search(attrs)
-            self.label = f"{tag}.{'.'.join(sorted(found[1].strip(chr(34) + chr(39)).lower().split()))}" if found else tag
-            self.marks = frozenset(w for m in _MARK.findall(attrs) for w in _SPLIT.split(m.lower()) if w)
-        else:
-            self.label, self.marks = tag, frozenset()
+            names = [(kind.lower(), (a or b or c).lower().split()) for kind, a, b, c in _MARK.findall(attrs)]
+            classes = next((sorted(n) for kind, n in names if kind == "class"), None)
+            if classes is not None:
+                self.label = f"{tag}.{'.'.join(classes)}"
+            self.marks = frozenset(x for _, n in names for x in n)
 
     def children(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
@@ -64,21 +115,21 @@ class Node:
 
 def parse(page: str) -> Node:
     """A tree of elements; text lies between them undecoded. Open elements end with their parent."""
-    root = Node("#root")
+    root, tags = Node("#root"), _Tags(page)
     stack, at, size = [root], 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        found = tags.after(at)
+        if found is None:
             stack[-1].items.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end, closing, tag, attrs = found
+        if start > at:
+            stack[-1].items.append(page[at:start])
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
+        if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -93,21 +144,26 @@ def parse(page: str) -> Node:
                     break
                 if t not in INLINE:
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             node.items.append(page[at : end.start()] if end else page[at:])
             at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
     return root
 
 
 def furniture(node: Node, inside: bool) -> bool:
+    """Whether an element is none of the article's; `inside`: it stands in an article."""
     if node.tag in DROP or node.marks & FURNITURE:
         return True
-    return not inside and (node.tag == "header" or bool(node.marks & OUTSIDE))
+    if inside or not node.marks and node.tag != "header":
+        return False
+    if node.tag == "header" or node.marks & OUTSIDE:
+        return True
+    return any({p[0], p[-1]} & (FURNITURE | OUTSIDE) for p in map(_SPLIT.split, node.marks))
 
 
 def blocks(node: Node, inside: bool = True) -> list[str]:
@@ -268,7 +324,8 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
     other titles, so that copies of a page don't pass for one.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST, 1))
-    keyed = pages.select(host.alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    # pages without a host have nothing in common
+    keyed = pages.select(host.alias("host"), F.col(html_col).alias("html")).where("html is not null and host <> ''")
 
     def told(batches):
         for batch in batches:
@@ -294,12 +351,15 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
 def add_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", name: str = "main", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`pages` with a struct column `name`: text and n_chars of the main text.
 
-    Null or empty html gives an empty text; a null url or one without a host goes
-    with the others of its kind. Rows repeat as they are.
+    Null or empty html gives an empty text; a page whose url is null or without a host
+    is read by itself. Rows repeat as they are, copies of a page count as one for its
+    host's wrapper, pages of any length are read whole, broken tags as browsers read them. Hosts are told
+    apart by their names in lower case. An empty table gives none. Other columns pass through, and one
+    named like `name` gets company with underscores in front.
     """
     spark = pages.sparkSession
     bound_batches(spark)
-    found = wrappers(pages, url_col=url_col, html_col=html_col).persist()
+    found = checkpointed(wrappers(pages, url_col=url_col, html_col=html_col))
     size = found.agg(F.sum(F.octet_length("host") + F.octet_length("path")).cast("long")).first()[0] or 0
     host, path = fresh(pages, "host"), fresh(pages, "path")
     keyed = pages.withColumn(host, F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST, 1)))
