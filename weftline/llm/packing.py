@@ -102,6 +102,10 @@ def windows_for(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
+#: What the cached path relies on, as tokenizer files spell it: blanks, their replacement, the words and how they are cut, bytes as they are.
+_FORM = [{"Regex": r"\s+"}, " ", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "Removed", True, False, False]
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by a cache of words where that is exact.
 
@@ -125,7 +129,11 @@ class Encoder:
         form = json.loads(self.whole.to_str())
         steps = [x["type"] for x in (form.get("normalizer") or {}).get("normalizers", [])]
         cuts = [x["type"] for x in (form.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.known = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and form["pre_tokenizer"]["pretokenizers"][0]["invert"]
+        self.known = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] and _FORM == [
+            form["normalizer"]["normalizers"][1].get("pattern"), form["normalizer"]["normalizers"][1].get("content"),
+            *(form["pre_tokenizer"]["pretokenizers"][0].get(k) for k in ("pattern", "behavior", "invert")),
+            *(form["pre_tokenizer"]["pretokenizers"][1].get(k) for k in ("add_prefix_space", "use_regex")),
+        ]
         self.marks = [t["content"] for t in form.get("added_tokens", [])]
         self.plain = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*").fullmatch
         self.model = self.whole.model
@@ -231,7 +239,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
     `tokenizer` is the path of a tokenizer file that every executor can read. A
     null text is empty: its document is the separator alone. Rows with equal or
-    null ids are separate documents. Sequence ids carry the task's partition in
+    null ids are separate documents; a text of any length is encoded whole. An empty table
+    gives no rows. Only the two named columns are read, so others of any name don't matter. Sequence ids carry the task's partition in
     their upper bits, so they are unique and the same when a task runs again.
     """
     bound_batches(docs.sparkSession)
