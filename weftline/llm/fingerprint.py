@@ -15,11 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, bound_batches, fresh, shards_for, text_bytes
+from .common import annotate, bound_batches, checkpointed, fresh, shards_for, text_bytes, with_class
 
 
 def canonical(text: str | None) -> bytes:
@@ -60,21 +61,30 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     execution), and members whose bytes differ are grouped again by their full
     SHA-256. Null ids keep a null group.
     """
-    printed = add_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), name="p").select("id", "text", F.col("p.fingerprint").alias("fingerprint"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    printed = checkpointed(add_fingerprint(texts, name="p").select("id", F.col("p.fingerprint").alias("fingerprint")))
     leaders = printed.groupBy("fingerprint").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-    kept = leaders.where("n > 1")
-    kind = T.StructType([T.StructField("canon", T.BinaryType())])
+    kind = T.StructType([T.StructField("canon", T.BinaryType()), T.StructField("mark", T.StringType())])
 
     def make():
-        return lambda column: pa.StructArray.from_arrays([pa.array([canonical(t) for t in column.to_pylist()], pa.binary())], names=["canon"])
+        def one(column):
+            canons = [canonical(t) for t in column.to_pylist()]
+            packed = [zstandard.compress(c, 1) for c in canons]  # equal bytes pack alike
+            return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array([digest(c) for c in canons], pa.string())], names=["canon", "mark"])
+
+        return one
 
-    many = annotate(printed.join(kept, "fingerprint"), "text", make, kind, "c").select("id", "fingerprint", "leader", F.col("c.canon").alias("canon"))
-    heads = many.where(F.col("id") == F.col("leader")).groupBy("fingerprint").agg(F.min("canon").alias("head"))
-    compared = many.join(heads, "fingerprint", "left")
+    several = with_class(printed, leaders.withColumn("m", F.col("n")), ["fingerprint"], "n").where("m > 1").select("id", "fingerprint", "leader")
+    ids = several.select("id").distinct()
+    shared = annotate(texts.join(ids, "id", "left_semi"), "text", make, kind, "c").select("id", F.col("c.mark").alias("fingerprint"), F.col("c.canon").alias("canon"))
+    many = checkpointed(shared)
+    heads = many.join(leaders.where("n > 1"), "fingerprint").where(F.col("id") == F.col("leader")).groupBy("fingerprint", "leader").agg(F.min("canon").alias("head"), F.count(F.lit(1)).alias("k"))
+    sized = many.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_rows"))
+    compared = with_class(many, heads.select("fingerprint", "leader", "head").join(sized, "fingerprint"), ["fingerprint"], "n_rows")
     same = compared.where(F.col("canon") == F.col("head")).select("id", "fingerprint", F.col("leader").alias("group_id"))
     differ = compared.where(~F.coalesce(F.col("canon") == F.col("head"), F.lit(False))).select("id", "fingerprint", F.sha2("canon", 256).alias("sha"))
     split = differ.withColumn("group_id", F.min("id").over(Window.partitionBy("fingerprint", "sha"))).drop("sha")
-    alone = printed.join(leaders.where("n = 1"), "fingerprint").select("id", "fingerprint", F.col("id").alias("group_id"))
+    alone = printed.join(leaders.where("n = 1").select("fingerprint"), "fingerprint").select("id", "fingerprint", F.col("id").alias("group_id"))
     return alone.unionByName(same).unionByName(split).withColumnRenamed("id", id_col)
 
 
@@ -84,10 +94,10 @@ _OUT = T.StructType([
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ])
 
-#: Bytes of text in one range of consecutive ids.
-RANGE_BYTES = 2 << 20
+#: Bytes of text in one range of consecutive ids. Ranges are sorted with spilling and read in order, so their size costs no memory.
+RANGE_BYTES = 8 << 20
 
-#: Ranges are streamed in order, so beyond this many they grow instead; their bounds are broadcast.
+#: Bounds of ranges come from one sketch, which holds so many; with more text than that many ranges hold, ranges are longer.
 MOST_RANGES = 20_000
 
 
@@ -127,7 +137,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = F.col("id").eqNullSafe(F.col("low"))
     copies = F.when(heads, F.array(F.struct(F.col("at").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("back").alias("to"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("at").alias("to"), F.lit(0).alias("guest"))))
     dealt = joined.select("id", "text", F.explode(copies).alias("c")).select(F.col("c.to").alias("to"), F.col("c.guest").alias("guest"), "id", "text")
-    parts = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 8)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n)
     sorted_ = dealt.repartition(parts, "to").sortWithinPartitions("to", "guest", F.col("id").asc_nulls_first(), "text")
 
     def run(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, html_wrapper, jaccard_join, license_scan, lm_score, packing, secret_scan, suffix_dedup, toxicity
-from .common import table
+from .common import checkpointed, table
 
 #: The tokenizer file of the packing query; a path that every executor can read.
 TOKENIZER_KEY = "weftline.tokenizer"
@@ -55,7 +55,9 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    groups = checkpointed(fingerprint.exact_groups(docs).where("doc_id is not null").groupBy("doc_id", "fingerprint").agg(F.min("group_id").alias("group_id")))
+    return fingerprint.compare_with_next(docs).join(groups, ["doc_id", "fingerprint"], "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = lambda v: F.size(F.filter("secrets", lambda x: x["verdict"] == v)).cast("long")
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(spell(F.filter("secrets", lambda x: x["base"])), 256).alias("base_sha256"),
-        spell(F.col("secrets")).alias("spans"), verdict("owned").alias("n_owned"), verdict("example").alias("n_example"),
+        spell(F.col("secrets")).alias("spans"), verdict("owned").alias("n_owned"), verdict("example").alias("n_example"), verdict("placeholder").alias("n_placeholder"),
     )
 
 
