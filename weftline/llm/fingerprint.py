@@ -56,13 +56,15 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Per row: id_col, fingerprint, group_id (smallest id with equal canonical bytes).
 
     Fingerprints select buckets (small rows, combined before the shuffle). Only the
-    members of buckets of two or more are compared: the canonical text of the
-    bucket's leader is joined to its members (a skewed bucket is split by adaptive
-    execution), and members whose bytes differ are grouped again by their full
-    SHA-256. Null ids keep a null group.
+    members of buckets of two or more are compared: the canonical bytes of the
+    bucket's leader, compressed, are joined to its members (large buckets by broadcast), and
+    members whose bytes differ are grouped again by their full SHA-256. Null and empty
+    texts are equal; rows that repeat an id keep a row each; null ids keep a null group; an
+    empty table gives none. Only the two named columns are read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    printed = checkpointed(add_fingerprint(texts, name="p").select("id", F.col("p.fingerprint").alias("fingerprint")))
+    every = checkpointed(add_fingerprint(texts, name="p").select("id", F.col("p.fingerprint").alias("fingerprint")))
+    printed = every.where("id is not null")
     leaders = printed.groupBy("fingerprint").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
     kind = T.StructType([T.StructField("canon", T.BinaryType()), T.StructField("mark", T.StringType())])
 
@@ -80,12 +82,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     many = checkpointed(shared)
     heads = many.join(leaders.where("n > 1"), "fingerprint").where(F.col("id") == F.col("leader")).groupBy("fingerprint", "leader").agg(F.min("canon").alias("head"), F.count(F.lit(1)).alias("k"))
     sized = many.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_rows"))
-    compared = with_class(many, heads.select("fingerprint", "leader", "head").join(sized, "fingerprint"), ["fingerprint"], "n_rows")
+    compared = with_class(many, heads.select("fingerprint", "leader", "head").join(sized, "fingerprint"), ["fingerprint"], "n_rows").where("leader is not null")
     same = compared.where(F.col("canon") == F.col("head")).select("id", "fingerprint", F.col("leader").alias("group_id"))
     differ = compared.where(~F.coalesce(F.col("canon") == F.col("head"), F.lit(False))).select("id", "fingerprint", F.sha2("canon", 256).alias("sha"))
     split = differ.withColumn("group_id", F.min("id").over(Window.partitionBy("fingerprint", "sha"))).drop("sha")
     alone = printed.join(leaders.where("n = 1").select("fingerprint"), "fingerprint").select("id", "fingerprint", F.col("id").alias("group_id"))
-    return alone.unionByName(same).unionByName(split).withColumnRenamed("id", id_col)
+    nameless = every.where("id is null").select("id", "fingerprint", F.lit(None).cast(texts.schema["id"].dataType).alias("group_id"))
+    return alone.unionByName(same).unionByName(split).unionByName(nameless).withColumnRenamed("id", id_col)
 
 
 _OUT = T.StructType([
