@@ -80,9 +80,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ids = several.select("id").distinct()
     shared = annotate(texts.join(ids, "id", "left_semi"), "text", make, kind, "c").select("id", F.col("c.mark").alias("fingerprint"), F.col("c.canon").alias("canon"))
     many = checkpointed(shared)
-    heads = many.join(leaders.where("n > 1"), "fingerprint").where(F.col("id") == F.col("leader")).groupBy("fingerprint", "leader").agg(F.min("canon").alias("head"), F.count(F.lit(1)).alias("k"))
-    sized = many.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_rows"))
-    compared = with_class(many, heads.select("fingerprint", "leader", "head").join(sized, "fingerprint"), ["fingerprint"], "n_rows").where("leader is not null")
+    # the least id's bytes stand for a bucket, combined before the shuffle; rows that only share an id with a bucket are alone in theirs
+    heads = many.groupBy("fingerprint").agg(F.min("id").alias("leader"), F.min_by("canon", F.struct("id", "canon")).alias("head"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    compared = with_class(many, heads, ["fingerprint"], "n_rows").where("leader is not null")
     same = compared.where(F.col("canon") == F.col("head")).select("id", "fingerprint", F.col("leader").alias("group_id"))
     differ = compared.where(~F.coalesce(F.col("canon") == F.col("head"), F.lit(False))).select("id", "fingerprint", F.sha2("canon", 256).alias("sha"))
     split = differ.withColumn("group_id", F.min("id").over(Window.partitionBy("fingerprint", "sha"))).drop("sha")
