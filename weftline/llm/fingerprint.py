@@ -76,8 +76,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         return one
 
-    several = with_class(printed, leaders.withColumn("m", F.col("n")), ["fingerprint"], "n").where("m > 1").select("id", "fingerprint", "leader")
-    ids = several.select("id").distinct()
+    sized = with_class(printed, leaders.withColumn("m", F.col("n")), ["fingerprint"], "n")
+    ids = sized.where("m > 1").select("id").distinct()
     shared = annotate(texts.join(ids, "id", "left_semi"), "text", make, kind, "c").select("id", F.col("c.mark").alias("fingerprint"), F.col("c.canon").alias("canon"))
     many = checkpointed(shared)
     # the least id's bytes stand for a bucket, combined before the shuffle; rows that only share an id with a bucket are alone in theirs
@@ -86,7 +86,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     same = compared.where(F.col("canon") == F.col("head")).select("id", "fingerprint", F.col("leader").alias("group_id"))
     differ = compared.where(~F.coalesce(F.col("canon") == F.col("head"), F.lit(False))).select("id", "fingerprint", F.sha2("canon", 256).alias("sha"))
     split = differ.withColumn("group_id", F.min("id").over(Window.partitionBy("fingerprint", "sha"))).drop("sha")
-    alone = printed.join(leaders.where("n = 1").select("fingerprint"), "fingerprint").select("id", "fingerprint", F.col("id").alias("group_id"))
+    alone = sized.where("m = 1").select("id", "fingerprint", F.col("id").alias("group_id"))
     nameless = every.where("id is null").select("id", "fingerprint", F.lit(None).cast(texts.schema["id"].dataType).alias("group_id"))
     return alone.unionByName(same).unionByName(split).unionByName(nameless).withColumnRenamed("id", id_col)
 
