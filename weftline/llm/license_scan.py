@@ -139,7 +139,7 @@ class Scanner:
         # lower case may be longer than the text: lines are told by their number
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
         line = [bisect_right(lines, a) - 1 for a, _ in at]
-        best: dict[tuple[int, str], tuple] = {}
+        laid: dict[str, list[tuple[int, int, list[str]]]] = {}
         for c in (i for i, w in enumerate(ws) if any(x in w for x in CUES)):
             for name, wordings in self.wordings.items():
                 for wording in wordings:
@@ -155,9 +155,16 @@ class Scanner:
                             continue
                         spans = [m for m in difflib.SequenceMatcher(None, wording, part, autojunk=False).get_matching_blocks() if m.size]
                         a, z = first + spans[0].b, first + spans[-1].b + spans[-1].size
-                        key = (starts[line[a]], name)
-                        if key not in best or len(diff) < len(best[key][3]):
-                            best[key] = (*key, low[at[a][0] : at[z - 1][1]], diff)
+                        laid.setdefault(name, []).append((a, z, diff))
+        best: dict[tuple[int, str], tuple] = {}
+        for name, finds in laid.items():
+            end = 0
+            for a, z, diff in sorted(finds, key=lambda f: (f[0], -f[1], len(f[2]))):
+                if z <= end:  # a part of a longer wording of the same licence
+                    continue
+                end, key = z, (starts[line[a]], name)
+                if key not in best or len(diff) < len(best[key][3]):
+                    best[key] = (*key, low[at[a][0] : at[z - 1][1]], diff)
         return list(best.values())
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
