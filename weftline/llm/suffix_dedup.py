@@ -35,7 +35,7 @@ from .common import bound_batches, shards_for, slices, text_bytes, utf8
 LENGTH = 50
 GRAM = 16
 #: Bytes of text in a shard of documents, and that one bucket of triggers answers for.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 SLICE = 1 << 20
 
@@ -228,7 +228,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte goes where a `length`-byte string covers it that also starts in a
     document with a smaller id. Null texts are empty. Rows with equal ids don't
     remove each other's text; a null id is larger than every other. Texts shorter
-    than `length` stay whole.
+    than `length` stay whole, longer ones are read whole whatever their length. An empty
+    table gives no rows. Only the two named columns are read, so others of any name don't matter.
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -310,6 +311,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if got:
             g, key, n, low, high = (np.concatenate([x[k] for x in got]) for k in range(5))
             text = [p for x in got for p in x[5]]
+            # copies of a phrase in the shard's slices are one entry
+            key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            least, most = np.full(len(key), _LAST), np.full(len(key), np.iinfo(np.int64).min)
+            np.minimum.at(least, inverse, low)
+            np.maximum.at(most, inverse, high)
+            g, n, low, high, text = g[first], n[first], least, most, [text[i] for i in first.tolist()]
             bucket = _bucket(g, buckets)
             order = np.argsort(bucket, kind="stable")
             for b, x in _grouped(bucket[order]):
