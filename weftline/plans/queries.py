@@ -567,8 +567,15 @@ def ols_simple(spark, sf):
     return spark.createDataFrame([(round(float(m.coefficients[0]), 5), round(m.intercept, 4), round(float(m.r2), 6), round(float(m.adjusted_r2), 6))], "slope double, intercept double, r2 double, adjusted_r2 double")
 
 
-_C = {f"{a}{b}": f"covar_pop({x}, {y})" for a, x in (("x", "p_size"), ("z", "p_partkey"), ("y", "p_retailprice")) for b, y in (("x", "p_size"), ("z", "p_partkey"), ("y", "p_retailprice"))}
-_TWO = f"WITH c AS (SELECT {', '.join(f'{e} AS {k}' for k, e in _C.items())}, avg(p_size) mx, avg(p_partkey) mz, avg(p_retailprice) my FROM part), w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM c), f AS (SELECT a, b, my - a * mx - b * mz AS i FROM w) "
+
+
+def _two(table: str, x: str, z: str, y: str) -> str:
+    """Least squares of y on x and z by their covariances: a and b, and the constant i."""
+    c = {f"{p}{q}": f"covar_pop({u}, {v})" for p, u in (("x", x), ("z", z), ("y", y)) for q, v in (("x", x), ("z", z), ("y", y))}
+    return f"WITH c AS (SELECT {', '.join(f'{e} AS {k}' for k, e in c.items())}, avg({x}) mx, avg({z}) mz, avg({y}) my FROM {table}), w AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM c), f AS (SELECT a, b, my - a * mx - b * mz AS i FROM w) "
+
+
+_TWO = _two("part", "p_size", "p_partkey", "p_retailprice")
 
 
 @query(_TWO + "SELECT round(a, 4) AS p_size, round(b, 5) AS p_partkey, round(i, 3) AS intercept FROM f")
@@ -797,11 +804,16 @@ def nb_bottom_words(spark, sf):
     return r.select("word", _r("log_ratio", 5).alias("log_ratio")).orderBy("log_ratio", "word").limit(10)
 
 
-@query(_TWO + ", n AS (SELECT count(*) AS n FROM part), e AS (SELECT sum((p_retailprice - (i + a * p_size + b * p_partkey)) ** 2) / (any_value(n.n) - 3) AS s2 FROM part, f, n), d AS (SELECT xx * n AS sxx, zz * n AS szz, xz * n AS sxz, mx, mz, n FROM c, n), se AS (SELECT sqrt(s2 * szz / (sxx * szz - sxz * sxz)) AS ea, sqrt(s2 * sxx / (sxx * szz - sxz * sxz)) AS eb, sqrt(s2 * (1.0 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / (sxx * szz - sxz * sxz))) AS ei FROM d, e) SELECT unnest(['const', 'p_size', 'p_partkey']) AS term, unnest([round(i, 3), round(a, 3), round(b, 3)]) AS coefficient, unnest([round(ei, 4), round(ea, 4), round(eb, 5)]) AS standard_error, unnest([round(i / ei, 2), round(a / ea, 2), round(b / eb, 2)]) AS t FROM f, se")
+@query(
+    _two("lineitem", "l_quantity", "l_discount", "l_extendedprice")
+    + ", n AS (SELECT count(*) AS n FROM lineitem), e AS (SELECT sum((l_extendedprice - (i + a * l_quantity + b * l_discount)) ** 2) / (any_value(n.n) - 3) AS s2 FROM lineitem, f, n), d AS (SELECT xx * n AS sxx, zz * n AS szz, xz * n AS sxz, mx, mz, n FROM c, n), "
+    "se AS (SELECT sqrt(s2 * szz / (sxx * szz - sxz * sxz)) AS ea, sqrt(s2 * sxx / (sxx * szz - sxz * sxz)) AS eb, sqrt(s2 * (1.0 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / (sxx * szz - sxz * sxz))) AS ei FROM d, e) "
+    "SELECT unnest(['const', 'l_quantity', 'l_discount']) AS term, unnest([round(i, 2), round(a, 3), round(b, 1)]) AS coefficient, unnest([round(ei, 2), round(ea, 3), round(eb, 1)]) AS standard_error, unnest([round(i / ei, 3), round(a / ea, 3), round(b / eb, 3)]) AS t FROM f, se"
+)
 def ols_summary(spark, sf):
-    m = models.ols(read(spark, sf, "part"), ["p_size", "p_partkey"], "p_retailprice")
-    digits = {"const": 4, "p_size": 4, "p_partkey": 5}
-    return spark.createDataFrame([(r["term"], round(r["coefficient"], 3), round(r["standard_error"], digits[r["term"]]), round(r["t"], 2)) for r in m.summary()], "term string, coefficient double, standard_error double, t double")
+    m = models.ols(read(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    digits = {"const": 2, "l_quantity": 3, "l_discount": 1}
+    return spark.createDataFrame([(r["term"], round(r["coefficient"], digits[r["term"]]), round(r["standard_error"], digits[r["term"]]), round(r["t"], 3)) for r in m.summary()], "term string, coefficient double, standard_error double, t double")
 
 
 @query(_TWO + "SELECT unnest(['p_size', 'p_partkey']) AS feature, unnest([round(a * sqrt(xx), 3), round(b * sqrt(zz), 3)]) AS coefficient FROM f, c")
