@@ -68,8 +68,8 @@ def label_sql(e: str) -> str:
 
 
 def _mapped(token: Column, table: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), token), token)
+    pairs = ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for kv in table.items() for x in kv)
+    return F.coalesce(F.element_at(F.expr(f"map({pairs})"), token), token)
 
 
 def _singular(t: Column) -> Column:
@@ -103,9 +103,14 @@ def category(predicate: Column) -> Column:
     """Of a predicate: the first category one of whose stems stands in its plain or normalised form."""
     plain = F.regexp_replace(F.lower(strip(predicate)), "[ -]", "_")
     norm = F.replace(normalize(predicate), F.lit(" "), F.lit("_"))
-    has = lambda stems: reduce(lambda a, b: a | b, [F.contains(x, F.lit(s)) for s in stems for x in (plain, norm)])
-    out = F.when(plain.isin(*COPULAS) | norm.isin(*COPULAS) | has(STEMS[HIERARCHICAL]), HIERARCHICAL)
-    return out.when(has(STEMS[CAUSAL]), CAUSAL).when(has(STEMS[RELATIONAL]), RELATIONAL).otherwise(OTHER)
+
+    def told(forms: Column) -> Column:
+        has = lambda stems: F.exists(forms, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(s)) for s in stems]))
+        out = F.when(F.exists(forms, lambda x: x.isin(*COPULAS)) | has(STEMS[HIERARCHICAL]), HIERARCHICAL)
+        return out.when(has(STEMS[CAUSAL]), CAUSAL).when(has(STEMS[RELATIONAL]), RELATIONAL).otherwise(OTHER)
+
+    # bound once by the lambda: the forms stand in the plan a single time, not once per stem
+    return F.transform(F.array(F.array(plain, norm)), told)[0]
 
 
 def category_sql(e: str) -> str:
