@@ -22,7 +22,7 @@ ARITY, DEPTH = 3, 7
 #: DuckDB gets whole buckets of so many rows together, and one bucket at least.
 BATCH_ROWS = 30_000
 #: Rows of a range of the numbering, of a partition of buckets; outer proofs are broadcast up to so many bytes, and joined by bucket beyond.
-RANGE_ROWS, BROADCAST_BYTES = 200_000, 4 << 20
+RANGE_ROWS, BROADCAST_BYTES = 50_000, 4 << 20
 
 
 def digest(*parts: Column) -> Column:
@@ -63,7 +63,7 @@ def block_engine():
         db.execute("CREATE OR REPLACE TEMP TABLE tops AS SELECT b, max(levels) AS levels FROM given GROUP BY b")
         db.execute("CREATE OR REPLACE TEMP TABLE leaves AS SELECT b, i, levels, p, '' AS proof, fold FROM given")
         db.unregister("given")
-        for level in range(db.execute("SELECT coalesce(max(levels), 0) FROM tops").fetchone()[0]):
+        for level in range(db.execute("SELECT coalesce(max(levels), 0) FROM tops").fetchall()[0][0]):
             db.execute(_LEVEL.format(arity=ARITY, level=level))
         return db.sql("SELECT n.h AS root, l.proof, l.fold FROM leaves l JOIN nodes n USING (b) ORDER BY l.i").to_arrow_table()
 
