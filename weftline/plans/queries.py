@@ -281,7 +281,7 @@ _TRIPLE_SQL = (
 
 def _aligned(spark):
     p, g = evaluation_sets.predictions(spark), evaluation_sets.gold(spark)
-    return p, g, alignment.assign(alignment.candidates(p, g))
+    return p, g, alignment.align(p, g)
 
 
 @query(_TRIPLE_SQL + "SELECT p.run, p.idx AS p_idx, g.idx AS g_idx FROM p JOIN g ON p.run = g.run AND lower(p.subject) = lower(g.subject) AND lower(p.predicate) = lower(g.predicate) AND lower(p.object) = lower(g.object)")
@@ -324,6 +324,71 @@ def paper_baseline(spark, sf):
     return _rounded(alignment.report(p, g, m))
 
 
+#: Triples of parts, predicted and gold: brand by brand, spelt and put in four ways, so that each rung has its matches.
+_PART_TRIPLES = {
+    "gold": ("lower(concat(p_name, ' ', p_type, ' ', p_brand))", "'is-a'", "concat('size ', p_size, ' part')"),
+    "predicted": (
+        "CASE p_partkey % 4 WHEN 0 THEN upper(concat(p_name, ' ', p_type, ' ', p_brand)) WHEN 1 THEN concat(p_name, ' ', p_brand) WHEN 2 THEN split_part(p_name, ' ', -1) ELSE concat(p_name, 's ', p_brand, ' ', p_type) END",
+        "CASE p_partkey % 4 WHEN 0 THEN 'IS-A' WHEN 1 THEN 'type_of' WHEN 2 THEN 'is a' ELSE CASE WHEN p_size % 5 = 0 THEN 'sold near' ELSE 'subclass of' END END",
+        "CASE p_partkey % 3 WHEN 0 THEN concat('size ', p_size, ' part') WHEN 1 THEN concat('Parts, size ', p_size) ELSE 'part' END",
+    ),
+}
+
+
+def part_triples(spark: SparkSession, sf: str, side: str) -> DataFrame:
+    parts = read(spark, sf, "part")
+    return parts.select(F.lit("parts").alias("run"), F.col("p_brand").alias("doc"), F.col("p_partkey").cast("int").alias("idx"), *[F.expr(e).alias(c) for e, c in zip(_PART_TRIPLES[side], alignment.PARTS)])
+
+
+def _side_sql(side: str) -> str:
+    parts = dict(zip(alignment.PARTS, _PART_TRIPLES[side]))
+    once = ", ".join(f"{X.normalize_sql(c)} AS n_{c}" for c in parts)
+    twice = ", ".join(f"{X.normalize_sql(f'n_{c}')} AS m_{c}" for c in parts)
+    keys = " || chr(1) || ".join(f"lower({X.strip_sql(c)})" for c in parts)
+    given = ", ".join(f"{e} AS {c}" for c, e in parts.items())
+    return f"SELECT *, {twice} FROM (SELECT doc, idx, {keys} AS k, {X.category_sql('predicate')} AS cat, {once} FROM (SELECT p_brand AS doc, CAST(p_partkey AS INTEGER) AS idx, {given} FROM part))"
+
+
+def _rung_sql(c: str) -> str:
+    """The ladder of two elements but for its last rung, spelling, which predicates and objects of parts don't reach."""
+    a, b = (rf"list_distinct(list_filter(string_split_regex({s}.m_{c}, '\s+'), lambda t: t <> ''))" for s in "pg")
+    both, every = f"len(list_intersect({a}, {b}))", f"len(list_distinct(list_concat({a}, {b})))"
+    copulas = ", ".join(f"'{x}'" for x in alignment.COPULAS)
+    return f"CASE WHEN p.m_{c} = g.m_{c} OR p.m_{c} IN ({copulas}) AND g.m_{c} IN ({copulas}) THEN 1 WHEN {every} > 0 AND {both} >= 0.5 * {every} THEN {both} / {every} WHEN {both} > 0 AND {both} = least(len({a}), len({b})) THEN 0.85 ELSE 0 END"
+
+
+#: Ratcliff-Obershelp likeness of pairs (x, y): the longest common piece, the first in x, then in y; then what is left and right of it, and so on.
+_RATIO_SQL = """
+matched(x, y, a, b, m) AS (SELECT x, y, x, y, 0 FROM spelt
+  UNION ALL SELECT x, y, CASE side WHEN 0 THEN a[1:i - 1] ELSE a[i + n:] END, CASE side WHEN 0 THEN b[1:j - 1] ELSE b[j + n:] END, CASE side WHEN 0 THEN n ELSE 0 END
+  FROM (SELECT x, y, a, b, -v.i AS i, v.n AS n, instr(b, a[-v.i:-v.i + v.n - 1]) AS j
+    FROM (SELECT x, y, a, b, list_max(list_transform(range(1, length(a) + 1), lambda i: struct_pack(n := len(list_filter(range(i, length(a) + 1), lambda k: contains(b, a[i:k]))), i := -i))) AS v FROM matched WHERE a <> '' AND b <> '')
+    WHERE v.n > 0), (VALUES (0), (1)) sides(side)),
+ratios AS (SELECT x, y, 2 * sum(m) / (length(x) + length(y)) AS ratio FROM matched GROUP BY x, y)
+"""
+
+_FUZZY_SQL = f"""
+WITH RECURSIVE p AS ({_side_sql("predicted")}), g AS ({_side_sql("gold")}),
+rungs AS (SELECT p.doc, p.idx AS p, g.idx AS g, p.k = g.k AS exact, p.n_subject = g.n_subject AND p.n_predicate = g.n_predicate AND p.n_object = g.n_object AS same, p.m_subject AS x, g.m_subject AS y,
+  {_rung_sql("subject")} AS s0, {_rung_sql("predicate")} AS q0, {_rung_sql("object")} AS o, p.cat = g.cat AND p.cat <> '{X.OTHER}' AS kindred FROM p JOIN g ON p.doc = g.doc),
+spelt AS (SELECT DISTINCT x, y FROM rungs WHERE s0 = 0 AND o >= 0.7 AND 2 * least(length(x), length(y)) >= 0.8 * (length(x) + length(y))),
+{_RATIO_SQL},
+likes AS (SELECT r.*, CASE WHEN s0 = 0 AND ratio >= 0.8 THEN ratio ELSE s0 END AS s FROM rungs r LEFT JOIN ratios t ON r.x = t.x AND r.y = t.y),
+scored AS (SELECT *, CASE WHEN exact OR same THEN 1 WHEN least(s, q, o) >= 0.7 THEN (s + q + o) / 3 END AS score FROM (SELECT *, CASE WHEN q0 < 0.5 AND kindred THEN 0.85 ELSE q0 END AS q FROM likes)),
+wants AS (SELECT doc, p, list(struct_pack(late := NOT exact, minus := -round(score, 12), g := g) ORDER BY NOT exact, -round(score, 12), g) AS gs FROM scored WHERE score >= 0.7 GROUP BY doc, p),
+queue AS (SELECT doc, list(struct_pack(p := p, gs := gs) ORDER BY p) AS ps FROM wants GROUP BY doc),
+walk AS (SELECT doc, ps, 0 AS i, CAST([] AS INTEGER[]) AS used, NULL::INTEGER AS p, NULL::STRUCT(late BOOLEAN, minus DOUBLE, g INTEGER) AS took FROM queue
+  UNION ALL SELECT doc, ps, i + 1, CASE WHEN took IS NULL THEN used ELSE list_append(used, took.g) END, p, took
+  FROM (SELECT doc, ps, i, used, ps[i + 1].p AS p, list_filter(ps[i + 1].gs, lambda x: NOT list_contains(used, x.g))[1] AS took FROM walk WHERE i < len(ps)))
+SELECT 'parts' AS run, doc, p AS p_idx, took.g AS g_idx, round(-took.minus, 6) AS score, CASE WHEN took.late THEN 'normalized' ELSE 'exact' END AS match_type FROM walk WHERE took IS NOT NULL
+"""
+
+
+@query(_FUZZY_SQL)
+def fuzzy_alignment(spark, sf):
+    return _rounded(alignment.align(part_triples(spark, sf, "predicted"), part_triples(spark, sf, "gold")))
+
+
 def _by_sql(key: Callable[[str], str], keys: str, every: str) -> str:
     of = lambda side: f"(SELECT run, {key('predicate')} AS k, count(*) AS n FROM {side} GROUP BY 1, 2)"
     return (

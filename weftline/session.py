@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +32,56 @@ def workers_find_us(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Folders of local applications whose session names none.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one machine has a folder of its own; a cluster has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            import tempfile
+
+            _OWN[app] = tempfile.mkdtemp(prefix="shared")
+        found = _OWN[app]
+    return found.rstrip("/")
+
+
+#: Spark's own switch to delete the shuffle files of a query that has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, which is computed once (checkpoint() would run the plan twice).
+
+    The shuffle files behind the table go as soon as it is written: it needs them no more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._weftline_table = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that checkpointed() made. Nothing that is still to be computed may read them."""
+    for made in tables:
+        spark = made.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(made._weftline_table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
