@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.operators import alignment, crossval, features, graph_query, graph_store, models, profile
 from weftline.plans import star_graph
-from weftline.session import read
+from weftline.session import checkpointed, read
 from weftline.sinks import graph_files
 from weftline.sources import evaluation_sets, extraction, pages
 
@@ -70,7 +70,8 @@ def text_graph(spark, sf) -> dict[str, DataFrame]:
     docs = read(spark, sf, "documents")
     first = docs.join(pages.document_rows(docs).select(F.col("filename").alias("doc_id")), "doc_id", "left_semi")
     chunks = pages.chunk_documents(first, name_col="doc_id")
-    answered = extraction.extract(chunks.select("id", "text"))
+    # entities, ends and relations are read off one table: each chunk is extracted once
+    answered = checkpointed(extraction.extract(chunks.select("id", "text")).select("id", "answer"))
     entities, relations = extraction.clean(answered)
     order = F.struct("chunk_id", "pos")
     e = graph_store.merge_entities(entities.withColumn("ord", order))
@@ -99,8 +100,9 @@ def text_graph_top(spark, sf):
 @query(_CHUNK_SQL.replace("{docs}", "documents") + _NAMES_SQL + "SELECT (SELECT count(*) FROM chunks) AS chunks_processed, (SELECT count(*) FROM found_e) AS entities_found, (SELECT count(*) FROM found_r) AS relations_found")
 def text_graph_ingest_totals(spark, sf):
     chunks = pages.chunk_documents(read(spark, sf, "documents"), name_col="doc_id")
-    e, r = extraction.clean(extraction.extract(chunks.select("id", "text")))
-    return graph_store.ingest_totals(chunks, e, r)
+    answered = checkpointed(extraction.extract(chunks.select("id", "text")).select("id", "answer"))
+    e, r = extraction.clean(answered)
+    return graph_store.ingest_totals(answered, e, r)
 
 
 @query("WITH l AS (SELECT sha256(text) AS file_hash, CAST(doc_id AS VARCHAR) AS filename, doc_id, n_chars FROM documents) SELECT file_hash, arg_max(filename, doc_id) AS filename, arg_min(n_chars, doc_id) AS chunks, min(doc_id) AS created_at, CASE WHEN count(*) > 1 THEN max(doc_id) END AS updated_at FROM l GROUP BY file_hash")

@@ -16,6 +16,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import text as X
 from weftline.schema import EXTRACTION
@@ -158,7 +159,7 @@ STRATEGIES: dict[str, Callable[[Caller], object]] = {
     "LLMGraphTransformer": DirectTriples,
     "KGGen": RefinedTriples,
     "GT2KG": VerifiedTriples,
-    "CurrentGraphRAG": lambda caller: GraphTriples(ClientExtractor(caller.ask, caller.model, fallback=caller.fallback, tries=caller.tries, wait=caller.wait, sleep=caller.sleep)),
+    "GraphTriples": lambda caller: GraphTriples(ClientExtractor(caller.ask, caller.model, fallback=caller.fallback, tries=caller.tries, wait=caller.wait, sleep=caller.sleep)),
 }
 
 
@@ -182,10 +183,19 @@ def extract_triples(texts: DataFrame, caller: Callable[[], Caller], methods: lis
     return texts.select(F.col("doc").cast("string").alias("doc"), "text").mapInArrow(run, "run string, doc string, idx int, subject string, predicate string, object string")
 
 
+def _texts(rows, names: tuple[str, ...]) -> list[dict]:
+    """Objects of an answer with the given keys as texts; whatever else stands in it goes."""
+    told = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    return [{n: told(row.get(n)) for n in names} for row in (rows if isinstance(rows, list) else []) if isinstance(row, dict)]
+
+
 def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor, seen=None) -> DataFrame:
     """`chunks` (id, text, ...) with `answer`: the raw entities and relations. One extractor a task; `seen`: an accumulator of chunks."""
     workers_find_us(chunks.sparkSession)
     at = chunks.columns.index("text")
+    ends, links = (tuple(f.name for f in EXTRACTION[name].dataType.elementType) for name in ("entities", "relations"))
+    of = lambda names: pa.list_(pa.struct([(n, pa.string()) for n in names]))
+    kind = pa.struct([("entities", of(ends)), ("relations", of(links))])
 
     def run(batches):
         extractor = make()
@@ -193,13 +203,12 @@ def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor,
             out = []
             for text in batch.column(at).to_pylist():
                 e, r = extractor.extract(text or "")
-                out.append(json.dumps({"entities": e, "relations": r}, ensure_ascii=False))
+                out.append({"entities": _texts(e, ends), "relations": _texts(r, links)})
             if seen is not None:
                 seen.add(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "raw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "answer"])
 
-    raw = chunks.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", raw string")
-    return raw.withColumn("answer", F.from_json("raw", EXTRACTION)).drop("raw")
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("answer", EXTRACTION)]))
 
 
 def clean(answered: DataFrame) -> tuple[DataFrame, DataFrame]:
