@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.session import checkpointed, release, shared_folder  # noqa: F401  the operators take them from here
+
 #: Rows are handed to Python code in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 
@@ -93,52 +94,6 @@ def shards_for(n_bytes: int, each: int, least: int = 1) -> int:
     return max(least, -(-n_bytes // each))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one machine has a folder of its own; a cluster has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Spark's own switch to delete the shuffle files of a query that has ended.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder, which is computed once (checkpoint() would run the plan twice).
-
-    The shuffle files behind the table go as soon as it is written: it needs them no more.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._weftline_table = path
-    return made
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that checkpointed() made. Nothing that is still to be computed may read them."""
-    for made in tables:
-        spark = made.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(made._weftline_table)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: A class is large if it holds more than one in so many of all rows, so fewer than so many classes are.
 LARGE_SHARE = 1000
 

@@ -34,14 +34,16 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are never article text.
 DROP = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select input textarea dialog menu audio video map".split())
-#: Names of classes, ids and roles that mark page furniture: as a whole name anywhere, as the first or last part of one outside articles; the second kind outside articles only.
-FURNITURE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer cookie cookies consent notice gdpr comment comments disqus share sharing social related recommended newsletter subscribe popup modal login search pagination pager".split())
+#: Names of classes, ids and roles of adverts, notices, menus beside the text and reader comments: as a whole name anywhere.
+ANYWHERE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner nav navbar navigation breadcrumb breadcrumbs sidebar footer cookie cookies consent notice gdpr comment comments disqus newsletter subscribe".split())
+#: Names that mark page furniture outside articles, as the first or last part of one too; inside they may be what the article is about.
+FURNITURE = ANYWHERE | frozenset("promo promotion menu share sharing social related recommended popup modal login search pagination pager".split())
 OUTSIDE = frozenset("header masthead topbar".split())
 #: An element of the first kind is closed by a start tag of the second.
 CLOSES = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-#: A comment, declaration or well-formed tag. No part of a tag runs over `<` or `>`, so each place is read a few times at most.
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"'=]*=[ \t\n]*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]*))*[^<>"'=]*)>)""", re.S)
+#: A comment (`<!-->` is a whole one), declaration or well-formed tag. No part of a tag runs over `<` or `>`, and attributes are never read another way once read, so each place is read a few times at most.
+_TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"'=]*+=[ \t\n]*+(?>"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]*+))*+[^<>"'=]*+)>)""", re.S)
 #: The beginning of a tag of any form, and one attribute of it.
 _OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)?(\s*=\s*)?""")
@@ -157,11 +159,11 @@ def parse(page: str) -> Node:
 
 def furniture(node: Node, inside: bool) -> bool:
     """Whether an element is none of the article's; `inside`: it stands in an article."""
-    if node.tag in DROP or node.marks & FURNITURE:
+    if node.tag in DROP or node.marks & ANYWHERE:
         return True
     if inside or not node.marks and node.tag != "header":
         return False
-    if node.tag == "header" or node.marks & OUTSIDE:
+    if node.tag == "header" or node.marks & (FURNITURE | OUTSIDE):
         return True
     return any({p[0], p[-1]} & (FURNITURE | OUTSIDE) for p in map(_SPLIT.split, node.marks))
 
