@@ -14,8 +14,10 @@ from weftline.operators.features import numbered, split
 def cross_validate(folded: DataFrame, k: int, fit: Callable[[DataFrame], Callable[[DataFrame], float]]) -> dict[str, object]:
     """Scores of k folds (column `fold`), with mean and population deviation. fit(train) returns a function of the test table."""
     cached = folded.persist()
-    scores = [fit(cached.where(F.col("fold") != i))(cached.where(F.col("fold") == i)) for i in range(k)]
-    cached.unpersist()
+    try:
+        scores = [fit(cached.where(F.col("fold") != i))(cached.where(F.col("fold") == i)) for i in range(k)]
+    finally:
+        cached.unpersist()
     return {"scores": scores, "mean": float(np.mean(scores)), "std": float(np.std(scores)), "min": min(scores), "max": max(scores)}
 
 
