@@ -316,3 +316,37 @@ def test_text_graph_extracts_each_chunk_once(spark, monkeypatch):
     once = seen.value
     assert "MapInArrow" not in top._jdf.queryExecution().executedPlan().toString()
     assert once == 2 * chunks  # the query's, and those of the second text_graph just above
+
+
+def test_within_against_enumeration(spark):
+    import random
+
+    rnd = random.Random(3)
+    for n, m, starts in ((6, 7, 1), (8, 11, 2), (7, 16, 3), (12, 12, 2)):
+        nodes = "abcdefghijkl"[:n]
+        edges = sorted({(rnd.choice(nodes), rnd.choice(nodes), rnd.choice("rst")) for _ in range(m)})
+        start = rnd.sample(nodes, starts)
+
+        def trails(at, used, left):
+            for e in edges:
+                if left and e not in used and at in e[:2]:
+                    to = e[1] if e[0] == at else e[0]
+                    yield to, len(used) + 1
+                    yield from trails(to, used | {e}, left - 1)
+
+        df = spark.createDataFrame(edges, "src string, tgt string, type string")
+        for hops in (1, 2, 3, 4):
+            want = {}
+            for s in start:
+                for node, k in trails(s, frozenset(), hops):
+                    want[node] = min(k, want.get(node, 99))
+            got = {r.id: r.hops for r in graph_query.within(df, spark.createDataFrame([(x,) for x in start] * 2, "id string"), hops).collect()}
+            assert got == want, (edges, start, hops)
+
+
+def test_sql_leaves_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("chunks")
+    tables = {"chunks": spark.range(1), "entities": spark.range(2)}
+    assert graph_query.run_sql(spark, tables, "SELECT (SELECT count(*) FROM chunks) + (SELECT count(*) FROM entities) AS n").first().n == 3
+    assert spark.table("chunks").count() == 3 and not spark.catalog.tableExists("entities")
+    spark.catalog.dropTempView("chunks")

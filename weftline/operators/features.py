@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.profile import CUTS, quantiles
+from weftline.session import checkpointed, release
 
 #: A column with more distinct values than this is no category.
 MOST_LEVELS = 10_000
@@ -118,6 +119,34 @@ def numbered(df: DataFrame, key: str, by: list[str] | None = None, name: str = "
     return joined.select(*df.columns, (F.col("_below") + F.col("_k") - 1).alias(name))
 
 
+#: Rows of a range of sorted keys.
+RANGE_ROWS = 500_000
+
+
+def running(df: DataFrame, keys: list[Column], sums: dict[str, str], *, ahead: list[str] | None = None) -> DataFrame:
+    """`df` with running sums over the order of `keys` (ties in any order, the row itself counts): {new name: column}.
+
+    Columns named in `ahead` get `next_{column}`, that of the row after; null for the last.
+    Rows are dealt by ranges of the keys; sums and firsts of the ranges, a row each, carry over,
+    so no task sorts all rows.
+    """
+    ahead = ahead or []
+    held = checkpointed(df)
+    ranges = -(-held.count() // RANGE_ROWS) or 1
+    names = [f"_k{i}" for i in range(len(keys))]
+    placed = held.select("*", *[k.alias(n) for k, n in zip(keys, names)]).repartitionByRange(ranges, *names).withColumn("_r", F.spark_partition_id())
+    placed = checkpointed(placed)
+    release(held)
+    first = lambda c: F.min_by(F.struct(c), F.struct(*names))[c]
+    totals = placed.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[first(c).alias(f"_f_{c}") for c in ahead], F.count(F.lit(1)).alias("_n"))
+    over = Window.orderBy("_r")  # a row for each range
+    below = totals.select("_r", *[(F.sum(f"_t_{n}").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"_t_{n}")).alias(f"_b_{n}") for n in sums], *[F.lead(f"_f_{c}").over(over).alias(f"_a_{c}") for c in ahead])
+    inside = Window.partitionBy("_r").orderBy(*names)
+    told = placed.select("*", *[F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, c in sums.items()], *[F.lead(c).over(inside).alias(f"_l_{c}") for c in ahead])
+    joined = told.join(below, "_r")
+    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.coalesce(f"_l_{c}", f"_a_{c}").alias(f"next_{c}") for c in ahead])
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int | None = None) -> DataFrame:
     """`df` with `fold`: each label's rows dealt in turn, by a numeric key or by a hash of it."""
     keyed = df.withColumn("_key", F.col(key) if seed is None else F.xxhash64(F.lit(seed), F.col(key)))
@@ -173,3 +202,18 @@ def tf_idf(counts: DataFrame, key: str, n_docs: int) -> DataFrame:
     raw = counts.join(df_, "word").withColumn("w", F.col("n") * (F.log((F.lit(1.0) + n_docs) / (1.0 + F.col("df"))) + 1.0))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "word", (F.col("w") / F.col("norm")).alias("tfidf"))
+
+
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """(word, id): the distinct words of (word, ...) with gapless numbers from 0 in the order of their code points; null is no word."""
+    words_ = counts.where(F.col("word").isNotNull()).select("word").distinct().withColumn("_one", F.lit(1))
+    return running(words_, [F.col("word")], {"id": "_one"}).select("word", (F.col("id") - 1).alias("id"))
+
+
+def count_vectors(counts: DataFrame, key: str, vocabulary_: DataFrame) -> DataFrame:
+    """(key, ids, counts): one sparse row per key of (key, word, n), ids ascending. Words outside the vocabulary, as of texts that it wasn't made of, don't count.
+
+    A row holds a text's distinct words; keys without a known word have none.
+    """
+    at = counts.join(vocabulary_.withColumnRenamed("id", "_id"), "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_id", "n"))).alias("v"))
+    return at.select(key, F.transform("v", lambda x: x["_id"]).alias("ids"), F.transform("v", lambda x: x["n"]).alias("counts"))

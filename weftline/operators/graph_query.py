@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import checkpointed
+
 
 def incidence(relations: DataFrame) -> DataFrame:
     """(id, other, type, out): each relation once from either end."""
@@ -69,24 +71,33 @@ def between_labels(entities: DataFrame, relations: DataFrame, a: str, b: str) ->
 
 
 def within(relations: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
-    """(id, hops): nodes at the end of a path of up to `hops` relations from `start` (id) that uses none twice.
-
-    Ways that end alike are merged as far as they used the same relations.
+    """(id, hops): nodes at the end of a path of up to `hops` relations from `start` (id) that uses none twice, with the fewest.
+
+    A search by breadth from all start nodes at once: each node is reached once and keeps its
+    start node and the first relation of its path, one row whatever the number of paths. A
+    shortest path uses nothing twice. Only a start node may be met again by a longer one, from
+    another start node or round a cycle: where a relation joins two nodes that were reached
+    from different ones, or by different first relations, their distances and it add up to
+    the length of such a path, and the shortest one is among those. Nulls in `start` reach nothing.
     """
-    edges = relations.select("src", "tgt", "type", F.xxhash64("src", "tgt", "type").alias("e"))
+    edges = checkpointed(relations.select("src", "tgt", F.xxhash64("src", "tgt", "type").alias("e")).distinct())
     ends = edges.select(F.col("src").alias("id"), F.col("tgt").alias("to"), "e").unionByName(edges.select(F.col("tgt").alias("id"), F.col("src").alias("to"), "e"))
-    front = start.select("id", F.array().cast("array<long>").alias("used")).distinct()
-    found = None
+    front = checkpointed(start.select("id").where("id is not null").distinct().select("id", F.col("id").alias("of"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("d")))
+    known = front
     for k in range(1, hops + 1):
-        step = front.join(ends, "id").where(~F.array_contains("used", F.col("e")))
-        if k == hops:
-            reached = step.select(F.col("to").alias("id")).distinct()
-        else:
-            front = step.select(F.col("to").alias("id"), F.array_sort(F.array_append("used", F.col("e"))).alias("used")).distinct()
-            reached = front.select("id").distinct()
-        reached = reached.withColumn("hops", F.lit(k))
-        found = reached if found is None else found.unionByName(reached)
-    return found.groupBy("id").agg(F.min("hops").alias("hops"))
+        step = front.join(ends, "id").select(F.col("to").alias("id"), "of", F.coalesce("first", "e").alias("first"))
+        new = step.groupBy("id").agg(F.min(F.struct("of", "first")).alias("v")).join(known.select("id"), "id", "left_anti")
+        front = checkpointed(new.select("id", "v.of", "v.first", F.lit(k).alias("d")))
+        known = known.unionByName(front)
+    side = lambda end, s: known.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{s}") for c in ("of", "first", "d")])
+    both = edges.join(side("src", "a"), "src").join(side("tgt", "b"), "tgt")
+    loop = F.col("src") == F.col("tgt")
+    # the relation by which a node was first reached from its start node makes no cycle with itself
+    way = lambda s: F.coalesce(f"first_{s}", "e")
+    meet = both.where(loop & (F.col("d_a") == 0) | ~loop & ((F.col("of_a") != F.col("of_b")) | (way("a") != way("b"))))
+    length = F.when(loop, 1).otherwise(F.col("d_a") + F.col("d_b") + 1)
+    again = meet.select(F.explode(F.array_distinct(F.array("of_a", "of_b"))).alias("id"), length.alias("hops")).groupBy("id").agg(F.min("hops").alias("hops")).where(F.col("hops") <= hops)
+    return known.where("d > 0").select("id", F.col("d").alias("hops")).unionByName(again)
 
 
 def subgraph(entities: DataFrame, relations: DataFrame, k: int = 150) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +131,15 @@ CATALOGUE = {
 
 
 def run_sql(spark: SparkSession, tables: dict[str, DataFrame], query: str, params: dict | None = None) -> DataFrame:
-    """A named or literal SQL query over the graph tables, with named parameters."""
+    """A named or literal SQL query over the graph tables, with named parameters. The caller's views of the same names are as before afterwards."""
+    before = {name: spark.table(name) for name in tables if any(t.isTemporary and t.name == name for t in spark.catalog.listTables())}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(CATALOGUE.get(query, query), args=params or {})
+    try:
+        return spark.sql(CATALOGUE.get(query, query), args=params or {})  # names are resolved here
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)

@@ -19,6 +19,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.features import running
+from weftline.session import checkpointed
 
 #: Classes of a naive Bayes model at most: a word's counts of all of them are one row.
 MOST_CLASSES = 1000
@@ -295,7 +297,99 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranked.agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def roc_curve(df: DataFrame, label: str, score: str, steps: int = 100) -> DataFrame:
-    """(threshold, fpr, tpr) at evenly spaced thresholds of a score from 0 to 1."""
-    swept = threshold_sweep(df, label, score, tuple(i / steps for i in range(steps + 1)))
-    return swept.select("threshold", F.coalesce(F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")), F.lit(0.0)).alias("fpr"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("tpr"))
+def roc_curve(df: DataFrame, label: str, score: str, steps: int | None = None) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score, from infinity down, or at evenly spaced thresholds of a score from 0 to 1.
+
+    Of the former, a point between two equal steps (as many of either label before it as
+    after) says nothing and is left out, the first and the last are not. Rows without label or
+    score don't count; a rate whose label no row has is 0.
+    """
+    if steps is not None:
+        swept = threshold_sweep(df, label, score, tuple(i / steps for i in range(steps + 1)))
+        return swept.select("threshold", F.coalesce(F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")), F.lit(0.0)).alias("fpr"), F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0)).alias("tpr"))
+    at = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    told = checkpointed(running(at, [-F.col("threshold")], {"tp": "pos", "fp": "neg"}, ahead=["pos", "neg"]))
+    ends = told.agg(F.max("tp").alias("p"), F.max("fp").alias("n"), F.max("threshold").alias("high"))
+    kept = told.join(F.broadcast(ends.select("high"))).where("next_pos is null or pos <> next_pos or neg <> next_neg or threshold = high").select("threshold", "tp", "fp")  # one row
+    begin = told.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
+    rate = lambda c, n: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(n)), F.lit(0.0))
+    return kept.unionByName(begin).join(F.broadcast(ends)).where("p is not null").select("threshold", rate("fp", "n").alias("fpr"), rate("tp", "p").alias("tpr"))  # one row
+
+
+@dataclass
+class TextBayes:
+    """Multinomial naive Bayes over words: (word, logs: one for each class) and the classes' priors, by class."""
+
+    words: DataFrame
+    classes: list
+    priors: list[float]
+    label: str
+
+    def predict(self, counts: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+        """`texts` with `prediction` and `probability` (by class) from their words (key, word, n). Unknown words don't count; a text without known ones has the priors.
+
+        Sums are taken per text; the words' table is broadcast if it is measured to be small,
+        joined by word otherwise. Equally likely classes: the least.
+        """
+        size = self.words.agg(F.sum(F.octet_length("word") + 8 * len(self.classes) + 16).cast("long")).first()[0] or 0
+        table = F.broadcast(self.words) if size <= BROADCAST_BYTES else self.words
+        at = counts.join(table, "word").groupBy(key).agg(*[F.sum(F.col("n") * F.col("logs")[i]).alias(f"_l{i}") for i in range(len(self.classes))])
+        joined = texts.join(at, key, "left")
+        logs = F.array(*[F.coalesce(f"_l{i}", F.lit(0.0)) + F.lit(p) for i, p in enumerate(self.priors)])
+        most = F.array_max("_logs")
+        # log-sum-exp around the largest
+        norm = most + F.log(F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("_logs"))))
+        told = joined.withColumn("_logs", logs).withColumn("_norm", norm)
+        place = F.array_position("_logs", most).cast("int")
+        return told.select(*texts.columns, F.element_at(F.lit(self.classes), place).alias("prediction"), F.transform("_logs", lambda x: F.exp(x - F.col("_norm"))).alias("probability"))
+
+
+#: A table of words is broadcast up to so many bytes.
+BROADCAST_BYTES = 8 << 20
+
+
+def text_bayes(counts: DataFrame, labels: DataFrame, label: str, alpha: float = 1.0) -> TextBayes:
+    """Naive Bayes from words (key, word, n, label) and the texts' labels (one row a text, also those without words)."""
+    sizes = sorted((r[0], r[1]) for r in labels.where(F.col(label).isNotNull()).groupBy(label).count().limit(MOST_CLASSES + 1).collect())
+    if len(sizes) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    if not sizes:
+        raise ValueError("no labelled text")
+    classes, n = [c for c, _ in sizes], sum(k for _, k in sizes)
+    of_word = checkpointed(counts.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col(label) == c, F.col("n"))), F.lit(0)).alias(f"_n{i}") for i, c in enumerate(classes)]))
+    size, *totals = of_word.agg(F.count(F.lit(1)), *[F.sum(f"_n{i}") for i in range(len(classes))]).first()
+    logs = F.array(*[F.log((F.col(f"_n{i}") + alpha) / F.lit(float((t or 0) + alpha * size))) for i, t in enumerate(totals)])
+    return TextBayes(checkpointed(of_word.select("word", logs.alias("logs"))), classes, [math.log(k / n) for _, k in sizes], label)
+
+
+def stopped_lasso(df: DataFrame, features: list[str], label: str, alpha: float, *, max_iter: int = 100, tol: float = 0.1, start: np.ndarray | None = None) -> tuple[np.ndarray, float, int]:
+    """(coefficients, intercept, rounds) of min |y - Xw|^2 / 2n + alpha |w|_1 by cyclic coordinate descent that stops early.
+
+    The table is read for its centred cross products only. A round updates each coefficient in
+    turn by the soft threshold; once no coefficient moved by more than `tol` of the largest,
+    or in the last round, the duality gap is compared with tol * |y|^2. `start`: the
+    coefficients to begin with, for a path over alphas.
+    """
+    n, mean, cross = _moments(df, [*features, label])
+    k = len(features)
+    w, rounds = _descend(cross[:k, :k], cross[:k, k], cross[k, k], alpha * n, max_iter, tol, start)
+    return w, float(mean[k] - mean[:k] @ w), rounds
+
+
+def _descend(q: np.ndarray, xy: np.ndarray, yy: float, penalty: float, max_iter: int, tol: float, start: np.ndarray | None) -> tuple[np.ndarray, int]:
+    w = np.zeros(len(xy)) if start is None else np.array(start, float)
+    for rounds in range(1, max_iter + 1):
+        moved = 0.0
+        for j in np.nonzero(np.diag(q) > 0)[0]:
+            pull = xy[j] - q[j] @ w + q[j, j] * w[j]
+            new = np.sign(pull) * max(abs(pull) - penalty, 0.0) / q[j, j]
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        largest = np.abs(w).max(initial=0.0)
+        if largest == 0 or moved < tol * largest or rounds == max_iter:
+            residual = yy - 2 * (w @ xy) + w @ q @ w
+            dual = np.abs(xy - q @ w).max(initial=0.0)
+            scale = penalty / dual if dual > penalty else 1.0
+            gap = 0.5 * residual * (1 + scale * scale) + penalty * np.abs(w).sum() - scale * (yy - w @ xy)
+            if gap < tol * yy:
+                break
+    return w, rounds

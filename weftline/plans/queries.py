@@ -822,6 +822,82 @@ def tree_cross_validation(spark, sf):
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got["scores"])], "fold int, accuracy double")
 
 
+_TRAINED = _TOKENS.replace("c AS (SELECT quality, word, count(*) AS n FROM t GROUP BY 1, 2)", "c AS (SELECT quality, word, count(*) AS n FROM t WHERE doc_id % 5 <> 0 GROUP BY 1, 2)")
+
+
+@query(
+    _TRAINED + ", z AS (SELECT quality, count(*) AS docs, (SELECT coalesce(sum(n), 0) FROM c WHERE c.quality = l.quality) AS total FROM labels l JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0 GROUP BY quality), v AS (SELECT count(DISTINCT word) AS v FROM c), w AS (SELECT DISTINCT word FROM c), "
+    "p AS (SELECT quality, word, ln((coalesce(n, 0) + 1) / (total + v)) AS lp FROM w CROSS JOIN z CROSS JOIN v LEFT JOIN c USING (quality, word)), "
+    "j AS (SELECT doc_id, p.quality, sum(lp) AS ll FROM t JOIN p USING (word) GROUP BY 1, 2), "
+    "s AS (SELECT l.doc_id, z.quality, ln(docs / (SELECT sum(docs) FROM z)) + coalesce(ll, 0) AS ll FROM (SELECT doc_id FROM labels JOIN documents USING (doc_id)) l CROSS JOIN z LEFT JOIN j ON j.doc_id = l.doc_id AND j.quality = z.quality) "
+    "SELECT doc_id, arg_min(quality, struct_pack(a := -ll, b := quality)) AS prediction, round(1 / (1 + exp(max(ll) FILTER (quality = 0) - max(ll) FILTER (quality = 1))), 6) AS p_1 FROM s GROUP BY doc_id"
+)
+def nb_predictions(spark, sf):
+    """Quality of every labelled document by its words, learned from four fifths of them."""
+    counts = _tokens(spark, sf)
+    labels = read(spark, sf, "labels").select("doc_id", "quality").join(read(spark, sf, "documents").select("doc_id"), "doc_id")
+    model = models.text_bayes(counts.where("doc_id % 5 <> 0"), labels.where("doc_id % 5 <> 0"), "quality")
+    made = model.predict(counts.select("doc_id", "word", "n"), labels.select("doc_id"), "doc_id")
+    return made.select("doc_id", "prediction", _r(F.col("probability")[1]).alias("p_1"))
+
+
+@query(_TOKENS + " SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM c)")
+def vocabulary(spark, sf):
+    return features.vocabulary(_tokens(spark, sf))
+
+
+@query(_TOKENS + ", v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM (SELECT DISTINCT word FROM c)), q AS (SELECT doc_id, word, count(*) AS n FROM t GROUP BY 1, 2) SELECT doc_id, count(*) AS n_words, md5(string_agg(id || ':' || n, ',' ORDER BY id)) AS entries FROM q JOIN v USING (word) GROUP BY doc_id")
+def count_vectors(spark, sf):
+    counts = _tokens(spark, sf)
+    v = features.count_vectors(counts.select("doc_id", "word", "n"), "doc_id", features.vocabulary(counts))
+    entries = F.array_join(F.zip_with("ids", "counts", lambda i, n: F.concat_ws(":", i.cast("string"), n.cast("string"))), ",")
+    return v.select("doc_id", F.size("ids").cast("long").alias("n_words"), F.md5(entries).alias("entries"))
+
+
+@query(
+    f"WITH s AS ({_SCORED}), a AS (SELECT score, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM s WHERE score IS NOT NULL GROUP BY score), "
+    "b AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, lead(p) OVER w AS np, lead(n) OVER w AS nn, max(score) OVER () AS high, sum(p) OVER () AS ps, sum(n) OVER () AS ns FROM a WINDOW w AS (ORDER BY score DESC)) "
+    "SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL SELECT round(score, 9), round(fp / ns, 6), round(tp / ps, 6) FROM b WHERE np IS NULL OR np <> p OR nn <> n OR score = high"
+)
+def roc_points(spark, sf):
+    got = models.roc_curve(_scored(spark, sf), "y", "score")
+    return got.select(F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(_r("threshold", 9)).alias("threshold"), _r("fpr").alias("fpr"), _r("tpr").alias("tpr"))
+
+
+@query(
+    "WITH RECURSIVE m AS (SELECT count(*) AS n, avg(p_partkey) AS ma, avg(p_size) AS mb, avg(p_retailprice) AS my FROM part), "
+    "c AS (SELECT n, ma, mb, my, var_pop(p_partkey) * n AS aa, var_pop(p_size) * n AS bb, covar_pop(p_partkey, p_size) * n AS ab, covar_pop(p_partkey, p_retailprice) * n AS ya, covar_pop(p_size, p_retailprice) * n AS yb, var_pop(p_retailprice) * n AS yy FROM part, m GROUP BY n, ma, mb, my), "
+    "w(alpha, i, a, b, done) AS (SELECT alpha, 0, 0.0::DOUBLE, 0.0::DOUBLE, false FROM (SELECT unnest([1.0, 10.0, 100.0, 200.0]::DOUBLE[]) AS alpha) "
+    "UNION ALL SELECT alpha, i + 1, a, b, (greatest(abs(a), abs(b)) = 0 OR greatest(abs(a - a0), abs(b - b0)) < 0.1 * greatest(abs(a), abs(b)) OR i + 1 = 100) "
+    "AND 0.5 * res * (1 + sc * sc) + pen * (abs(a) + abs(b)) - sc * (yy - a * ya - b * yb) < 0.1 * yy FROM ("
+    "SELECT *, yy - 2 * (a * ya + b * yb) + a * a * aa + 2 * a * b * ab + b * b * bb AS res, CASE WHEN greatest(abs(ya - aa * a - ab * b), abs(yb - ab * a - bb * b)) > pen THEN pen / greatest(abs(ya - aa * a - ab * b), abs(yb - ab * a - bb * b)) ELSE 1 END AS sc FROM ("
+    "SELECT *, sign(yb - ab * a) * greatest(abs(yb - ab * a) - pen, 0) / bb AS b FROM ("
+    "SELECT alpha, i, a AS a0, b AS b0, alpha * n AS pen, aa, bb, ab, ya, yb, yy, sign(ya - ab * b) * greatest(abs(ya - ab * b) - alpha * n, 0) / aa AS a FROM w, c WHERE NOT done AND i < 100)))) "
+    "SELECT alpha, round(a, 5) + 0.0 AS p_partkey, round(b, 4) + 0.0 AS p_size, round(my - a * ma - b * mb, 3) AS intercept, CAST(i AS INTEGER) AS rounds FROM (SELECT *, max(i) OVER (PARTITION BY alpha) AS last FROM w), m WHERE i = last"
+)
+def lasso_stopped(spark, sf):
+    """The path of a lasso that stops as soon as its duality gap is a tenth of the labels' sum of squares."""
+    p = read(spark, sf, "part")
+    rows = []
+    for alpha in (1.0, 10.0, 100.0, 200.0):
+        w, b, rounds = models.stopped_lasso(p, ["p_partkey", "p_size"], "p_retailprice", alpha)
+        rows.append((alpha, round(float(w[0]), 5) + 0.0, round(float(w[1]), 4) + 0.0, round(b, 3), rounds))
+    return spark.createDataFrame(rows, "alpha double, p_partkey double, p_size double, intercept double, rounds int")
+
+
+@query(
+    "WITH m AS (SELECT vec_id, CAST(label AS DOUBLE) AS label, unnest(range(len(embedding))) AS f, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), "
+    "e AS (SELECT 1e-9 * max(s) AS e FROM (SELECT var_pop(v) AS s FROM m GROUP BY f)), g AS (SELECT label, f, avg(v) AS mu, var_pop(v) + any_value(e) AS s FROM m, e GROUP BY label, f), "
+    "p AS (SELECT CAST(label AS DOUBLE) AS label, ln(count(*) / (SELECT count(*) FROM embeddings)) AS prior FROM embeddings GROUP BY 1), "
+    "j AS (SELECT vec_id, g.label, any_value(prior) + sum(-0.5 * ln(2 * pi() * s) - (v - mu) ** 2 / (2 * s)) AS ll FROM m JOIN g USING (f) JOIN p ON p.label = g.label GROUP BY vec_id, g.label) "
+    "SELECT vec_id, arg_max(label, ll) AS prediction, round(1 / sum(exp(ll - most)), 5) AS probability FROM (SELECT *, max(ll) OVER (PARTITION BY vec_id) AS most FROM j) GROUP BY vec_id"
+)
+def gaussian_nb_predictions(spark, sf):
+    v, cols = _vectors(spark, sf)
+    made = models.gaussian_nb(v, cols, "label").transform(models.assemble(v, cols))
+    return made.select("vec_id", "prediction", _r(F.array_max(models.vector_to_array("probability")), 5).alias("probability"))
+
+
 # --- more of the tabular toolkit
 
 
