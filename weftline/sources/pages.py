@@ -104,7 +104,7 @@ def not_yet_known(docs: DataFrame, known: DataFrame, *, hash_col: str = "file_ha
 
 
 def pdf_pages(raw: bytes) -> list[str]:
-    """Page texts of a PDF by an installed library (pypdf or pdfplumber)."""
+    """Page texts of a PDF by an installed library (pypdf or pdfplumber), else by the reader for text PDFs in pdf.py."""
     import io
 
     try:
@@ -113,7 +113,9 @@ def pdf_pages(raw: bytes) -> list[str]:
         try:
             import pdfplumber
         except ImportError:
-            raise RuntimeError("no PDF library is installed; pass a decoder of your own to load_files") from None
+            from weftline.sources.pdf import page_texts
+
+            return page_texts(raw)
         with pdfplumber.open(io.BytesIO(raw)) as found:
             return [page.extract_text() or "" for page in found.pages]
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(raw)).pages]
