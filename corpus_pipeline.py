@@ -7,13 +7,11 @@ columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
-from weftline.llm.common import fresh, shared_folder, table
+from weftline.llm.common import checkpointed, fresh, release, table
 from weftline.llm.queries import tokenizer_path
 
 
@@ -59,10 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; between two the rows lie in the shared folder of the cluster."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over `documents`. Between two the rows lie as Parquet in the shared folder of the cluster, until the next has been written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        made = checkpointed(stage(spark, docs, sf_dir))
+        if k:
+            release(docs)
+        docs = made
     return docs
