@@ -106,3 +106,29 @@ def test_checkpointed_without_any_setting(tmp_path):
     env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": os.pathsep.join([os.getcwd(), os.environ.get("PYTHONPATH", "")])}
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=240, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_many_columns_as_matrix_products(spark, monkeypatch):
+    from weftline.operators import profile
+
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(50, 5)) + 1000
+    rows = [(*(float(v) if rnd.random() > 0.1 else None for v in r[:4]), float(r[4]), 3.0) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, same double").repartition(3)
+    whole = df.where("a is not null and b is not null and c is not null and d is not null")
+    told = lambda: {(r.a, r.b): r["corr"] for r in profile.correlations(df, ["a", "b", "e", "same"]).collect()}
+    plain, fit, v = told(), models.ols(whole, ["a", "b"], "e"), models.vif(whole, ["a", "b", "c"])
+    for module in (profile, models):
+        monkeypatch.setattr(module, "MOST_EXPRESSIONS", 0)
+    made = told()
+    assert all(made[k] == pytest.approx(plain[k]) if plain[k] is not None else made[k] is None for k in plain) and set(made) == set(plain)
+    again = models.ols(whole, ["a", "b"], "e")
+    assert again.coefficients == pytest.approx(fit.coefficients) and again.r2 == pytest.approx(fit.r2) and models.vif(whole, ["a", "b", "c"]) == pytest.approx(v)
+
+
+def test_threshold_sweep(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 1, None]), rnd.choice([None, *[i / 10 for i in range(11)]])) for _ in range(80)]
+    got = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in models.threshold_sweep(spark.createDataFrame(rows, "y int, s double"), "y", "s", (0.7, 0.3, 0.3, 2.0)).collect()}
+    kept = [(y, s) for y, s in rows if y is not None and s is not None]
+    assert got == {t: tuple(sum(1 for y, s in kept if (y, s >= t) == c) for c in ((1, True), (0, True), (1, False), (0, False))) for t in (0.3, 0.7, 2.0)}

@@ -41,10 +41,10 @@ def table(spark, x, y):
     return spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], ", ".join(f"f{i} double" for i in range(x.shape[1])) + ", y double")
 
 
-@pytest.mark.parametrize("seed,values,max_depth", [(0, 4, None), (1, 1000, None), (2, 3, 2), (3, 2, None)])
+@pytest.mark.parametrize("seed,values,max_depth", [(1, 40, None), (2, 3, 2)])
 def test_tree_against_plain_recursion(spark, seed, values, max_depth, monkeypatch):
     rnd = np.random.default_rng(seed)
-    x, y = rnd.integers(0, values, (120, 3)) / 7, rnd.integers(0, 3, 120)
+    x, y = rnd.integers(0, values, (70, 3)) / 7, rnd.integers(0, 3, 70)
     y = np.where(x[:, 0] > x[:, 1], y, 5)
     df = table(spark, x, y)
     want = plain_tree(x, y, max_depth)

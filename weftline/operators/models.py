@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.features import running
+from weftline.operators.profile import MOST_EXPRESSIONS, pair_sums
 from weftline.session import checkpointed
 
 #: Classes of a naive Bayes model at most: a word's counts of all of them are one row.
@@ -83,6 +84,8 @@ def student_p(t: float, free: int) -> float:
 def _moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, means and centred cross products of columns: two aggregates, the second around the means of the first."""
     n, *means = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols]).first()
+    if len(cols) > MOST_EXPRESSIONS:
+        return n, np.array(means, float), pair_sums(df, cols, [m or 0.0 for m in means])["p"]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     at = [F.col(c) - F.lit(m) for c, m in zip(cols, means)]
     sums = df.agg(*[F.sum(at[i] * at[j]) for i, j in pairs]).first()
@@ -134,11 +137,14 @@ def top_coefficients(features: list[str], coefficients, k: int = 10) -> list[tup
 
 def vif(df: DataFrame, features: list[str]) -> dict[str, float]:
     """Variance inflation with uncentred R2 (the regressions have no constant)."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    sums = df.agg(*[F.sum(F.col(features[i]).cast("double") * F.col(features[j])) for i, j in pairs]).first()
-    m = np.zeros((len(features),) * 2)
-    for (i, j), v in zip(pairs, sums):
-        m[i, j] = m[j, i] = v
+    if len(features) > MOST_EXPRESSIONS:
+        m = pair_sums(df, features, [0.0] * len(features))["p"]
+    else:
+        pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+        sums = df.agg(*[F.sum(F.col(features[i]).cast("double") * F.col(features[j])) for i, j in pairs]).first()
+        m = np.zeros((len(features),) * 2)
+        for (i, j), v in zip(pairs, sums):
+            m[i, j] = m[j, i] = v
     out = {}
     for i, f in enumerate(features):
         rest = [j for j in range(len(features)) if j != i]
@@ -261,21 +267,31 @@ def confusion(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.groupBy(F.col(label).alias("label")).agg(F.count_if(F.col(prediction) == 0).alias("predicted_0"), F.count_if(F.col(prediction) == 1).alias("predicted_1"))
 
 
-def binary_metrics(df: DataFrame, label: str, prediction: Column, *by: str) -> DataFrame:
-    """accuracy, precision, recall, f1 (0 where undefined), per group if any."""
+def _rates(counted: DataFrame, *by: str) -> DataFrame:
     from weftline.operators.alignment import prf
 
-    y, p = F.col(label) == 1, prediction == 1
-    counted = (df.groupBy(*by) if by else df).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
     pr, rc, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return counted.select(*by, "tp", "fp", "fn", "tn", ((F.col("tp") + F.col("tn")) / n).alias("accuracy"), pr.alias("precision"), rc.alias("recall"), f1.alias("f1"))
 
 
+def binary_metrics(df: DataFrame, label: str, prediction: Column, *by: str) -> DataFrame:
+    """accuracy, precision, recall, f1 (0 where undefined), per group if any."""
+    y, p = F.col(label) == 1, prediction == 1
+    counted = (df.groupBy(*by) if by else df).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    return _rates(counted, *by)
+
+
 def threshold_sweep(df: DataFrame, label: str, score: str, thresholds=(0.3, 0.5, 0.7)) -> DataFrame:
-    """binary_metrics at each threshold, in one pass: every row is counted at all of them."""
-    wide = df.select(label, score, F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
-    return binary_metrics(wide, label, (F.col(score) >= F.col("threshold")).cast("int"), "threshold")
+    """binary_metrics at each threshold. Rows are counted once, by how many thresholds their score reaches; the counts are few."""
+    at = sorted(set(thresholds))
+    told = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    reached = F.size(F.filter(F.lit(at), lambda t: F.col(score) >= t))
+    counts = told.groupBy(F.col(label).alias("_y"), reached.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    wide = counts.select("_y", "_b", "_n", F.posexplode(F.lit(at)).alias("_i", "threshold"))
+    y, p = F.col("_y") == 1, F.col("_b") > F.col("_i")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0).cast("long"))
+    return _rates(wide.groupBy("threshold").agg(total(y & p).alias("tp"), total(~y & p).alias("fp"), total(y & ~p).alias("fn"), total(~y & ~p).alias("tn")), "threshold")
 
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:

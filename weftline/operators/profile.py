@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import workers_find_us
 
 #: Cut points of a sketch: a column's values are ranked within so many ranges, whatever their number.
 CUTS = 200
@@ -85,9 +88,54 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return counted.join(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("_total")).alias("share")).orderBy(F.desc("n"), col)  # one row
 
 
+#: With more columns than this, sums over pairs of columns are made as matrix products instead of an expression a pair.
+MOST_EXPRESSIONS = 24
+
+
+def pair_sums(df: DataFrame, cols: list[str], centres: list[float]) -> dict[str, np.ndarray]:
+    """Over the rows that have both columns of a pair: their number (n), and the sums of the first (s), its square (q) and the product (p), of values less their centres.
+
+    Each task multiplies its batches and puts out a row a column; rows of a column meet to be
+    added. Only the four matrices of columns by columns reach the driver.
+    """
+    k = len(cols)
+    workers_find_us(df.sparkSession)
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    shift = np.array(centres, float)
+
+    def partial(batches):
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.where(there > 0, x - shift, 0.0)
+            total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(total.transpose(1, 0, 2).reshape(k, 4 * k)), pa.list_(pa.float64()))], names=["i", "sums"])
+
+    def added(key, table):
+        rows = np.concatenate([c.flatten().to_numpy() for c in table.column("sums").chunks]).reshape(-1, 4 * k)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([rows.sum(0)], pa.list_(pa.float64()))], names=["i", "sums"])
+
+    found = values.mapInArrow(partial, "i int, sums array<double>").groupBy("i").applyInArrow(added, "i int, sums array<double>").collect()
+    made = np.zeros((4, k, k))
+    for r in found:  # one row a column
+        made[:, r["i"]] = np.array(r["sums"]).reshape(4, k)
+    return dict(zip("nsqp", made))
+
+
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, corr) for all pairs of columns, in one aggregate."""
+    """(a, b, corr) for all pairs of columns over the rows that have both; null where one doesn't vary."""
     pairs = list(combinations_with_replacement(cols, 2))
+    if len(cols) > MOST_EXPRESSIONS:
+        means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in cols]).first()
+        m = pair_sums(df, cols, [x or 0.0 for x in means])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = m["p"] - m["s"] * m["s"].T / m["n"]
+            own = m["q"] - m["s"] ** 2 / m["n"]
+            corr = both / np.sqrt(own * own.T)
+        at = {c: i for i, c in enumerate(cols)}
+        told = [(a, b, float(corr[at[a], at[b]])) for a, b in pairs]
+        return df.sparkSession.createDataFrame([(a, b, v if np.isfinite(v) else None) for a, b, v in told], "a string, b string, corr double")
     one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*rows)).alias("v")).select("v.*")

@@ -33,23 +33,24 @@ def suppliers(spark: SparkSession, sf: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", _id("CUSTOMER", F.col("c_name")).alias("customer_id"))
     return o.join(c, "o_custkey")
 
 
 def entity_log(spark: SparkSession, sf: str) -> DataFrame:
     """(ord, chunk_id, id, name, type, description): one row per chunk and entity."""
     o, l = orders(spark, sf), lines(spark, sf)  # noqa: E741
-    # lines are combined by their integer keys; names come to what is left
-    of_part = l.groupBy(F.col("l_orderkey").alias("ord"), "l_partkey").agg(F.max("l_returnflag").alias("flag")).join(parts(spark, sf), "l_partkey")
-    rows = of_part.select("ord", F.col("part").alias("name"), F.concat_ws(" ", "p_brand", "flag").alias("description"), F.lit("PART").alias("type"))
-    of_supplier = l.groupBy(F.col("l_orderkey").alias("ord"), "l_suppkey").agg(F.max("l_linestatus").alias("description")).join(suppliers(spark, sf), "l_suppkey")
-    rows = rows.unionByName(of_supplier.select("ord", F.col("supplier").alias("name"), "description", F.lit("SUPPLIER").alias("type")))
-    rows = rows.unionByName(o.select(F.col("o_orderkey").alias("ord"), F.col("c_name").alias("name"), F.col("o_orderpriority").alias("description"), F.lit("CUSTOMER").alias("type")))
+    # lines are combined by their integer keys; names and ids, made once a part, supplier or customer, come to what is left
+    part = parts(spark, sf).withColumn("id", _id("PART", F.col("part")))
+    supplier = suppliers(spark, sf).withColumn("id", _id("SUPPLIER", F.col("supplier")))
+    of_part = l.groupBy(F.col("l_orderkey").alias("ord"), "l_partkey").agg(F.max("l_returnflag").alias("flag")).join(part, "l_partkey")
+    rows = of_part.select("ord", "id", F.col("part").alias("name"), F.concat_ws(" ", "p_brand", "flag").alias("description"), F.lit("PART").alias("type"))
+    of_supplier = l.groupBy(F.col("l_orderkey").alias("ord"), "l_suppkey").agg(F.max("l_linestatus").alias("description")).join(supplier, "l_suppkey")
+    rows = rows.unionByName(of_supplier.select("ord", "id", F.col("supplier").alias("name"), "description", F.lit("SUPPLIER").alias("type")))
+    rows = rows.unionByName(o.select(F.col("o_orderkey").alias("ord"), F.col("customer_id").alias("id"), F.col("c_name").alias("name"), F.col("o_orderpriority").alias("description"), F.lit("CUSTOMER").alias("type")))
     rows = rows.withColumn("chunk_id", F.concat(F.lit("order_"), F.col("ord").cast("string")))
-    fixed = lambda t, col, kind: read(spark, sf, t).select(F.lit(0).cast("long").alias("ord"), F.col(col).alias("name"), F.lit("").alias("description"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("chunk_id"))
-    rows = rows.unionByName(fixed("nation", "n_name", "NATION")).unionByName(fixed("region", "r_name", "REGION"))
-    return rows.withColumn("id", X.canonical_id(F.concat_ws(" ", "type", "name")))
+    fixed = lambda t, col, kind: read(spark, sf, t).select(F.lit(0).cast("long").alias("ord"), _id(kind, F.col(col)).alias("id"), F.col(col).alias("name"), F.lit("").alias("description"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("chunk_id"))
+    return rows.unionByName(fixed("nation", "n_name", "NATION")).unionByName(fixed("region", "r_name", "REGION"))
 
 
 def relation_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +58,7 @@ def relation_log(spark: SparkSession, sf: str) -> DataFrame:
     l, o = lines(spark, sf), orders(spark, sf)  # noqa: E741
     part = parts(spark, sf).select("l_partkey", _id("PART", F.col("part")).alias("tgt"))
     supplier = suppliers(spark, sf).select("l_suppkey", _id("SUPPLIER", F.col("supplier")).alias("src"))
-    customer = o.select(F.col("o_orderkey").alias("ord"), _id("CUSTOMER", F.col("c_name")).alias("src"), F.col("o_orderstatus").alias("description"))
+    customer = o.select(F.col("o_orderkey").alias("ord"), F.col("customer_id").alias("src"), F.col("o_orderstatus").alias("description"))
     bought = l.select(F.col("l_orderkey").alias("ord"), "l_partkey").distinct().join(customer, "ord").join(part, "l_partkey")
     bought = bought.select("ord", "src", "tgt", F.lit("ORDERED").alias("type"), "description")
     sold = l.groupBy(F.col("l_orderkey").alias("ord"), "l_suppkey", "l_partkey").agg(F.min("l_returnflag").alias("description")).join(part, "l_partkey").join(supplier, "l_suppkey")
