@@ -201,15 +201,27 @@ def test_shipped_iris(spark):
     iris = read_csv(spark, f"{SHIPPED}/KFold_Cross_Validation/iris.csv", "iris")
     names = ["sepal_length", "sepal_width", "petal_length", "petal_width"]
     label = F.when(F.col("variety") == "Setosa", 0.0).when(F.col("variety") == "Versicolor", 1.0).otherwise(2.0)
-    df = features.numbered(iris.withColumn("label", label).withColumn("k", F.xxhash64(*names)), "k", name="id").persist()
+    rows = [tuple(r) for r in iris.withColumn("label", label).select(*names, "label").collect()]
+
+    def folds(k):
+        """The published folds: rows in a shuffled order, dealt in blocks."""
+        order = np.arange(len(rows))
+        np.random.RandomState(1).shuffle(order)
+        fold = np.empty(len(rows), int)
+        for i, block in enumerate(np.array_split(order, k)):
+            fold[block] = i
+        return spark.createDataFrame([(i, *r, int(f)) for i, (r, f) in enumerate(zip(rows, fold))], "id int, " + ", ".join(f"{n} double" for n in names) + ", label double, fold int")
+
+    df = folds(5).persist()
 
     def fit(train):
         model = trees.exact_tree(train, names, "label")
         return lambda test: crossval.accuracy(model.transform(test), "label")
 
-    # the published means are of another library's folds and ties: 0.933 and 0.947
-    assert crossval.cross_validate(crossval.shuffled_folds(df, "id", 5, 1), 5, fit)["mean"] == pytest.approx(0.933, abs=0.03)
-    assert crossval.cross_validate(features.stratified_folds(df, "label", "id", 5, 1), 5, fit)["mean"] == pytest.approx(0.947, abs=0.03)
+    three = crossval.cross_validate(folds(3), 3, fit)
+    assert (round(three["mean"], 3), round(three["std"], 3)) == (0.92, 0.028)
+    # published: .967 .967 .967 .933 .833; the last differs by a row, where equally good splits are taken in another order
+    assert [round(s, 3) for s in crossval.cross_validate(df, 5, fit)["scores"]] == [0.967, 0.967, 0.967, 0.933, 0.867]
     spread = crossval.split_sensitivity(df, "id", 30, [0, 1], fit)
     assert 0.85 < spread["min"] <= spread["max"] <= 1.0
     df.unpersist()

@@ -6,7 +6,7 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import workers_find_us
@@ -136,7 +136,13 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
         at = {c: i for i, c in enumerate(cols)}
         told = [(a, b, float(corr[at[a], at[b]])) for a, b in pairs]
         return df.sparkSession.createDataFrame([(a, b, v if np.isfinite(v) else None) for a, b, v in told], "a string, b string, corr double")
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+
+    def corr(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        # corr() fails where a column doesn't vary
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+    one = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.explode(F.array(*rows)).alias("v")).select("v.*")
 
