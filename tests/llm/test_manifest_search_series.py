@@ -134,6 +134,8 @@ def plain_manifest(rows, fields):
 def test_manifest(spark, n, depth, monkeypatch):
     monkeypatch.setattr(merkle, "RANGE_ROWS", 17)
     monkeypatch.setattr(merkle, "BATCH_ROWS", 20)
+    if depth == 1:
+        monkeypatch.setattr(merkle, "BROADCAST_BYTES", -1)  # proofs are joined by bucket
     rnd = random.Random(n + depth)
     pick = lambda *xs: rnd.choice(xs)
     rows = [{"doc_id": i, "source": pick("hot", "hot", "hot", "b", "Ä", None, f"one{i}"), "lang": pick("en", None), "n_chars": pick(i, None), "text": pick("a\nb", "", None, "é" * 50, "\n")} for i in range(n)]
