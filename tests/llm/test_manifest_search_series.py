@@ -61,6 +61,9 @@ def test_top_k_awkward(spark):
     got = sorted(tuple(r) for r in top_k.top_k(spark.createDataFrame(rows, kind), F.col("vec_id") == 0).collect())
     # floor(64 * 0.01) is 0; a shorter vector goes on with 0; repeated candidates count each
     assert got == [(0, 1, 6, 0), (0, 2, 7, 0), (0, 3, 7, 0), (0, 4, 8, 0), (0, 5, 5, -2048)]
+    many = spark.createDataFrame([(0, [1.0])] + [(3, [0.5])] * 50 + [(2, [0.5]), (1, [0.25])] + [(0, [1.0])] * 9, kind)
+    got = [tuple(r) for r in top_k.top_k(many, F.col("vec_id") == 0, k=4).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 2048), (0, 2, 3, 2048), (0, 3, 3, 2048), (0, 4, 3, 2048)]
     assert top_k.top_k(spark.createDataFrame([], kind), F.col("vec_id") == 0).count() == 0
     assert top_k.top_k(spark.createDataFrame(rows, kind), F.lit(False)).count() == 0
     assert top_k.top_k(spark.createDataFrame([(0, [1.0])], kind), F.lit(True)).count() == 0

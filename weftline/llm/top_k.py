@@ -176,7 +176,7 @@ def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector
     of its candidates; a repeated query is asked once, repeated candidates count each. A query
     with fewer candidates has fewer rows. Other columns aren't read. An empty table gives none.
 
-    Data movement: each block of candidates once for each block of queries, integers only;
+    Data movement: distinct rows once, then each block of candidates once for each block of queries, integers only;
     lists of k are merged in steps of bounded size. The index of a block is made where it is
     used and holds about twice its rows.
     """
@@ -186,9 +186,10 @@ def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector
     blocks, groups = -(-n // block) or 1, -(-asked // per_task) or 1
     dealt = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id", "v"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-    candidates = sound.select("id", "v", dealt(1, blocks).alias("b"), every(groups).alias("g"))
-    asking = sound.where("asks").dropDuplicates(["id", "v"]).select(F.col("id").alias("query_id"), F.col("v").alias("w"), dealt(2, groups).alias("g"), every(blocks).alias("b"))
-
+    # equal rows move once, with their number, so that no block holds them all
+    rows = sound.groupBy("id", "v").agg(F.count(F.lit(1)).alias("m"), F.max("asks").alias("asks"))
+    candidates = rows.select("id", "v", F.least("m", F.lit(k)).alias("m"), dealt(1, blocks).alias("b"), every(groups).alias("g"))
+    asking = rows.where("asks").select(F.col("id").alias("query_id"), F.col("v").alias("w"), dealt(2, groups).alias("g"), every(blocks).alias("b"))
     made = pa.schema([(name, pa.int64()) for name in ("query_id", "vec_id", "score", "b")])
 
     def meet(c: pa.Table, q: pa.Table) -> pa.Table:
@@ -198,7 +199,8 @@ def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector
         width = max(int(np.diff(chunk.offsets.to_numpy()).max(initial=0)) for x in (c.column("v"), q.column("w")) for chunk in x.chunks)
         asks = q.column("query_id").to_numpy()
         at = c.column("b")[0].as_py()
-        found = block_top_k(c.column("id").to_numpy(), _matrix(c.column("v"), width), asks, _matrix(q.column("w"), width), k)
+        copies = np.repeat(np.arange(c.num_rows), c.column("m").to_numpy())  # more than k of a row can't be among k
+        found = block_top_k(c.column("id").to_numpy()[copies], _matrix(c.column("v"), width)[copies], asks, _matrix(q.column("w"), width), k)
         ids, scores = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found.ids, found.scores))
         return pa.table([np.repeat(asks, [len(x) for x in found.ids]), ids, scores, np.full(len(ids), at)], schema=made)
 
