@@ -350,3 +350,17 @@ def test_sql_leaves_views_alone(spark):
     assert graph_query.run_sql(spark, tables, "SELECT (SELECT count(*) FROM chunks) + (SELECT count(*) FROM entities) AS n").first().n == 3
     assert spark.table("chunks").count() == 3 and not spark.catalog.tableExists("entities")
     spark.catalog.dropTempView("chunks")
+
+
+def test_star_graph_tasks_grow_with_the_lines(spark, monkeypatch):
+    """A task's rows stay as they are when the tables grow: the number of tasks comes from that of the lines."""
+    from weftline.plans import star_graph
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(star_graph, "LINES", 200, raising=False)
+    log = star_graph.relation_log(spark, sf)
+    per_task = [r[1] for r in log.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) > 5_000 and max(per_task) < 1_000
+    mentions = star_graph.tables(spark, sf)["mentions"]
+    per_task = [r[1] for r in mentions.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) > 5_000 and max(per_task) < 1_000

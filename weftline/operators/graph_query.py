@@ -58,8 +58,9 @@ def edge_list(entities: DataFrame, relations: DataFrame, k: int | None = 100) ->
 def provenance(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Document, chunk and entity along the path that leads from one to the other."""
     d = documents.select(F.col("file_hash").alias("doc_hash"), "filename")
-    c = chunks.select(F.col("id").alias("chunk_id"), "doc_hash")
-    return mentions.join(c, "chunk_id").join(d, "doc_hash").join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("filename", "chunk_id", "entity_id", "name")
+    # chunks meet their documents first: there are fewer of them than mentions, and no hash goes along with those
+    c = chunks.select(F.col("id").alias("chunk_id"), "doc_hash").join(d, "doc_hash").select("chunk_id", "filename")
+    return mentions.join(c, "chunk_id").join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("filename", "chunk_id", "entity_id", "name")
 
 
 def between_labels(entities: DataFrame, relations: DataFrame, a: str, b: str) -> DataFrame:
