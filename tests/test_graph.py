@@ -364,3 +364,28 @@ def test_star_graph_tasks_grow_with_the_lines(spark, monkeypatch):
     mentions = star_graph.tables(spark, sf)["mentions"]
     per_task = [r[1] for r in mentions.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) > 5_000 and max(per_task) < 1_000
+
+
+def test_workers_hold_slices_of_batches(spark):
+    """What is extracted is handed on every few chunks, so a worker's memory doesn't grow with its batch."""
+    import pyarrow as pa
+
+    from weftline.session import SLICE, slices
+
+    batch = pa.record_batch({"id": list(range(1000))})
+    pieces = list(slices(batch))
+    assert max(p.num_rows for p in pieces) == SLICE and pa.Table.from_batches(pieces).column("id").to_pylist() == list(range(1000))
+
+    class Rows(list):
+        most = 0
+
+        def add(self, n):
+            Rows.most = max(Rows.most, n)
+
+    chunks = spark.createDataFrame([(str(i), "Anna met Bernd. Anna saw Bernd.") for i in range(300)], "id string, text string")
+    taken = {}
+    chunks.mapInArrow = lambda f, schema: taken.update(run=f)
+    seen = Rows()
+    extraction.extract(chunks, seen=seen)
+    out = list(taken["run"]([pa.record_batch({"id": [str(i) for i in range(300)], "text": ["Anna met Bernd. Anna saw Bernd."] * 300})]))
+    assert Rows.most <= SLICE and sum(b.num_rows for b in out) == 300 and len(out) > 1

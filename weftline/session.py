@@ -30,6 +30,15 @@ def workers_find_us(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, here) if x)
 
 
+#: Rows of a batch that become Python objects at a time.
+SLICE = 64
+
+
+def slices(batch):
+    """An Arrow batch in pieces of SLICE rows: what a worker makes of rows is then bounded, however many a batch has."""
+    return (batch.slice(at, SLICE) for at in range(0, batch.num_rows, SLICE))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import text as X
 from weftline.schema import EXTRACTION
-from weftline.session import workers_find_us
+from weftline.session import slices, workers_find_us
 
 
 class Extractor(Protocol):
@@ -199,14 +199,15 @@ def extract(chunks: DataFrame, make: Callable[[], Extractor] = OfflineExtractor,
 
     def run(batches):
         extractor = make()
-        for batch in batches:
-            out = []
-            for text in batch.column(at).to_pylist():
-                e, r = extractor.extract(text or "")
-                out.append({"entities": _texts(e, ends), "relations": _texts(r, links)})
-            if seen is not None:
-                seen.add(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "answer"])
+        for whole in batches:
+            for batch in slices(whole):
+                out = []
+                for text in batch.column(at).to_pylist():
+                    e, r = extractor.extract(text or "")
+                    out.append({"entities": _texts(e, ends), "relations": _texts(r, links)})
+                if seen is not None:
+                    seen.add(batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "answer"])
 
     return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, T.StructField("answer", EXTRACTION)]))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import workers_find_us
+from weftline.session import slices, workers_find_us
 
 CHUNK_SIZE = 1200
 _HYPHEN = re.compile(r"(\w+)-\n(\w+)")
@@ -63,7 +63,7 @@ def chunk_documents(docs: DataFrame, *, text_col: str = "text", name_col: str |
     base = docs.select(F.sha2(F.col(text_col), 256).alias("doc_hash"), name.alias("filename"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             rows = []
             for h, n, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for i, a, z, chunk in split_pages((text or "").split(separator), size):
