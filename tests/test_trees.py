@@ -70,3 +70,35 @@ def test_tree_edges(spark):
         trees.exact_tree(spark.createDataFrame([(1.0, 1.0), (None, 0.0)], "f0 double, y double"), ["f0"], "y")
     near = np.nextafter(1.0, 2.0)
     assert nested(trees.exact_tree(table(spark, np.array([[1.0], [near]]), np.array([0, 1])), ["f0"], "y")) == (0, 1.0, 0.0, 1.0)
+
+
+def test_levels_leave_rows_where_they_are(spark, monkeypatch):
+    """A level of large nodes writes counts of ranges, not all rows and values again."""
+    rnd = np.random.default_rng(3)
+    x = rnd.random((2000, 3))
+    y = (x[:, 0] > 0.5) * 6 + (x[:, 1] > 0.3) * 3 + (x[:, 2] * 12 > rnd.integers(0, 12, 2000))
+    monkeypatch.setattr(trees, "RANGE_ROWS", 200)
+    written, kept = [], trees.checkpointed
+
+    def counted(df):
+        made = kept(df)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(trees, "checkpointed", counted)
+    model = trees.exact_tree(table(spark, x, y), ["f0", "f1", "f2"], "y", max_depth=3, local_rows=400)
+    assert written[0] == 2000 and model.nodes.where("tree = 0 and feature is not null").count() >= 3
+    assert sum(written[1:]) < 1000
+    assert nested(model) == nested(trees.exact_tree(table(spark, x, y), ["f0", "f1", "f2"], "y", max_depth=3))
+
+
+@pytest.mark.parametrize("k", [4, 12])
+def test_no_cut_beats_its_bound(k):
+    rnd = np.random.default_rng(k)
+    for _ in range(50):
+        y = rnd.integers(0, rnd.integers(2, k + 1), 60)
+        a, b = sorted(rnd.integers(1, 59, 2))
+        upto = np.cumsum(np.eye(k, dtype=np.int64)[y], axis=0)
+        total, before, c = upto[-1], upto[a - 1], upto[b - 1] - upto[a - 1]
+        bound = trees._bounds(before[None], c[None], total)[0]
+        assert bound >= trees._purity(upto[a - 1 : b], total).max() * (1 - 1e-9)
