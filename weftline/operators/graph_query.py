@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from weftline.session import checkpointed
 
 
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """`df` by keys over so many tasks, where a caller knows how many it takes: a join or an aggregate by these keys keeps them."""
+    return df if tasks is None else df.repartition(tasks, *keys)
+
+
 def incidence(relations: DataFrame) -> DataFrame:
     """(id, other, type, out): each relation once from either end."""
     one = relations.select(F.col("src").alias("id"), F.col("tgt").alias("other"), "type", F.lit(True).alias("out"))
@@ -55,23 +60,23 @@ def edge_list(entities: DataFrame, relations: DataFrame, k: int | None = 100) ->
     return r.join(s, "src").join(t, "tgt").select("src", "src_name", "src_type", F.col("type").alias("relation"), "tgt", "tgt_name", "tgt_type")
 
 
-def provenance(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
-    """Document, chunk and entity along the path that leads from one to the other."""
+def provenance(documents: DataFrame, chunks: DataFrame, mentions: DataFrame, entities: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Document, chunk and entity along the path that leads from one to the other; mentions meet entities in so many tasks."""
     d = documents.select(F.col("file_hash").alias("doc_hash"), "filename")
     # chunks meet their documents first: there are fewer of them than mentions, and no hash goes along with those
     c = chunks.select(F.col("id").alias("chunk_id"), "doc_hash").join(d, "doc_hash").select("chunk_id", "filename")
-    return mentions.join(c, "chunk_id").join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("filename", "chunk_id", "entity_id", "name")
+    return dealt(mentions.join(c, "chunk_id"), tasks, "entity_id").join(entities.select(F.col("id").alias("entity_id"), "name"), "entity_id").select("filename", "chunk_id", "entity_id", "name")
 
 
-def between_labels(entities: DataFrame, relations: DataFrame, a: str, b: str) -> DataFrame:
-    """Relations, in either direction, between an entity of type `a` and one of type `b`."""
-    ends = incidence(relations).select("id", "other", "type")
+def between_labels(entities: DataFrame, relations: DataFrame, a: str, b: str, tasks: int | None = None) -> DataFrame:
+    """Relations, in either direction, between an entity of type `a` and one of type `b`; they meet the former in so many tasks."""
+    ends = dealt(incidence(relations).select("id", "other", "type"), tasks, "id")
     p = entities.where(F.col("type") == a).select("id", F.col("name").alias("name_a"))
     q = entities.where(F.col("type") == b).select(F.col("id").alias("other"), F.col("name").alias("name_b"))
     return ends.join(p, "id").join(q, "other").select("name_a", F.col("type").alias("relation"), "name_b")
 
 
-def within(relations: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
+def within(relations: DataFrame, start: DataFrame, hops: int = 2, tasks: int | None = None) -> DataFrame:
     """(id, hops): nodes at the end of a path of up to `hops` relations from `start` (id) that uses none twice, with the fewest.
 
     A search by breadth from all start nodes at once: each node is reached once and keeps its
@@ -80,8 +85,9 @@ def within(relations: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     another start node or round a cycle: where a relation joins two nodes that were reached
     from different ones, or by different first relations, their distances and it add up to
     the length of such a path, and the shortest one is among those. Nulls in `start` reach nothing.
+    Relations are made distinct, and meet the reached nodes, in so many tasks.
     """
-    edges = checkpointed(relations.select("src", "tgt", F.xxhash64("src", "tgt", "type").alias("e")).distinct())
+    edges = checkpointed(dealt(relations.select("src", "tgt", F.xxhash64("src", "tgt", "type").alias("e")), tasks, "src", "tgt").distinct())
     ends = edges.select(F.col("src").alias("id"), F.col("tgt").alias("to"), "e").unionByName(edges.select(F.col("tgt").alias("id"), F.col("src").alias("to"), "e"))
     front = checkpointed(start.select("id").where("id is not null").distinct().select("id", F.col("id").alias("of"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("d")))
     known = front
@@ -91,7 +97,7 @@ def within(relations: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
         front = checkpointed(new.select("id", "v.of", "v.first", F.lit(k).alias("d")))
         known = known.unionByName(front)
     side = lambda end, s: known.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{s}") for c in ("of", "first", "d")])
-    both = edges.join(side("src", "a"), "src").join(side("tgt", "b"), "tgt")
+    both = dealt(dealt(edges, tasks, "src").join(side("src", "a"), "src"), tasks, "tgt").join(side("tgt", "b"), "tgt")
     loop = F.col("src") == F.col("tgt")
     # the relation by which a node was first reached from its start node makes no cycle with itself
     way = lambda s: F.coalesce(f"first_{s}", "e")

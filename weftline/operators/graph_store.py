@@ -48,10 +48,11 @@ def first_chunks(log: DataFrame, most: int = 20, order: str = "ord") -> DataFram
     return kept.groupBy("src", "tgt", "type").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunks"))
 
 
-def resolved(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations whose two ends exist."""
+def resolved(relations: DataFrame, entities: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Relations whose two ends exist; where `tasks` is given, they meet their ends in so many tasks."""
     ids = entities.select(F.col("id"))
-    return relations.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
+    deal = lambda df, key: df if tasks is None else df.repartition(tasks, key)
+    return deal(deal(relations, "src").join(ids.withColumnRenamed("id", "src"), "src", "left_semi"), "tgt").join(ids.withColumnRenamed("id", "tgt"), "tgt", "left_semi")
 
 
 def merge_documents(log: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def relation_chunks(spark, sf):
 @query(star_graph.SQL + "SELECT count(*) AS n FROM relations SEMI JOIN entities a ON src = a.id SEMI JOIN entities b ON tgt = b.id")
 def relations_resolved(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_store.resolved(t["relations"], t["entities"]).agg(F.count(F.lit(1)).alias("n"))
+    return graph_store.resolved(t["relations"], t["entities"], 2 * star_graph.tasks(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(star_graph.SQL + "SELECT 'documents' AS what, count(*) AS n FROM g_documents UNION ALL SELECT 'chunks', count(*) FROM g_chunks UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relationships', count(*) FROM relations")
@@ -225,19 +225,19 @@ def edge_list(spark, sf):
 @query(star_graph.SQL + "SELECT filename, chunk_id, entity_id, name FROM mentions JOIN g_chunks ON chunk_id = g_chunks.id JOIN g_documents ON doc_hash = file_hash JOIN entities ON entity_id = entities.id")
 def provenance_path(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_query.provenance(t["documents"], t["chunks"], t["mentions"], t["entities"])
+    return graph_query.provenance(t["documents"], t["chunks"], t["mentions"], t["entities"], 2 * star_graph.tasks(spark, sf))
 
 
 @query(star_graph.SQL + "SELECT a.name AS name_a, r.type AS relation, b.name AS name_b FROM (SELECT src AS i, tgt AS o, type FROM relations UNION ALL SELECT tgt, src, type FROM relations) r JOIN entities a ON i = a.id AND a.type = 'NATION' JOIN entities b ON o = b.id AND b.type = 'CUSTOMER'")
 def label_pair_edges(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_query.between_labels(t["entities"], t["relations"], "NATION", "CUSTOMER")
+    return graph_query.between_labels(t["entities"], t["relations"], "NATION", "CUSTOMER", 2 * star_graph.tasks(spark, sf))
 
 
 @query(star_graph.SQL + ", w AS (SELECT src AS i, tgt AS o, src || tgt || type AS e FROM relations UNION ALL SELECT tgt, src, src || tgt || type FROM relations), s AS (SELECT id FROM entities WHERE type = 'REGION') SELECT id, min(hops) AS hops FROM (SELECT o AS id, 1 AS hops FROM w JOIN s ON i = s.id UNION ALL SELECT b.o, 2 FROM w a JOIN s ON a.i = s.id JOIN w b ON a.o = b.i AND a.e <> b.e) GROUP BY id")
 def two_hop(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_query.within(t["relations"], t["entities"].where("type = 'REGION'"), 2)
+    return graph_query.within(t["relations"], t["entities"].where("type = 'REGION'"), 2, 2 * star_graph.tasks(spark, sf))
 
 
 @query(star_graph.SQL + "SELECT other, coalesce(name, other) AS name, r.type, out FROM (SELECT src AS id, tgt AS other, type, true AS out FROM relations UNION ALL SELECT tgt, src, type, false FROM relations) r LEFT JOIN entities e ON other = e.id WHERE r.id = 'nation_' || lower((SELECT min(n_name) FROM nation))")
