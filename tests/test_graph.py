@@ -411,3 +411,26 @@ def test_joins_of_relations_take_the_tasks_they_are_given(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     start = spark.createDataFrame([("a1",)], "id string")
     assert sorted(map(tuple, graph_query.within(r, start, 2, 12).collect())) == sorted(map(tuple, graph_query.within(r, start, 2).collect()))
+
+
+def test_star_entities_are_folded_before_they_are_named(spark, tmp_path, monkeypatch):
+    """Entities of the star tables are those of their log, nulls and repeated rows included, and their tasks grow with the lines."""
+    from weftline.plans import star_graph
+
+    monkeypatch.setattr(star_graph, "LINES", 200)
+    entities = star_graph.tables(spark, "/root/testdata/sf0.001")["entities"]
+    per_task = [r[1] for r in entities.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) > 300 and max(per_task) < 60
+    given = {
+        "lineitem": ([(o, p, s, f, t) for o, p, s, f, t in [(1, 1, 1, "A", "O"), (1, 1, 1, "NN", None), (2, 1, 1, "RR", "F"), (2, 2, 2, None, None), (3, 2, 2, "", ""), (3, 2, 2, "", ""), (4, 3, 1, None, "O"), (4, 4, 9, "A", "F"), (5, 9, 1, "A", "FFF"), (6, 5, 3, "", None), (7, 5, 3, None, "")]], "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"),
+        "part": ([(1, "red  bolt", "B"), (2, "red nut", None), (3, None, "Brand#3"), (4, "x-y", "B"), (5, "z", "B"), (6, "unsold", "B")], "p_partkey long, p_name string, p_brand string"),
+        "supplier": ([(1, "S one", 1), (2, "S one.", 1), (3, "s ONE", 1)], "s_suppkey long, s_name string, s_nationkey int"),  # one id
+        "orders": ([(1, 1, "O", "low"), (2, 1, "F", "high"), (3, 1, "O", "much higher"), (4, 2, "F", None), (5, 8, "F", "x"), (6, 1, "O", "equal in len")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string"),
+        "customer": ([(1, "C 1", 1), (2, "C#2", 1), (3, "idle", 1)], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(1, "N 1", 1)], "n_nationkey int, n_name string, n_regionkey int"), "region": ([(1, "R")], "r_regionkey int, r_name string"),
+    }
+    for name, (rows, schema) in given.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = graph_store.merge_entities(star_graph.entity_log(spark, str(tmp_path)))
+    got = star_graph.entities(spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 10

@@ -128,6 +128,12 @@ ACCUMULATORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], Callable[[D
 FAN = 8
 
 
+def fold_entities(accumulators: DataFrame) -> DataFrame:
+    """Accumulators of an entity log, folded in part or not at all: what merge_entities() makes of the log itself."""
+    folded = ACCUMULATORS["entities"][2](accumulators)
+    return folded.select("id", "name", "type", "description", "mentions").withColumn("label", X.label(F.col("type")))
+
+
 class GraphStore:
     """The tables of a graph in a folder: logs of runs and merged snapshots as Parquet, everything else derived.
 

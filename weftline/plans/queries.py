@@ -160,7 +160,7 @@ def predicate_categories(spark, sf):
 
 @query(star_graph.SQL + f"SELECT id, name, type, description, mentions, {X.label_sql('type')} AS label FROM entities")
 def entity_merge(spark, sf):
-    return graph_store.merge_entities(star_graph.entity_log(spark, sf))
+    return star_graph.entities(spark, sf)
 
 
 @query(star_graph.SQL + "SELECT src, tgt, type, description, weight FROM relations")
