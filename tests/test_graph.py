@@ -434,3 +434,20 @@ def test_star_entities_are_folded_before_they_are_named(spark, tmp_path, monkeyp
     want = graph_store.merge_entities(star_graph.entity_log(spark, str(tmp_path)))
     got = star_graph.entities(spark, str(tmp_path))
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 10
+
+
+def test_degrees_take_the_tasks_they_are_given(spark):
+    """Ends of relations, and names with their degrees, meet in as many tasks as the caller counted."""
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    r = spark.range(3000).select(name("a", F.col("id") % 300).alias("src"), name("b", F.col("id")).alias("tgt"), F.lit("T").alias("type"))
+    e = spark.range(3010).select(name("b", F.col("id")).alias("id"), name("n", F.col("id") % 3000).alias("name"), F.lit("B").alias("type"), F.lit(None).cast("string").alias("description"), F.lit(1).cast("long").alias("mentions"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt, plain = graph_query.degrees(e, r, 12), graph_query.degrees(e, r)
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect())) and plain.count() == 3010
+        assert dealt.where("connections >= 0").select(F.spark_partition_id().alias("p"), "connections").groupBy("p").agg(F.sum("connections")).count() == 12
+        for f in (lambda n: graph_query.top_degree(e, r, 7, n), lambda n: graph_query.search(e, r, "N1", 7, n)):
+            assert f(12).collect() == f(None).collect() and f(12).count() == 7
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -19,9 +19,9 @@ def incidence(relations: DataFrame) -> DataFrame:
     return one.unionByName(relations.select(F.col("tgt").alias("id"), F.col("src").alias("other"), "type", F.lit(False).alias("out")))
 
 
-def degrees(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """`entities` with `connections`: relations at either end, 0 without any. Counted before the join."""
-    ends = relations.select(F.explode(F.array("src", "tgt")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("connections"))
+def degrees(entities: DataFrame, relations: DataFrame, tasks: int | None = None) -> DataFrame:
+    """`entities` with `connections`: relations at either end, 0 without any. Counted before the join, in so many tasks."""
+    ends = dealt(relations.select(F.explode(F.array("src", "tgt")).alias("id")), tasks, "id").groupBy("id").agg(F.count(F.lit(1)).alias("connections"))
     return entities.join(ends, "id", "left").withColumn("connections", F.coalesce("connections", F.lit(0).cast("long")))
 
 
@@ -39,17 +39,17 @@ def type_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
 
 
-def top_degree(entities: DataFrame, relations: DataFrame, k: int = 10) -> DataFrame:
+def top_degree(entities: DataFrame, relations: DataFrame, k: int = 10, tasks: int | None = None) -> DataFrame:
     """The k best-connected (name, type); equal names of a type count together, as they read."""
-    d = degrees(entities, relations).groupBy("name", "type").agg(F.sum("connections").alias("connections"))
+    d = dealt(degrees(entities, relations, tasks).select("name", "type", "connections"), tasks, "name", "type").groupBy("name", "type").agg(F.sum("connections").alias("connections"))
     return d.orderBy(F.desc("connections"), "name", "type").limit(k)
 
 
-def search(entities: DataFrame, relations: DataFrame, query: str, k: int = 15) -> DataFrame:
+def search(entities: DataFrame, relations: DataFrame, query: str, k: int = 15, tasks: int | None = None) -> DataFrame:
     """Entities whose name or type contains the query, whatever the case; `%` and `_` are plain characters."""
     q = F.lit(query.strip().lower())
     hits = entities.where(F.contains(F.lower("name"), q) | F.contains(F.lower(F.coalesce("type", F.lit(""))), q))
-    out = degrees(hits, relations).select("id", "name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("mentions", F.lit(1).cast("long")).alias("mentions"), "connections")
+    out = degrees(hits, relations, tasks).select("id", "name", "type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("mentions", F.lit(1).cast("long")).alias("mentions"), "connections")
     return out.orderBy(F.desc("connections"), "id").limit(k)
 
 

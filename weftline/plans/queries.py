@@ -94,7 +94,7 @@ found_r AS (SELECT DISTINCT a.id, ka.e AS src, kb.e AS tgt FROM named a JOIN nam
 )
 def text_graph_top(spark, sf):
     t = text_graph(spark, sf)
-    return graph_query.top_degree(t["entities"], t["relations"])
+    return graph_query.top_degree(t["entities"], t["relations"], tasks=star_graph.tasks(spark, sf))
 
 
 @query(_CHUNK_SQL.replace("{docs}", "documents") + _NAMES_SQL + "SELECT (SELECT count(*) FROM chunks) AS chunks_processed, (SELECT count(*) FROM found_e) AS entities_found, (SELECT count(*) FROM found_r) AS relations_found")
@@ -192,13 +192,13 @@ def type_counts(spark, sf):
 @query(star_graph.SQL + "SELECT name, type, CAST(sum(coalesce(n, 0)) AS BIGINT) AS connections FROM entities LEFT JOIN degree USING (id) GROUP BY name, type ORDER BY connections DESC, name, type LIMIT 10")
 def top_degree(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_query.top_degree(t["entities"], t["relations"])
+    return graph_query.top_degree(t["entities"], t["relations"], tasks=star_graph.tasks(spark, sf))
 
 
 @query(star_graph.SQL + "SELECT id, name, type, description, mentions, coalesce(n, 0) AS connections FROM entities LEFT JOIN degree USING (id) WHERE contains(lower(name), 'na') OR contains(lower(type), 'na') ORDER BY connections DESC, id LIMIT 15")
 def entity_search(spark, sf):
     t = star_graph.tables(spark, sf)
-    return graph_query.search(t["entities"], t["relations"], " NA ")
+    return graph_query.search(t["entities"], t["relations"], " NA ", tasks=star_graph.tasks(spark, sf))
 
 
 _EDGES = "sub AS (SELECT * FROM relations ORDER BY src, type, tgt LIMIT 150)"
