@@ -337,8 +337,14 @@ _PART_TRIPLES = {
 }
 
 
+#: Parts of a task.
+_PARTS = 100_000
+
+
 def part_triples(spark: SparkSession, sf: str, side: str) -> DataFrame:
     parts = read(spark, sf, "part")
+    # rows are short, so a file of a million is one or two tasks, but their texts are normalised
+    parts = parts.repartition(max(spark.sparkContext.defaultParallelism, -(-parts.count() // _PARTS)), "p_partkey")
     return parts.select(F.lit("parts").alias("run"), F.col("p_brand").alias("doc"), F.col("p_partkey").cast("int").alias("idx"), *[F.expr(e).alias(c) for e, c in zip(_PART_TRIPLES[side], alignment.PARTS)])
 
 
