@@ -175,8 +175,7 @@ def relation_chunks(spark, sf):
 
 @query(star_graph.SQL + "SELECT count(*) AS n FROM relations SEMI JOIN entities a ON src = a.id SEMI JOIN entities b ON tgt = b.id")
 def relations_resolved(spark, sf):
-    t = star_graph.tables(spark, sf)
-    return graph_store.resolved(t["relations"], t["entities"], 2 * star_graph.tasks(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+    return star_graph.resolved_count(spark, sf)
 
 
 @query(star_graph.SQL + "SELECT 'documents' AS what, count(*) AS n FROM g_documents UNION ALL SELECT 'chunks', count(*) FROM g_chunks UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'relationships', count(*) FROM relations")
